@@ -311,35 +311,39 @@ def _signed_rank(d: DataFrame, keys: list[str], diff: str) -> DataFrame:
         F.coalesce("max_tie", F.lit(1)).alias("max_tie"), F.coalesce("tie_term", F.lit(0.0)).alias("tie_term"))
 
 
-def _wilcoxon_p_udf(alternative: str):
+def _wilcoxon_exact_udf(alternative: str):
     @F.pandas_udf(T.DoubleType())
-    def _p(w_plus: pd.Series, n: pd.Series, max_tie: pd.Series, tie_term: pd.Series) -> pd.Series:
-        import math
-        out = []
-        for wp, nn, mt, tt in zip(w_plus, n, max_tie, tie_term):
-            nn = int(nn)
-            if nn == 0:
-                out.append(1.0)
-                continue
-            if nn <= 50 and mt <= 1:
-                out.append(PV.wilcoxon_exact_p(wp, nn, alternative))
-                continue
-            mu = nn * (nn + 1) / 4.0
-            se = math.sqrt(nn * (nn + 1) * (2 * nn + 1) / 24.0 - tt / 48.0)
-            if se == 0:
-                out.append(1.0)
-                continue
-            if alternative == "two-sided":
-                z = (wp - mu) / se
-                out.append(min(1.0, 2 * 0.5 * math.erfc(abs(z) / math.sqrt(2))))
-            elif alternative == "greater":
-                out.append(0.5 * math.erfc(((wp - mu) / se) / math.sqrt(2)))
-            else:
-                out.append(1 - 0.5 * math.erfc(((wp - mu) / se) / math.sqrt(2)))
-        return pd.Series(out, dtype=float)
+    def _p(w_plus: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([PV.wilcoxon_exact_p(wp, int(nn), alternative) if 0 < nn <= 50 else float("nan")
+                          for wp, nn in zip(w_plus, n)], dtype=float)
     return _p
 
 
+def wilcoxon_normal_p_sql(alternative: str, q: str = "") -> str:
+    """Normal approximation with tie correction, no continuity correction.
+    ``q`` qualifies the column names (``n``, ``tie_term``, ``w_plus``)."""
+    n, tt, wp = f"{q}n", f"{q}tie_term", f"{q}w_plus"
+    mu = f"({n} * ({n} + 1) / 4e0)"
+    se = f"sqrt({n} * ({n} + 1) * (2 * {n} + 1) / 24e0 - {tt} / 48e0)"
+    z = f"(({wp} - {mu}) / nullif({se}, 0))"
+    if alternative == "two-sided":
+        p = f"least(1e0, 2e0 * {PV.norm_sf_sql(f'abs({z})')})"
+    elif alternative == "greater":
+        p = PV.norm_sf_sql(z)
+    else:
+        p = f"(1e0 - {PV.norm_sf_sql(z)})"
+    return f"coalesce({p}, 1e0)"
+
+
+def _wilcoxon_p(alternative: str):
+    """Exact distribution when n <= 50 without zeros or ties (as scipy 'auto'),
+    otherwise the normal approximation; n = 0 -> 1."""
+    exact_ok = (F.col("n") > 0) & (F.col("n") == F.col("n_pairs")) & (F.col("max_tie") <= 1) & (F.col("n") <= 50)
+    return (F.when(F.col("n") == 0, F.lit(1.0))
+             .when(exact_ok, _wilcoxon_exact_udf(alternative)(F.col("w_plus"), F.col("n")))
+             .otherwise(F.expr(wilcoxon_normal_p_sql(alternative))))
+
+
 def wilcoxon_pairs(scores: DataFrame, block: str, treatment: str, value: str,
                    by: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
     """T-12: signed-rank test for every treatment pair a < b over shared blocks;
@@ -351,8 +355,7 @@ def wilcoxon_pairs(scores: DataFrame, block: str, treatment: str, value: str,
           .select(*by, "a", "b", block, (F.col("va") - F.col("vb")).alias("d")))
     s = _signed_rank(d, [*by, "a", "b"], "d")
     s = s.withColumn("w", F.least("w_plus", "w_minus"))
-    s = s.withColumn("p_value", _wilcoxon_p_udf("two-sided")(F.col("w_plus"), F.col("n"),
-                                                              F.col("max_tie"), F.col("tie_term")))
+    s = s.withColumn("p_value", _wilcoxon_p("two-sided"))
     m = F.count(F.lit(1)).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1)))
     return (s.withColumn("p_adj", F.least(F.col("p_value") * m, F.lit(1.0)))
              .withColumn("significant", F.col("p_adj") < alpha))
@@ -369,8 +372,7 @@ def wilcoxon_vs_baseline(scores: DataFrame, block: str, treatment: str, value: s
     s = _signed_rank(d, [*by, treatment], "d")
     ok = (F.col("n_pairs") >= min_n) & (F.col("n") > 0)
     s = s.withColumn("w", F.when(ok, F.least("w_plus", "w_minus")))
-    s = s.withColumn("p_value", F.when(ok, _wilcoxon_p_udf("two-sided")(
-        F.col("w_plus"), F.col("n"), F.col("max_tie"), F.col("tie_term"))))
+    s = s.withColumn("p_value", F.when(ok, _wilcoxon_p("two-sided")))
     m = F.count(F.col("p_value")).over(Window.partitionBy(F.lit(1)))
     return (s.withColumn("p_adj", F.least(F.col("p_value") * m, F.lit(1.0)))
              .withColumn("significant", F.col("p_adj") < alpha))
@@ -385,7 +387,7 @@ def wilcoxon_gt_zero(df: DataFrame, key: str, value: str, alpha: float = 0.05) -
     s = _signed_rank(df.select(key, F.col(value).alias("d")), [key], "d")
     stats_ = df.groupBy(key).agg(F.min(value).alias("mn"), F.max(value).alias("mx"))
     s = s.join(stats_, key)
-    p_raw = _wilcoxon_p_udf("greater")(F.col("w_plus"), F.col("n"), F.col("max_tie"), F.col("tie_term"))
+    p_raw = _wilcoxon_p("greater")
     p = (F.when(F.col("n") == 0, 1.0)
          .when((F.col("mn") == F.col("mx")) & (F.col("mn") > 0), 0.0)
          .otherwise(p_raw))
