@@ -1,4 +1,4 @@
-"""Distributed average rank.
+"""Distributed average rank and running sums.
 
 ``Window.partitionBy(g).orderBy(v)`` puts a whole group into one task, and a
 window with no partition plans ``Exchange SinglePartition``. Both break when one
@@ -32,33 +32,46 @@ def collapse(df: DataFrame, groups: list[str], value: str, weight: str = "w") ->
               .groupBy(*groups, value).agg(F.count(F.lit(1)).alias(weight)))
 
 
-def distributed_rank(counts: DataFrame, groups: list[str], value: str, weight: str = "w",
-                     ascending: bool = True, num_partitions: int | None = None) -> DataFrame:
-    """Add ``before`` (rows strictly ahead in the group), ``avg_rank``,
-    ``min_rank`` and ``group_n`` to a table of distinct (group, value, weight)."""
+def distributed_cumsum(counts: DataFrame, groups: list[str], order: list, weights: list[str],
+                       num_partitions: int | None = None) -> DataFrame:
+    """For every weight column ``x`` add ``before_x`` (sum of x over rows strictly
+    ahead in the group order) and ``total_x`` (group total). ``order`` holds
+    Columns or names; rows must be unique on (groups, order)."""
     spark = counts.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.col(value) if ascending else -F.col(value)
-    base = counts.withColumn("__k", key.cast("double") if not ascending else key)
-    part = base.repartitionByRange(n, *[F.col(g) for g in groups], F.col("__k"))
+    ocols = [F.col(o) if isinstance(o, str) else o for o in order]
+    keyed = counts.select("*", *[c.alias(f"__k{i}") for i, c in enumerate(ocols)])
+    kcols = [f"__k{i}" for i in range(len(ocols))]
+    part = keyed.repartitionByRange(n, *[F.col(g) for g in groups], *[F.col(k) for k in kcols])
     part = checkpoint(part.withColumn("__pid", F.spark_partition_id()))
 
-    tot = part.groupBy("__pid", *groups).agg(F.sum(weight).alias("__ptot"))
+    tot = part.groupBy("__pid", *groups).agg(*[F.sum(w).alias(f"__pt_{w}") for w in weights])
     wg = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
     wprev = wg.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("__pid", *groups,
-                      F.coalesce(F.sum("__ptot").over(wprev), F.lit(0)).alias("__off"),
-                      F.sum("__ptot").over(wg).alias("group_n"))
+                      *[F.coalesce(F.sum(f"__pt_{w}").over(wprev), F.lit(0)).alias(f"__off_{w}") for w in weights],
+                      *[F.sum(f"__pt_{w}").over(wg).alias(f"total_{w}") for w in weights])
     offs = bounded_broadcast(offs)
 
-    wl = (Window.partitionBy("__pid", *groups).orderBy("__k")
+    wl = (Window.partitionBy("__pid", *groups).orderBy(*kcols)
           .rowsBetween(Window.unboundedPreceding, 0))
-    local = part.withColumn("__loc", F.sum(weight).over(wl) - F.col(weight))
+    local = part.select("*", *[(F.sum(w).over(wl) - F.col(w)).alias(f"__loc_{w}") for w in weights])
     out = local.join(offs, ["__pid", *groups])
-    before = (F.col("__off") + F.col("__loc")).cast("long")
-    return out.select(*counts.columns, before.alias("before"),
-                      (before + (F.col(weight) + 1) / 2.0).alias("avg_rank"),
-                      (before + 1).alias("min_rank"), F.col("group_n").cast("long").alias("group_n"))
+    return out.select(*counts.columns,
+                      *[(F.col(f"__off_{w}") + F.col(f"__loc_{w}")).alias(f"before_{w}") for w in weights],
+                      *[F.col(f"total_{w}") for w in weights])
+
+
+def distributed_rank(counts: DataFrame, groups: list[str], value: str, weight: str = "w",
+                     ascending: bool = True, num_partitions: int | None = None) -> DataFrame:
+    """Add ``before`` (rows strictly ahead in the group), ``avg_rank``,
+    ``min_rank`` and ``group_n`` to a table of distinct (group, value, weight)."""
+    key = F.col(value) if ascending else -F.col(value)
+    r = distributed_cumsum(counts, groups, [key], [weight], num_partitions)
+    before = F.col(f"before_{weight}").cast("long")
+    return r.select(*counts.columns, before.alias("before"),
+                    (before + (F.col(weight) + 1) / 2.0).alias("avg_rank"),
+                    (before + 1).alias("min_rank"), F.col(f"total_{weight}").cast("long").alias("group_n"))
 
 
 def average_rank_rows(df: DataFrame, value: str, groups: list[str] | None = None,
@@ -68,3 +81,12 @@ def average_rank_rows(df: DataFrame, value: str, groups: list[str] | None = None
     c = collapse(df, groups, value)
     r = distributed_rank(c, groups, value, ascending=ascending).select(*groups, value, "avg_rank")
     return df.join(r, [*groups, value], "left").withColumnRenamed("avg_rank", out)
+
+
+def row_position(df: DataFrame, order: list, groups: list[str] | None = None, out: str = "pos") -> DataFrame:
+    """0-based position of every row in (groups, order); ``order`` must be unique
+    within a group (add a key). Same range-partitioned plan, weight 1 per row."""
+    groups = groups or []
+    d = df.withColumn("__one", F.lit(1))
+    r = distributed_cumsum(d, groups, order, ["__one"])
+    return r.withColumnRenamed("before___one", out).withColumnRenamed("total___one", f"{out}_n").drop("__one")
