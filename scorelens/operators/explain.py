@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from scorelens.operators import profile, stats
 from scorelens.plans.helpers import to_long
 
-WALL = Window.partitionBy(F.lit(1))
+def _wall():
+    """Window over a small per-feature table (built lazily: no session on executors)."""
+    return Window.partitionBy(F.lit(1))
 
 
 # ----------------------------------------------------------- importance tables
@@ -24,7 +26,7 @@ def consensus_importance(imp: DataFrame, feature: str = "feature", model: str =
     tot = F.sum(value).over(Window.partitionBy(model))
     n = imp.select(feature, model, (F.col(value) / (tot + 1e-12)).alias("share"))
     c = n.groupBy(feature).agg(F.avg("share").alias("consensus"), F.count(F.lit(1)).alias("n_models"))
-    w = WALL.orderBy(F.col("consensus").desc(), F.col(feature))
+    w = _wall().orderBy(F.col("consensus").desc(), F.col(feature))
     return (c.select(feature, "consensus", (F.col("consensus") * 100).alias("share_pct"), "n_models",
                      F.row_number().over(w).cast("long").alias("rank"))
              .where(F.col("rank") <= top))
@@ -34,12 +36,12 @@ def ensemble_rank(scores: DataFrame, score_cols: list[str], feature: str = "feat
     """I-05: min-max each score over features, mean of the normalised scores, rank."""
     cols = []
     for c in score_cols:
-        lo, hi = F.min(c).over(WALL), F.max(c).over(WALL)
+        lo, hi = F.min(c).over(_wall()), F.max(c).over(_wall())
         cols.append(((F.col(c) - lo) / (hi - lo + eps)).alias(f"n_{c}"))
     n = scores.select(feature, *cols)
     mean = sum((F.col(f"n_{c}") for c in score_cols), F.lit(0.0)) / float(len(score_cols))
     n = n.withColumn("ensemble_score", mean)
-    return n.withColumn("rank", F.row_number().over(WALL.orderBy(F.col("ensemble_score").desc(), F.col(feature)))
+    return n.withColumn("rank", F.row_number().over(_wall().orderBy(F.col("ensemble_score").desc(), F.col(feature)))
                         .cast("long"))
 
 
@@ -47,8 +49,8 @@ def top_bottom_groups(scores: DataFrame, score: str, top: int = 20, bottom: int
                       feature: str = "feature") -> DataFrame:
     """I-06: label features 'top' / 'bottom' / 'middle' by rank of ``score``."""
     r = scores.select(feature, score,
-                      F.row_number().over(WALL.orderBy(F.col(score).desc(), F.col(feature))).cast("long").alias("rank"),
-                      F.count(F.lit(1)).over(WALL).alias("_n"))
+                      F.row_number().over(_wall().orderBy(F.col(score).desc(), F.col(feature))).cast("long").alias("rank"),
+                      F.count(F.lit(1)).over(_wall()).alias("_n"))
     grp = (F.when(F.col("rank") <= top, "top")
             .when(F.col("rank") > F.col("_n") - bottom, "bottom").otherwise("middle"))
     return r.select(feature, score, "rank", grp.alias("grp"))
@@ -66,7 +68,7 @@ def important_vs_rest_profile(df: DataFrame, features: list[str], important: lis
 def spearman_small(df: DataFrame, a: str, b: str) -> DataFrame:
     """Spearman rho between two columns of a per-feature table (bounded size)."""
     def ar(c):
-        return (F.rank().over(WALL.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0)
+        return (F.rank().over(_wall().orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0)
     r = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(ar(a).alias("ra"), ar(b).alias("rb"))
     return r.agg(F.try_divide(F.covar_samp("ra", "rb"), F.stddev_samp("ra") * F.stddev_samp("rb")).alias("rho"),
                  F.count(F.lit(1)).alias("n"))
@@ -108,7 +110,7 @@ def attribution_summary(attr: DataFrame) -> DataFrame:
 def attribution_class_matrix(attr: DataFrame, top: int = 12) -> DataFrame:
     """I-12: class x top features mean phi (long form); top by mean |phi|."""
     s = attribution_summary(attr)
-    t = s.select("feature", F.row_number().over(WALL.orderBy(F.col("mean_abs_phi").desc(), "feature")).alias("_r")) \
+    t = s.select("feature", F.row_number().over(_wall().orderBy(F.col("mean_abs_phi").desc(), "feature")).alias("_r")) \
          .where(F.col("_r") <= top).select("feature")
     return (attr.join(F.broadcast(t), "feature", "left_semi")        # <= top rows
                 .groupBy("cls", "feature").agg(F.avg("phi").alias("mean_phi")))
@@ -125,7 +127,7 @@ def attribution_direction(attr: DataFrame, target_class, weak_frac: float = 0.05
     lab = (F.when(F.col("mean_abs_phi") < thr, "weak").when(F.col("mean_phi") > 0, "raises")
             .when(F.col("mean_phi") < 0, "lowers").otherwise("weak"))
     r = j.select("feature", "mean_abs_phi", "mean_phi", lab.alias("label"),
-                 F.row_number().over(WALL.orderBy(F.col("mean_abs_phi").desc(), "feature")).cast("long").alias("rank"))
+                 F.row_number().over(_wall().orderBy(F.col("mean_abs_phi").desc(), "feature")).cast("long").alias("rank"))
     return r.where(F.col("rank") <= top)
 
 
@@ -152,7 +154,7 @@ def attribution_points(attr: DataFrame, row_id: str, top: int = 15) -> DataFrame
     [0, 1] over rows, for the top features by mean |phi|."""
     s = attr.groupBy(row_id, "feature").agg(F.sum("phi").alias("phi_sum"), F.first("x").alias("x"))
     imp = (s.groupBy("feature").agg(F.avg(F.abs("phi_sum")).alias("m"))
-            .select("feature", F.row_number().over(WALL.orderBy(F.col("m").desc(), "feature")).alias("_r"))
+            .select("feature", F.row_number().over(_wall().orderBy(F.col("m").desc(), "feature")).alias("_r"))
             .where(F.col("_r") <= top).select("feature"))
     s = s.join(F.broadcast(imp), "feature", "left_semi")
     mm = F.broadcast(s.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi")))

@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from scorelens.operators import stats
 from scorelens.plans.rank import distributed_cumsum, distributed_rank
 
-WALL = Window.partitionBy(F.lit(1))
+def _wall():
+    """One window over a small, already aggregated table (built lazily: modules
+    are imported on executors, where no session exists)."""
+    return Window.partitionBy(F.lit(1))
 
 
 def _long_probs(df: DataFrame, label: str, prob_cols: dict) -> DataFrame:
@@ -180,7 +183,7 @@ def condition_delta(scores: DataFrame, keys: list[str], cond: str, a: str, b: st
 
 def rank_models(means: DataFrame, order: list[tuple[str, bool]], model: str = "model") -> DataFrame:
     """M-15: row_number over the given (column, descending) sort, model name as tie-break."""
-    w = WALL.orderBy(*[F.col(c).desc() if d else F.col(c).asc() for c, d in order], F.col(model))
+    w = _wall().orderBy(*[F.col(c).desc() if d else F.col(c).asc() for c, d in order], F.col(model))
     return means.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
