@@ -238,7 +238,9 @@ def friedman_test(scores: DataFrame, block: str, treatment: str, value: str,
     NULL statistic with a note when k < 3 or n < 3. Blocks with a missing
     treatment are dropped (complete blocks only, as scipy requires).
     """
-    by = by or []
+    if not by:
+        res = friedman_test(scores.withColumn("__all", F.lit(1)), block, treatment, value, ["__all"])
+        return res.drop("__all")
     s = scores.where(F.col(value).isNotNull())
     k_all = s.groupBy(*by).agg(F.count_distinct(treatment).alias("k"))
     bsz = s.groupBy(*by, block).agg(F.count(F.lit(1)).alias("bk"))

@@ -157,10 +157,22 @@ def q_native_importance_seeds(spark, sf):
     return I.native_importance_seeds(FAST["tree"], tr, TOTALS, [42, 142, 242])
 
 
+class _LRPipeline:
+    """Assembler + scaler + multinomial logistic; regParam = 1 / (C * n_train)
+    needs the training row count, so it is resolved at fit time."""
+
+    def __init__(self, cols):
+        self.cols = cols
+
+    def fit(self, train):
+        n = float(train.count())
+        return Pipeline(stages=[VectorAssembler(inputCols=self.cols, outputCol="__raw"),
+                                StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True),
+                                MD.train_logistic(n_rows=n, max_iter=100)]).fit(train)
+
+
 def _lr_pipeline(cols):
-    return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="__raw"),
-                            StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True),
-                            MD.train_logistic(n_rows=1.0, max_iter=100)])
+    return _LRPipeline(cols)
 
 
 @register("permutation_importance")
