@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.operators import stats
+from scorelens.plans.helpers import checkpoint
 from scorelens.plans.rank import distributed_cumsum, distributed_rank
 
 def _wall():
@@ -51,7 +52,9 @@ def auroc_ovr(df: DataFrame, label: str, prob_cols: dict, policy: str = "present
     ``policy='present'`` averages over classes that have positives (absent
     classes drop out); ``'all'`` makes the macro NULL when a class has none."""
     long = _long_probs(df, label, prob_cols)
-    per = long.groupBy("cls", "p").agg(F.count(F.lit(1)).alias("w"), F.sum("hit").alias("wp"))
+    # collapsed (class, score) counts feed both the per-class and the pooled
+    # ranking: materialised once so the rows are read a single time
+    per = checkpoint(long.groupBy("cls", "p").agg(F.count(F.lit(1)).alias("w"), F.sum("hit").alias("wp")))
     rk = distributed_rank(per, ["cls"], "p")
     cls_auc = _auc(rk, ["cls"])
     pooled = per.groupBy("p").agg(F.sum("w").alias("w"), F.sum("wp").alias("wp"))
@@ -73,17 +76,20 @@ def f1_accuracy(df: DataFrame, label: str, pred: str, labels: list | None = None
 
     Labels: the given list ('all' policy) or the union of true and predicted
     labels present in the data (sklearn default)."""
+    # one lineage: every (true, pred) count is emitted once as a "true" row and
+    # once as a "predicted" row, then a single groupBy(label) gives tp / nt / np
     c = df.where(F.col(label).isNotNull() & F.col(pred).isNotNull()).groupBy(label, pred).agg(
         F.count(F.lit(1)).alias("c"))
-    tp = c.where(F.col(label) == F.col(pred)).select(F.col(label).alias("k"), F.col("c").alias("tp"))
-    t = c.groupBy(label).agg(F.sum("c").alias("nt")).withColumnRenamed(label, "k")
-    p = c.groupBy(pred).agg(F.sum("c").alias("np")).withColumnRenamed(pred, "k")
+    z = F.lit(0).cast("long")
+    both = F.array(
+        F.struct(F.col(label).alias("k"), F.col("c").alias("nt"), z.alias("np"),
+                 F.when(F.col(label) == F.col(pred), F.col("c")).otherwise(z).alias("tp")),
+        F.struct(F.col(pred).alias("k"), z.alias("nt"), F.col("c").alias("np"), z.alias("tp")))
+    per = c.select(F.inline(both)).groupBy("k").agg(F.sum("nt").alias("nt"), F.sum("np").alias("np"),
+                                                    F.sum("tp").alias("tp"))
     if labels is not None:
         ks = df.sparkSession.createDataFrame([(x,) for x in labels], "k int")
-        per = ks.join(t, "k", "left").join(p, "k", "left")
-    else:
-        per = t.join(p, "k", "full_outer")
-    per = per.join(tp, "k", "left").fillna(0, ["tp", "nt", "np"])
+        per = F.broadcast(ks).join(per, "k", "left").fillna(0, ["tp", "nt", "np"])   # labels list: a parameter
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("np").cast("double")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("nt").cast("double")), F.lit(0.0))
     per = per.select("k", "tp", "nt", "np", prec.alias("prec"), rec.alias("rec"))

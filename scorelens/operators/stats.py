@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelens.functions import pvalues as PV
-from scorelens.plans.helpers import to_long
+from scorelens.plans.helpers import checkpoint, to_long
 from scorelens.plans.rank import collapse, distributed_rank
 
 
@@ -96,13 +96,24 @@ def spearman_with_target(df: DataFrame, features: list[str], target: str) -> Dat
     does not assume so). rho = Pearson of the average ranks.
     """
     long = to_long(df.where(F.col(target).isNotNull()), features, [target]).where(F.col("value").isNotNull())
-    fr = distributed_rank(collapse(long, ["feature"], "value"), ["feature"], "value").select(
-        "feature", "value", F.col("avg_rank").alias("rx"))
-    tr = distributed_rank(collapse(long, ["feature"], target), ["feature"], target).select(
-        "feature", target, F.col("avg_rank").alias("ry"))
-    j = long.join(fr, ["feature", "value"]).join(tr, ["feature", target])
-    res = j.groupBy("feature").agg(_pearson(F.col("rx"), F.col("ry")).alias("rho"),
-                                   F.count(F.lit(1)).alias("n"))
+    # everything below works on the collapsed joint counts, never on rows
+    joint = checkpoint(long.groupBy("feature", "value", target).agg(F.count(F.lit(1)).alias("c")))
+    fr = distributed_rank(joint.groupBy("feature", "value").agg(F.sum("c").alias("w")), ["feature"], "value") \
+        .select("feature", "value", F.col("avg_rank").alias("rx"))
+    tr = distributed_rank(joint.groupBy("feature", target).agg(F.sum("c").alias("w")), ["feature"], target) \
+        .select("feature", target, F.col("avg_rank").alias("ry"))
+    j = joint.join(fr, ["feature", "value"]).join(tr, ["feature", target])
+    c = F.col("c").cast("double")
+    m = j.groupBy("feature").agg(F.sum(c).alias("n"), F.sum(c * F.col("rx")).alias("sx"),
+                                 F.sum(c * F.col("ry")).alias("sy"), F.sum(c * F.col("rx") * F.col("rx")).alias("sxx"),
+                                 F.sum(c * F.col("ry") * F.col("ry")).alias("syy"),
+                                 F.sum(c * F.col("rx") * F.col("ry")).alias("sxy"))
+    n = F.col("n")
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
+    vy = F.col("syy") - F.col("sy") * F.col("sy") / n
+    rho = F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+    res = m.select("feature", rho.alias("rho"), n.cast("long").alias("n"))
     t = F.col("rho") * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), 1.0 - F.col("rho") * F.col("rho")))
     return res.select("feature", "rho", "n", t.alias("t_stat"))
 
@@ -125,7 +136,9 @@ def kruskal_wallis(df: DataFrame, features: list[str], class_col: str, min_group
     """
     long = (to_long(df.where(F.col(class_col).isNotNull()), features, [class_col])
             .where(F.col("value").isNotNull()))
-    fvc = long.groupBy("feature", "value", class_col).agg(F.count(F.lit(1)).alias("c"))
+    # collapsed counts, materialised once: every later step reads this table,
+    # never the raw rows again
+    fvc = checkpoint(long.groupBy("feature", "value", class_col).agg(F.count(F.lit(1)).alias("c")))
     sizes = fvc.groupBy("feature", class_col).agg(F.sum("c").alias("nj"))
     kept = sizes.where(F.col("nj") >= min_group).select("feature", class_col)
     fvc = fvc.join(kept, ["feature", class_col], "left_semi")

@@ -40,7 +40,41 @@ def _row_key_sql(prefix: str = "") -> str:
     return "concat_ws('|', " + ", ".join(parts) + ")"
 
 
+_MATERIALISED: dict[tuple, str] = {}
+
+
+def _source_signature(sf_dir: str, names: list[str]) -> str:
+    import hashlib
+    import os
+    h = hashlib.sha1(sf_dir.encode())
+    for n in names:
+        p = f"{sf_dir}/{n}.parquet"
+        try:
+            st = os.stat(p)
+            h.update(f"{n}:{st.st_size}:{st.st_mtime_ns}".encode())
+        except OSError:
+            h.update(n.encode())
+    return h.hexdigest()[:16]
+
+
 def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order-line fact view, built once per session and source version as a
+    parquet table in the shared checkpoint folder (the ETL step a production
+    deployment runs once); every query then scans it with column pruning
+    instead of re-running the five-way join."""
+    from scorelens.session import ensure_checkpoint_dir
+    key = (spark.sparkContext.applicationId, sf_dir,
+           _source_signature(sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"]))
+    path = _MATERIALISED.get(key)
+    if path is None:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scorelens-views/w1-{key[2]}-{key[0]}"
+        w1_join(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _MATERIALISED[key] = path
+    return spark.read.parquet(path)
+
+
+def w1_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1 as a plan over the raw tables (no materialisation)."""
     li = read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax")
@@ -137,13 +171,19 @@ P_PROB_SQL = {f"prob_{k}": f"(w{k} * 1e0 / (w1 + w2 + w3 + w4 + w5))" for k in C
 
 
 def p_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Same semantics as ``P_SQL``; the argmax is written with array functions
+    (first maximum = lowest class on ties, like the CASE chain) so that each
+    class weight is evaluated once even after the optimizer inlines it into
+    pushed-down filters."""
     df = w1(spark, sf_dir)
-    for n_, e in P_WEIGHTS.items():
-        df = df.withColumn(n_, F.expr(e))
-    df = df.withColumn("pred", F.expr(P_PRED_SQL))
-    for n_, e in P_PROB_SQL.items():
-        df = df.withColumn(n_, F.expr(e))
-    return df.drop(*P_WEIGHTS.keys()).withColumnRenamed("grade", "label")
+    w = F.array(*[F.expr(e) for e in P_WEIGHTS.values()])
+    df = df.withColumn("__w", w)
+    df = df.withColumn("pred", F.array_position("__w", F.array_max("__w")).cast("int"))
+    tot = F.aggregate("__w", F.lit(0).cast("long"), lambda a, b: a + b)
+    df = df.withColumn("__t", tot)
+    for i, k in enumerate(CLASSES):
+        df = df.withColumn(f"prob_{k}", F.col("__w")[i].cast("double") / F.col("__t"))
+    return df.drop("__w", "__t").withColumnRenamed("grade", "label")
 
 
 P_SQL = f"""
@@ -185,9 +225,12 @@ def rs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  F.lit("accuracy").alias("metric"), acc.cast("double").alias("value")))
             rows.append(F.struct(F.lit(cond).alias("condition"), F.lit(f"m{m}").alias("model"),
                                  F.lit("mae").alias("metric"), mae.cast("double").alias("value")))
-    # one small row per seed, unpacked into the long cube without a second scan
-    return (per_class.groupBy("seed").agg(F.array(*rows).alias("r"))
-            .select(F.col("seed").cast("int").alias("seed"), F.inline("r")))
+    # one small row per seed, unpacked into the long cube without a second scan;
+    # the cube (seeds x 20 rows) is materialised once because every test on it
+    # reads it from several branches
+    from scorelens.plans.helpers import checkpoint
+    return checkpoint(per_class.groupBy("seed").agg(F.array(*rows).alias("r"))
+                      .select(F.col("seed").cast("int").alias("seed"), F.inline("r")))
 
 
 def _rs_sql() -> str:
