@@ -159,11 +159,11 @@ def kruskal_wallis(df: DataFrame, features: list[str], class_col: str, min_group
     h = F.when(F.col("k") >= 2, F.try_divide(h_raw, corr))
     out = j.select("feature", F.col("k").cast("long").alias("k"), F.col("N").cast("long").alias("n"),
                    h.alias("h"))
-    p = F.expr(PV.chi2_sf_sql("h", "(k - 1)"))
+    out = out.withColumn("p_value", PV.chi2_sf_column(F.col("h"), F.col("k") - 1))
     eta = F.greatest(F.try_divide(F.col("h") - F.col("k") + 1, (F.col("n") - F.col("k")).cast("double")), F.lit(0.0))
-    return out.select("feature", "k", "n", "h", p.alias("p_value"),
+    return out.select("feature", "k", "n", "h", "p_value",
                       F.when(F.col("h").isNotNull(), eta).alias("eta2"),
-                      (p < alpha).alias("significant"))
+                      (F.col("p_value") < alpha).alias("significant"))
 
 
 def kw_screen(kw: DataFrame, top: int = 5, alpha: float = 0.05, weak_eta: float = 0.01) -> DataFrame:
@@ -273,7 +273,7 @@ def friedman_test(scores: DataFrame, block: str, treatment: str, value: str,
     out = j.select(*by, F.col("k").cast("long").alias("k"), F.col("n").cast("long").alias("n"),
                    F.when(ok, F.try_divide(chi, c)).alias("chi2"),
                    F.when(~ok, F.lit("need k >= 3 and n >= 3")).alias("note"))
-    return out.select("*", F.expr(PV.chi2_sf_sql("chi2", "(k - 1)")).alias("p_value"))
+    return out.withColumn("p_value", PV.chi2_sf_column(F.col("chi2"), F.col("k") - 1))
 
 
 def friedman_per_feature(imp: DataFrame, feature: str, model: str, repeat: str, value: str,
@@ -298,7 +298,7 @@ def kendall_w(ratings: DataFrame, rater: str, obj: str, value: str, descending:
     W = 12 * S / (kk * kk * (n * n * n - n) + 1e-15)
     out = j.select(F.col("k").cast("long").alias("k"), F.col("n").cast("long").alias("n"), W.alias("w"))
     out = out.withColumn("chi2", F.col("k") * (F.col("n") - 1) * F.col("w"))
-    return out.withColumn("p_value", F.expr(PV.chi2_sf_sql("chi2", "(n - 1)")))
+    return out.withColumn("p_value", PV.chi2_sf_column(F.col("chi2"), F.col("n") - 1))
 
 
 # -------------------------------------------------------------- Wilcoxon family

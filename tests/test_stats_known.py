@@ -92,13 +92,14 @@ def test_constant_column_is_null_not_error(spark):
     assert profile.profile_columns(one, ["x"]).collect()[0]["std"] is None
 
 
-def test_distributed_rank_matches_pandas_with_hot_value(spark):
+@pytest.mark.parametrize("small", [None, 2_000_000])     # range-partitioned plan / checked window
+def test_distributed_rank_matches_pandas_with_hot_value(spark, small):
     rng = np.random.default_rng(0)
     v = np.concatenate([np.full(400, 3.0), rng.integers(0, 50, 800).astype(float)])  # one value = 1/3 of rows
     g = rng.integers(0, 3, len(v))
     pdf = pd.DataFrame({"g": g, "v": v})
     df = spark.createDataFrame(pdf)
-    r = distributed_rank(collapse(df, ["g"], "v"), ["g"], "v").toPandas()
+    r = distributed_rank(collapse(df, ["g"], "v"), ["g"], "v", small_group_rows=small).toPandas()
     exp = pdf.assign(rk=pdf.groupby("g")["v"].rank(method="average")).drop_duplicates(["g", "v"])
     m = exp.merge(r, on=["g", "v"])
     assert len(m) == len(exp)
@@ -107,7 +108,7 @@ def test_distributed_rank_matches_pandas_with_hot_value(spark):
 
 def test_distributed_rank_plan_has_no_single_partition(spark):
     df = spark.range(1000).selectExpr("id % 7 AS g", "cast(id % 97 AS double) AS v")
-    r = distributed_rank(collapse(df, ["g"], "v"), ["g"], "v")
+    r = distributed_rank(collapse(df, ["g"], "v"), ["g"], "v", small_group_rows=None)
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     assert "CartesianProduct" not in plan
