@@ -21,9 +21,16 @@ from scorelens.plans.rank import distributed_cumsum, row_position
 def impute_stat(df: DataFrame, cols: list[str], strategy: str = "median", approx: bool = False) -> DataFrame:
     """P-01: fill NULL numeric cells with the column mean / median / most frequent."""
     fns = {"mean": lambda c: F.avg(c),
-           "median": (lambda c: F.percentile_approx(c, 0.5, 10000)) if approx else (lambda c: F.percentile(c, 0.5)),
+           "median": lambda c: F.percentile_approx(c, 0.5, 10000),
            "most_frequent": lambda c: F.mode(c, True)}
-    fill = F.broadcast(df.agg(*[fns[strategy](F.col(c).cast("double")).alias(f"__f_{c}") for c in cols]))
+    if strategy == "median" and not approx:
+        # exact medians from the distributed running count (no column held in one task)
+        from scorelens.operators.profile import quantile_table
+        q = quantile_table(to_long(df, cols), ["feature"], "value", [0.5])
+        fill = F.broadcast(q.agg(*[F.max(F.when(F.col("feature") == c, F.col("_q")[0])).alias(f"__f_{c}")
+                                   for c in cols]))           # one row
+    else:
+        fill = F.broadcast(df.agg(*[fns[strategy](F.col(c).cast("double")).alias(f"__f_{c}") for c in cols]))
     j = df.crossJoin(fill)   # one row
     return j.select(*[F.coalesce(F.col(c).cast("double"), F.col(f"__f_{c}")).alias(c) if c in cols else F.col(c)
                       for c in df.columns])

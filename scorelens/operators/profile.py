@@ -23,15 +23,30 @@ def _q(col, ps, approx: bool):
     return F.percentile(col, ps)
 
 
+def quantile_table(d: DataFrame, groups: list[str], value: str, ps: list[float], approx: bool = False) -> DataFrame:
+    """(groups..., ``_q`` array of the quantiles in ``ps`` order).
+
+    Exact by default through the distributed running count (no group is held
+    in one task); ``approx=True`` uses ``percentile_approx`` sketches."""
+    d = d.where(F.col(value).isNotNull())
+    if approx:
+        g = d.groupBy(*groups) if groups else d.groupBy()
+        return g.agg(F.percentile_approx(F.col(value), ps, 10000).alias("_q"))
+    from scorelens.plans.rank import exact_quantiles
+    q = exact_quantiles(d, groups, value, ps)
+    g = q.groupBy(*groups) if groups else q.groupBy()
+    return g.agg(F.array(*[F.max(F.when(F.col("p") == float(p), F.col("q"))) for p in ps]).alias("_q"))
+
+
 def profile_columns(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """Q-01: mean, sample std, min, p25, median, p75, max, null % per column."""
     long = to_long(df, cols)
     v = F.col("value")
-    q = _q(v, [0.25, 0.5, 0.75], approx)
     s = long.groupBy("feature").agg(
         F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max"),
+        F.min(v).alias("min"), F.max(v).alias("max"),
         (F.sum(F.when(v.isNull(), 1).otherwise(0)) * 100.0 / F.count(F.lit(1))).alias("null_pct"))
+    s = s.join(quantile_table(long, ["feature"], "value", [0.25, 0.5, 0.75], approx), "feature", "left")
     return s.select("feature", "count", "mean", "std", "min", F.col("_q")[0].alias("p25"),
                     F.col("_q")[1].alias("median"), F.col("_q")[2].alias("p75"), "max", "null_pct")
 
@@ -123,10 +138,10 @@ def column_shape_stats(df: DataFrame, cols: list[str], approx: bool = False, min
     (one row per column, broadcast) against the rows to count outliers."""
     long = to_long(df, cols)
     v = F.col("value")
-    q = _q(v, [0.25, 0.75], approx)
     s1 = long.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n_all"), F.count(v).alias("n"), F.avg(v).alias("mu"),
-        F.stddev_samp(v).alias("sd"), F.skewness(v).alias("g1"), q.alias("_q"))
+        F.stddev_samp(v).alias("sd"), F.skewness(v).alias("g1"))
+    s1 = s1.join(quantile_table(long, ["feature"], "value", [0.25, 0.75], approx), "feature", "left")
     iqr = F.when(F.col("_q")[1] > F.col("_q")[0], F.col("_q")[1] - F.col("_q")[0]).otherwise(F.col("sd") + 1e-9)
     b = s1.select("feature", "n_all", "n", "mu", "sd", "g1", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"),
                   iqr.alias("iqr"))
@@ -183,7 +198,8 @@ def box_stats_by_class(df: DataFrame, value: str, class_col: str, approx: bool =
     outlier count per class."""
     v = F.col(value).cast("double")
     d = df.where(v.isNotNull() & F.col(class_col).isNotNull()).select(class_col, v.alias("v"))
-    q = d.groupBy(class_col).agg(_q(F.col("v"), [0.25, 0.5, 0.75], approx).alias("_q"), F.count(F.lit(1)).alias("n"))
+    q = d.groupBy(class_col).agg(F.count(F.lit(1)).alias("n")).join(
+        quantile_table(d, [class_col], "v", [0.25, 0.5, 0.75], approx), class_col)
     q = q.select(class_col, "n", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     f = F.broadcast(q.select(class_col, (F.col("q1") - 1.5 * F.col("iqr")).alias("flo"),

@@ -94,6 +94,28 @@ def distributed_rank(counts: DataFrame, groups: list[str], value: str, weight: s
                     (before + 1).alias("min_rank"), F.col(f"total_{weight}").cast("long").alias("group_n"))
 
 
+def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) per group.
+
+    ``percentile`` keeps a value -> count map of a whole group in one task; here
+    the collapsed (group, value, count) table gets running counts, and for each
+    p the two order statistics around ``h = (n - 1) p`` are picked by a filter.
+    Output: groups..., ``p``, ``q`` (one row per group and probability)."""
+    c = collapse(df, groups, value)
+    r = distributed_cumsum(c, groups, [value], ["w"])
+    ps = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
+    x = r.select(*groups, value, "w", "before_w", "total_w", ps)
+    h = (F.col("total_w") - 1) * F.col("p")
+    lo, hi = F.floor(h), F.ceil(h)
+    inside = lambda pos: (F.col("before_w") <= pos) & (pos < F.col("before_w") + F.col("w"))
+    x = x.select("*", h.alias("h"), lo.alias("lo"), hi.alias("hi"))
+    a = x.where(inside(F.col("lo"))).select(*groups, "p", "h", "lo", F.col(value).alias("v_lo"))
+    b = x.where(inside(F.col("hi"))).select(*groups, "p", F.col(value).alias("v_hi"))
+    j = a.join(b, [*groups, "p"])
+    q = F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))
+    return j.select(*groups, "p", q.alias("q"))
+
+
 def average_rank_rows(df: DataFrame, value: str, groups: list[str] | None = None,
                       ascending: bool = True, out: str = "rank") -> DataFrame:
     """Per-row average rank: collapse, rank distributed, join back on (group, value)."""

@@ -224,3 +224,13 @@ def test_splits_are_exact(spark):
     assert all(abs(per[c] - 0.2 * 1003 / 4) < 1.01 for c in per)
     tm = prep.split_time(df.withColumn("t", df.k.cast("int")), "t", ["k"], 0.25)
     assert tm.where("split = 'train'").agg({"t": "max"}).collect()[0][0] == int(1003 * 0.75) - 1
+
+
+def test_exact_quantiles_match_numpy(spark):
+    from scorelens.plans.rank import exact_quantiles
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 500), "v": rng.integers(0, 40, 500).astype(float)})
+    q = exact_quantiles(spark.createDataFrame(pdf), ["g"], "v", [0.1, 0.25, 0.5, 0.9]).toPandas()
+    for r in q.itertuples():
+        exp = np.quantile(pdf.loc[pdf.g == r.g, "v"].to_numpy(), r.p)
+        assert r.q == pytest.approx(exp, rel=1e-12)
