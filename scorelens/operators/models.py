@@ -17,6 +17,7 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,15 +160,24 @@ def evaluate_model(spec: ModelSpec, train: DataFrame, test: DataFrame, features:
                    label: str = "label_index", n_classes: int | None = None, weight: str | None = None,
                    seed: int = 42) -> tuple[dict, object]:
     """M-10: fit, predict, all metrics and the fit seconds."""
-    n_classes = n_classes or int(train.agg(F.max(label)).collect()[0][0]) + 1
-    n_rows = float(train.agg(F.sum(F.col(weight)) if weight else F.count(F.lit(1))).collect()[0][0])
-    est = build_estimator(spec, features, label, weight, n_rows, seed)
-    t0 = time.time()
-    model = est.fit(train)
-    fit_s = time.time() - t0
-    pred = with_class_probs(model.transform(test), n_classes, spec.kind)
-    res = score_metrics(pred, label, n_classes)
-    res["fit_seconds"] = fit_s
+    # iterative fits make one pass per iteration: keep the inputs materialised
+    # (frames the caller already cached stay cached afterwards)
+    owned = [d for d in (train, test) if not d.is_cached]
+    for d in owned:
+        d.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n_classes = n_classes or int(train.agg(F.max(label)).collect()[0][0]) + 1
+        n_rows = float(train.agg(F.sum(F.col(weight)) if weight else F.count(F.lit(1))).collect()[0][0])
+        est = build_estimator(spec, features, label, weight, n_rows, seed)
+        t0 = time.time()
+        model = est.fit(train)
+        fit_s = time.time() - t0
+        pred = with_class_probs(model.transform(test), n_classes, spec.kind)
+        res = score_metrics(pred, label, n_classes)
+        res["fit_seconds"] = fit_s
+    finally:
+        for d in owned:
+            d.unpersist()
     return res, model
 
 

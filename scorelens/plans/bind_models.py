@@ -42,8 +42,18 @@ def split(df, seed=42):
     return d.where("split = 'train'"), d.where("split = 'test'")
 
 
+def scale_for_linear(tr, te):
+    """Linear models get standardised features fitted on the train split (the
+    reference scales once before its linear fits)."""
+    sc = StandardScaler(inputCol="features", outputCol="__zf", withMean=True, withStd=True).fit(tr)
+    fix = lambda d: sc.transform(d).drop("features").withColumnRenamed("__zf", "features")
+    return fix(tr), fix(te)
+
+
 def _eval(spark, sf, spec, cols=None, seed=42):
     tr, te = split(survey(spark, sf, cols), seed)
+    if spec.kind in ("logistic", "ordinal"):
+        tr, te = scale_for_linear(tr, te)
     res, _ = MD.evaluate_model(spec, tr, te, n_classes=5, seed=seed)
     return spark.createDataFrame([(spec.label, *[float(res[k]) if res[k] is not None else None for k in
                                                  ("accuracy", "macro_f1", "micro_f1", "macro_auroc", "micro_auroc",
@@ -165,10 +175,14 @@ class _LRPipeline:
         self.cols = cols
 
     def fit(self, train):
-        n = float(train.count())
-        return Pipeline(stages=[VectorAssembler(inputCols=self.cols, outputCol="__raw"),
-                                StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True),
-                                MD.train_logistic(n_rows=n, max_iter=100)]).fit(train)
+        train = train.persist()          # one pass per optimiser iteration
+        try:
+            n = float(train.count())
+            return Pipeline(stages=[VectorAssembler(inputCols=self.cols, outputCol="__raw"),
+                                    StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True),
+                                    MD.train_logistic(n_rows=n, max_iter=100)]).fit(train)
+        finally:
+            train.unpersist()
 
 
 def _lr_pipeline(cols):
