@@ -235,7 +235,8 @@ def _centred_scaled(df: DataFrame, features: str):
 def pca_scree(df: DataFrame, features: str = "features") -> DataFrame:
     """P-18: explained-variance share per component and cumulative share."""
     z, _ = _centred_scaled(df, features)
-    p = int(len(z.select("__z").first()[0]))
+    meta = df.schema[features].metadata.get("ml_attr", {})
+    p = int(meta["num_attrs"]) if "num_attrs" in meta else int(len(z.select("__z").first()[0]))
     model = PCA(k=p, inputCol="__z", outputCol="__pc").fit(z)
     ev = [float(x) for x in model.explainedVariance]
     rows, cum = [], 0.0
