@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scorelens.operators import stats
 from scorelens.plans.helpers import bounded_broadcast, to_long
-from scorelens.plans.rank import distributed_cumsum, row_position
+from scorelens.plans.rank import row_position
 
 
 # ---------------------------------------------------------------- imputation
@@ -67,13 +67,18 @@ def target_index(df: DataFrame, target: str, out: str = "label_index") -> DataFr
 
 
 def one_hot(df: DataFrame, col_: str, levels: list | None = None, prefix: str | None = None,
-            drop_source: bool = True) -> DataFrame:
+            drop_source: bool = True, max_levels: int = 1000) -> DataFrame:
     """P-05: one 0/1 column per level (all levels kept; unknown level -> all zeros).
 
     Levels are fitted on the data when not given (a distinct over one column,
     bounded by its cardinality)."""
     if levels is None:
-        levels = sorted(r[0] for r in df.select(col_).where(F.col(col_).isNotNull()).distinct().collect())
+        # a one-hot column per level only makes sense for a bounded level set:
+        # fetch at most max_levels + 1 distinct values and refuse beyond that
+        found = df.select(col_).where(F.col(col_).isNotNull()).distinct().limit(max_levels + 1).collect()
+        if len(found) > max_levels:
+            raise ValueError(f"{col_} has more than {max_levels} levels; use label_encode instead")
+        levels = sorted(r[0] for r in found)
     prefix = prefix or f"{col_}__"
     cols = [F.when(F.col(col_) == F.lit(v), 1).otherwise(0).alias(f"{prefix}{v}") for v in levels]
     res = df.select("*", *cols)
@@ -225,10 +230,3 @@ def preprocess_pipeline(numeric: list[str], categorical: list[str], out: str = "
     stages.append(VectorAssembler(inputCols=num_out + cat_out, outputCol=out))
     return Pipeline(stages=stages)
 
-
-def to_long_features(df: DataFrame, cols: list[str], ids: list[str]) -> DataFrame:
-    return to_long(df, cols, ids)
-
-
-def running_total(df: DataFrame, groups: list[str], order: list, weight: str) -> DataFrame:
-    return distributed_cumsum(df, groups, order, [weight])

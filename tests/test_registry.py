@@ -16,7 +16,13 @@ from conftest import SF_SMALL
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 SAMPLE = ["segment_kpi", "kruskal_wallis", "auroc_ovr", "split_stratified", "profile_columns",
-          "wilcoxon_pairs", "attribution_summary", "roc_curve_macro"]
+          "wilcoxon_pairs", "attribution_summary", "roc_curve_macro",
+          # one or two per remaining family
+          "segment_summary", "global_kpi", "crosstab_pct", "column_shape_stats", "kde_density",
+          "histogram_by_class", "feature_label", "zscore_columns", "spearman_corr", "mann_whitney_u",
+          "friedman_test", "kendall_w", "mutual_information", "label_encode", "one_hot", "split_time",
+          "f1_accuracy", "confusion_matrix", "training_summary", "error_rate_by_group",
+          "ensemble_rank", "attribution_waterfall", "schema_report", "detect_column_roles", "json_payload"]
 
 
 def test_entry_runs(spark):
