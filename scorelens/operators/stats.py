@@ -457,8 +457,15 @@ def mutual_information(df: DataFrame, features: list[str], class_col: str, bins:
 
     Deterministic plug-in estimate on exact equal-frequency bins; it ranks
     features like the k-NN estimator but its values differ."""
-    b = rank_bins(df.where(F.col(class_col).isNotNull()), features, bins, [class_col])
-    joint = b.groupBy("feature", "bin", class_col).agg(F.count(F.lit(1)).alias("nbc"))
+    long = (to_long(df.where(F.col(class_col).isNotNull()), features, [class_col])
+            .where(F.col("value").isNotNull()))
+    # bins are assigned on collapsed (feature, value, class) counts, never on rows
+    fvc = checkpoint(long.groupBy("feature", "value", class_col).agg(F.count(F.lit(1)).alias("c")))
+    fv = fvc.groupBy("feature", "value").agg(F.sum("c").alias("w"))
+    bin_ = F.least(F.floor(F.col("before") * bins / F.col("group_n")), F.lit(bins - 1)).cast("int")
+    r = distributed_rank(fv, ["feature"], "value").select("feature", "value", bin_.alias("bin"))
+    joint = (fvc.join(r, ["feature", "value"])
+                .groupBy("feature", "bin", class_col).agg(F.sum("c").alias("nbc")))
     wf = Window.partitionBy("feature")
     j = joint.select("*", F.sum("nbc").over(wf).alias("N"),
                      F.sum("nbc").over(Window.partitionBy("feature", "bin")).alias("nb"),
