@@ -224,7 +224,10 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
 
 def _centred_scaled(df: DataFrame, features: str):
     """Centre and scale to population std (sklearn StandardScaler): MLlib's
-    scaler uses the sample std, so its output is multiplied by sqrt((n-1)/n)."""
+    scaler uses the sample std, so its output is multiplied by sqrt((n-1)/n).
+    The input is written once (scaler fit, PCA fit and transform each read it)."""
+    from scorelens.plans.helpers import checkpoint
+    df = checkpoint(df)
     sc = StandardScaler(inputCol=features, outputCol="__z", withMean=True, withStd=True).fit(df)
     n = df.count()
     k = ((n - 1) / n) ** 0.5 if n > 1 else 1.0
