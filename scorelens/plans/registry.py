@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from scorelens.functions.exprs import round_sig, round_sig_sql
+from scorelens.session import ship_package
 
 
 @dataclass
@@ -49,7 +50,11 @@ def rounded(df: DataFrame) -> DataFrame:
 
 def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     b = REGISTRY[name]
-    return lambda spark, sf_dir: rounded(b.fn(spark, sf_dir))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return rounded(b.fn(spark, sf_dir))
+    return run
 
 
 def oracle(name: str) -> str | None:
