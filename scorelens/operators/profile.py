@@ -76,8 +76,8 @@ def duplicate_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Q-04: rows equal to an earlier row = sum(count - 1) over identical rows.
     Map-side partial aggregation collapses a hot duplicate before the shuffle."""
     cols = cols or df.columns
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("c"))
-    return g.agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
+    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__dup_n"))
+    return g.agg(F.coalesce(F.sum(F.col("__dup_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"),
                  F.count(F.lit(1)).alias("distinct_rows"))
 
 

@@ -97,13 +97,13 @@ def spearman_with_target(df: DataFrame, features: list[str], target: str) -> Dat
     """
     long = to_long(df.where(F.col(target).isNotNull()), features, [target]).where(F.col("value").isNotNull())
     # everything below works on the collapsed joint counts, never on rows
-    joint = checkpoint(long.groupBy("feature", "value", target).agg(F.count(F.lit(1)).alias("c")))
-    fr = distributed_rank(joint.groupBy("feature", "value").agg(F.sum("c").alias("w")), ["feature"], "value") \
+    joint = checkpoint(long.groupBy("feature", "value", target).agg(F.count(F.lit(1)).alias("__cnt")))
+    fr = distributed_rank(joint.groupBy("feature", "value").agg(F.sum("__cnt").alias("w")), ["feature"], "value") \
         .select("feature", "value", F.col("avg_rank").alias("rx"))
-    tr = distributed_rank(joint.groupBy("feature", target).agg(F.sum("c").alias("w")), ["feature"], target) \
+    tr = distributed_rank(joint.groupBy("feature", target).agg(F.sum("__cnt").alias("w")), ["feature"], target) \
         .select("feature", target, F.col("avg_rank").alias("ry"))
     j = joint.join(fr, ["feature", "value"]).join(tr, ["feature", target])
-    c = F.col("c").cast("double")
+    c = F.col("__cnt").cast("double")
     m = j.groupBy("feature").agg(F.sum(c).alias("n"), F.sum(c * F.col("rx")).alias("sx"),
                                  F.sum(c * F.col("ry")).alias("sy"), F.sum(c * F.col("rx") * F.col("rx")).alias("sxx"),
                                  F.sum(c * F.col("ry") * F.col("ry")).alias("syy"),
@@ -138,18 +138,18 @@ def kruskal_wallis(df: DataFrame, features: list[str], class_col: str, min_group
             .where(F.col("value").isNotNull()))
     # collapsed counts, materialised once: every later step reads this table,
     # never the raw rows again
-    fvc = checkpoint(long.groupBy("feature", "value", class_col).agg(F.count(F.lit(1)).alias("c")))
-    sizes = fvc.groupBy("feature", class_col).agg(F.sum("c").alias("nj"))
+    fvc = checkpoint(long.groupBy("feature", "value", class_col).agg(F.count(F.lit(1)).alias("__cnt")))
+    sizes = fvc.groupBy("feature", class_col).agg(F.sum("__cnt").alias("nj"))
     kept = sizes.where(F.col("nj") >= min_group).select("feature", class_col)
     fvc = fvc.join(kept, ["feature", class_col], "left_semi")
-    fv = fvc.groupBy("feature", "value").agg(F.sum("c").alias("w"))
+    fv = fvc.groupBy("feature", "value").agg(F.sum("__cnt").alias("w"))
     ranked = distributed_rank(fv, ["feature"], "value").select("feature", "value", "w", "avg_rank", "group_n")
     ties = ranked.groupBy("feature").agg(
         F.sum((F.col("w").cast("double") ** 3) - F.col("w")).alias("tie_sum"),
         F.first("group_n").alias("N"))
     rj = (fvc.join(ranked.select("feature", "value", "avg_rank"), ["feature", "value"])
              .groupBy("feature", class_col)
-             .agg(F.sum(F.col("c") * F.col("avg_rank")).alias("R"), F.sum("c").alias("nj")))
+             .agg(F.sum(F.col("__cnt") * F.col("avg_rank")).alias("R"), F.sum("__cnt").alias("nj")))
     per = rj.groupBy("feature").agg(F.sum(F.col("R") * F.col("R") / F.col("nj")).alias("s"),
                                     F.count(F.lit(1)).alias("k"))
     j = per.join(ties, "feature")
@@ -460,12 +460,12 @@ def mutual_information(df: DataFrame, features: list[str], class_col: str, bins:
     long = (to_long(df.where(F.col(class_col).isNotNull()), features, [class_col])
             .where(F.col("value").isNotNull()))
     # bins are assigned on collapsed (feature, value, class) counts, never on rows
-    fvc = checkpoint(long.groupBy("feature", "value", class_col).agg(F.count(F.lit(1)).alias("c")))
-    fv = fvc.groupBy("feature", "value").agg(F.sum("c").alias("w"))
+    fvc = checkpoint(long.groupBy("feature", "value", class_col).agg(F.count(F.lit(1)).alias("__cnt")))
+    fv = fvc.groupBy("feature", "value").agg(F.sum("__cnt").alias("w"))
     bin_ = F.least(F.floor(F.col("before") * bins / F.col("group_n")), F.lit(bins - 1)).cast("int")
     r = distributed_rank(fv, ["feature"], "value").select("feature", "value", bin_.alias("bin"))
     joint = (fvc.join(r, ["feature", "value"])
-                .groupBy("feature", "bin", class_col).agg(F.sum("c").alias("nbc")))
+                .groupBy("feature", "bin", class_col).agg(F.sum("__cnt").alias("nbc")))
     wf = Window.partitionBy("feature")
     j = joint.select("*", F.sum("nbc").over(wf).alias("N"),
                      F.sum("nbc").over(Window.partitionBy("feature", "bin")).alias("nb"),
