@@ -12,8 +12,9 @@ put into the group of its parent group and its next digit:
 Equality is decided by the bytes alone, no digest is involved. A level is one
 map-side combined aggregation over (parent group, digit, ended) - a group with a
 third of all rows shrinks to one row per map task before the shuffle - and one
-salted join that hands the groups back to their documents. Only documents that
-share their first digit with another one carry their text beyond level 0.
+salted join that hands the groups back to their documents. The joins are sort-merge
+joins at every size (their sides grow with the documents). Only documents that share
+their first digit with another one carry their text beyond level 0.
 
 Defined cases: null text equals the empty text; all empty texts are one group;
 a repeated row (same id and text) is a member like any other, exactly one row of
@@ -46,7 +47,7 @@ def _split(rows: DataFrame, salts: int) -> DataFrame:
                           "__n", "__new", "__best"))
     salted = rows.withColumn("__salt", F.pmod(F.xxhash64("__rid"), F.lit(salts)).cast("int"))
     # the parent group is null-free (0 at the root), digits are never null
-    return (salted.join(groups, [*keys, "__salt"])
+    return (salted.join(groups.hint("merge"), [*keys, "__salt"])
                   .select("__rid", F.col("__new").alias("__gid"), "__ended", "__n",
                           F.col("__best.__id").alias("__keep"), (-F.col("__best.neg")).alias("__keep_rid")))
 
@@ -69,13 +70,13 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     done = [state.where("__ended")]
     # undecided documents keep the rest of their bytes in one written table
     open_ids = state.where("NOT __ended").select("__rid")
-    rest = C.written(src.select("__rid", F.col(id_col).alias("__id"), raw.alias("__b")).join(open_ids, "__rid"))
+    rest = C.written(src.select("__rid", F.col(id_col).alias("__id"), raw.alias("__b")).join(open_ids.hint("merge"), "__rid"))
     off, width = first_digit, 2 * first_digit
     while not state.where("NOT __ended").isEmpty():
         part = rest.where(F.length("__b") > off).select(
             "__rid", "__id", digit(F.col("__b"), off, width).alias("__digit"),
             (F.length("__b") <= off + width).alias("__ended"))
-        rows = part.join(state.where("NOT __ended").select("__rid", "__gid"), "__rid")
+        rows = part.join(state.where("NOT __ended").select("__rid", "__gid").hint("merge"), "__rid")
         state = C.written(_split(rows, salts))
         done.append(state.where("__ended"))
         off, width = off + width, 2 * width
@@ -83,7 +84,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     for d in done[1:]:
         equal = equal.unionByName(d)
     equal = equal.select("__rid", "__n", "__keep", "__keep_rid")
-    out = src.join(equal, "__rid", "left")
+    out = src.join(equal.hint("merge"), "__rid", "left")
     single = F.col("__n").isNull()
     return out.select(*[f"`{c}`" for c in src.columns if c != "__rid"],
                       F.when(single, F.col(id_col)).otherwise(F.col("__keep")).alias("keep_id"),
