@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from scorelens.llm import exact_dedup, packing, token_files
+from scorelens.llm import exact_dedup, packing, sentence_pieces, token_files
 
 QUERIES = {
+    "op6_sentence_pieces": sentence_pieces.op6_sentence_pieces,
     "op9_token_files": token_files.op9_token_files,
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
