@@ -65,6 +65,14 @@ def fold(doc_id="doc_id", folds: int = 5):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
+def salted_join(rows: DataFrame, few: DataFrame, on: list[str], salts: int = 16) -> DataFrame:
+    """Inner join of many rows with a table unique on the key: the rows of a hot key
+    are dealt over ``salts`` tasks, the small side is repeated for each."""
+    spread = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int"))
+    return dealt.join(spread.hint("merge"), [*on, "__salt"]).drop("__salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -77,8 +85,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
         if n == 0:
             continue
         col = batch.column(batch.schema.get_field_index(text))
-        if col.type != pa.large_string():
-            col = col.cast(pa.large_string())
+        if col.type not in (pa.large_string(), pa.large_binary()):
+            col = col.cast(pa.large_binary())
         off = np.frombuffer(col.buffers()[1], dtype=np.int64, count=col.offset + n + 1)[col.offset:]
         start = 0
         while start < n:

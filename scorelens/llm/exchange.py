@@ -30,7 +30,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "__text", rid: str = "
     or one row. The same for every pass over the same written table."""
     held, size = [], 0
     for piece in C.slices(batches, text, limit=1 << 20):
-        col = C.column(piece, text).cast(pa.large_string())
+        col = C.column(piece, text)
+        col = col if col.type in (pa.large_string(), pa.large_binary()) else col.cast(pa.large_binary())
         n = int(np.frombuffer(col.buffers()[1], np.int64, count=col.offset + len(col) + 1)[[col.offset, -1]] @ [-1, 1])
         if held and size + n > limit:
             t = pa.Table.from_batches(held).combine_chunks()
