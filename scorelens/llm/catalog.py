@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from scorelens.llm import (exact_dedup, jaccard_join, language_model, packing, sentence_pieces, token_files,
-                           vector_search)
+                           toxicity, vector_search)
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2_toxicity,
     "op8_vector_search": vector_search.op8_vector_search,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op5_lm_scores": language_model.op5_lm_scores,

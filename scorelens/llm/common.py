@@ -100,10 +100,24 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def texts(batch: pa.RecordBatch, name: str) -> pa.Array:
-    """The text column as large_string without nulls."""
+def texts(batch: pa.RecordBatch, name: str = "text") -> pa.LargeStringArray:
+    """The text column as large_string without nulls, its buffers cut to these rows."""
+    return compact(column(batch, name))
+
+
+def compact(col: pa.Array) -> pa.LargeStringArray:
+    """A text array as large_string without nulls whose offsets start at 0 (string
+    kernels are not all right on arrays that are part of a larger buffer)."""
     import pyarrow.compute as pc
-    return pc.fill_null(column(batch, name).cast(pa.large_string()), "")
+    col = pc.fill_null(col.cast(pa.large_string()), "")
+    n = len(col)
+    if n == 0:
+        return pa.array([], pa.large_string())
+    off = np.frombuffer(col.buffers()[1], np.int64, count=col.offset + n + 1)[col.offset:]
+    data = col.buffers()[2]
+    if data is None or off[-1] == off[0]:
+        return pa.array([""] * n, pa.large_string())
+    return pa.LargeStringArray.from_buffers(n, pa.py_buffer(off - off[0]), data.slice(int(off[0]), int(off[-1] - off[0])))
 
 
 def ragged_take(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

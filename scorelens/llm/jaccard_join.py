@@ -200,7 +200,7 @@ def _published(src: DataFrame, n: int, share: Share, parts: int, id_type) -> Dat
 
     def parts_of(table: pa.Table):
         text = table.column("__text").combine_chunks()
-        text = (text.chunk(0) if isinstance(text, pa.ChunkedArray) else text).cast(pa.large_string())
+        text = C.compact(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text)
         keys, off = shingle_sets(text, n)
         size = np.diff(off)
         doc = np.repeat(np.arange(len(size)), size)

@@ -82,7 +82,7 @@ def frequency_bucket(c: np.ndarray) -> np.ndarray:
 def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """w (tokens with ends), tokens per document, fold per token, keys of the words and of the end."""
     text = table.column("__text").combine_chunks()
-    text = (text.chunk(0) if isinstance(text, pa.ChunkedArray) else text).cast(pa.large_string())
+    text = C.compact(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text)
     codes, offsets, words = doc_words(text)
     w = with_ends(codes, offsets, len(words))
     size = np.diff(offsets) + 1
