@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from scorelens.llm import (exact_dedup, jaccard_join, language_model, packing, quality, sentence_pieces, token_files,
+from scorelens.llm import (exact_dedup, jaccard_join, language_model, packing, personal_data, quality, sentence_pieces, token_files,
                            toxicity, vector_search)
 
 QUERIES = {
+    "op10_personal_data": personal_data.op10_personal_data,
     "op3_quality": quality.op3_quality,
     "op2_toxicity": toxicity.op2_toxicity,
     "op8_vector_search": vector_search.op8_vector_search,
