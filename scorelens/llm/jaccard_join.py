@@ -382,15 +382,11 @@ def _cluster_links(sets: DataFrame, clusters: DataFrame, share: Share, parts: in
              & (F.pmod(F.xxhash64("__rid", F.lit(turn)), F.col("others")) < 4 * PIVOTS)).alias("pivot")))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 3,
-                       num: int = 9, den: int = 10) -> DataFrame:
-    """Every document's id, n_shingles and component_id (least id that links reach)."""
-    spark = docs.sparkSession
-    C.prepare(spark)
-    parts, share = C.partitions(spark), Share(num, den)
-    id_type = docs.schema[id_col].dataType
-    src = C.with_row_ids(docs.select(F.col(id_col).alias("__id"), C.text_or_empty(text).alias("__text")))
-    flags = _published(src, n, share, parts, id_type)
+def _groups(src: DataFrame, n: int, share: Share) -> tuple[DataFrame, DataFrame]:
+    """Of rows (__rid, __id, __text, ...; a written table): (__rid, __id, n_shingles,
+    may_link) of all, and (__rid, root, __id) of those in a group, root naming it."""
+    parts = C.partitions(src.sparkSession)
+    flags = _published(src.select("__rid", "__id", "__text"), n, share, parts, src.schema["__id"].dataType)
 
     may = flags.where("may_link").select("__rid").hint("merge")
     every = C.written(_sets(src.select("__rid", "__text").join(may, "__rid"), n))
@@ -410,12 +406,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     rooted = member.select("rep").distinct().join(linked.hint("merge"), "rep", "left").select(
         "rep", F.coalesce("root", "rep").alias("root"))
     placed = C.salted_join(member, C.written(rooted), ["rep"]).select("__rid", "root")
-    placed = C.written(placed.join(flags.select("__rid", "__id").hint("merge"), "__rid"))
+    return flags, C.written(placed.join(flags.select("__rid", "__id").hint("merge"), "__rid"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 3,
+                       num: int = 9, den: int = 10) -> DataFrame:
+    """Every document's id, n_shingles and component_id (least id that links reach)."""
+    C.prepare(docs.sparkSession)
+    src = C.with_row_ids(docs.select(F.col(id_col).alias("__id"), C.text_or_empty(text).alias("__text")))
+    flags, placed = _groups(src, n, Share(num, den))
     least = C.written(placed.groupBy("root").agg(F.min("__id").alias("least")))
     named = C.salted_join(placed.select("__rid", "root"), least, ["root"]).select("__rid", "least")
     return flags.join(named.hint("merge"), "__rid", "left").select(
-        F.col("__id").alias(id_col), "n_shingles", F.coalesce("least", "__id").alias("component_id"), "__rid")
+        F.col("__id").alias(id_col), "n_shingles", F.coalesce("least", "__id").alias("component_id"))
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """``docs`` with one row of every component: that of the least id (null ids last)."""
+    C.prepare(docs.sparkSession)
+    src = C.with_row_ids(docs)
+    _, placed = _groups(src.withColumns({"__id": F.col(id_col), "__text": C.text_or_empty(text)}), n, Share(num, den))
+    order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__rid").alias("rid"))
+    first = C.written(placed.groupBy("root").agg(F.min(order).alias("m")).select("root", F.col("m.rid").alias("stays")))
+    gone = C.salted_join(placed.select("__rid", "root"), first, ["root"]).where("__rid <> stays").select("__rid")
+    return src.join(gone.hint("merge"), "__rid", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(C.table(spark, sf_dir, "documents")).drop("__rid")
+    return jaccard_components(C.table(spark, sf_dir, "documents"))
