@@ -28,36 +28,27 @@ from scorelens.llm.toxicity import score_toxicity
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 8, 10
 
 
-def _aside(docs: DataFrame) -> tuple[DataFrame, list[str]]:
-    """``docs`` with neutral names for all columns but id and text, so that none can
-    clash with an operator's; and these names, in order."""
-    names = [c if c in ("doc_id", "text") else f"__column{i}" for i, c in enumerate(docs.columns)]
-    return docs.toDF(*names), names
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
-    rows, names = _aside(docs)
-    judged = score_toxicity(rows, C.table(spark, sf_dir, "labels"))
-    return judged.where("predicted = 0").select(*names).toDF(*docs.columns)
+    plain = C.aside(docs, ["doc_id", "text"])
+    judged = score_toxicity(plain, C.table(spark, sf_dir, "labels"))
+    return judged.where("predicted = 0").drop("score", "predicted").toDF(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
-    rows, names = _aside(docs)
-    return exact_dedup(rows).where("kept").select(*names).toDF(*docs.columns)
+    plain = C.aside(docs, ["doc_id", "text"])
+    return exact_dedup(plain).where("kept").select(*plain.columns).toDF(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked texts the document with the least id stays."""
-    rows, names = _aside(docs)
-    return drop_near(rows, n=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN).select(*names).toDF(*docs.columns)
+    return drop_near(docs, n=NEAR_WORDS, num=NEAR_NUM, den=NEAR_DEN)
 
 
 def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; n_chars follows the text."""
-    rows, names = _aside(docs)
-    out = personal_data(rows, replace=True).select(*names).toDF(*docs.columns)
+    out = personal_data(docs, replace=True)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

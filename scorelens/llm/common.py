@@ -56,6 +56,12 @@ def drop_clashing(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in gone])
 
 
+def aside(df: DataFrame, keep: list[str]) -> DataFrame:
+    """``df`` with neutral names for all columns but ``keep``, so that none can clash
+    with an internal column; ``toDF(*df.columns)`` gives them back."""
+    return df.toDF(*[c if c in keep else f"__column{i}" for i, c in enumerate(df.columns)])
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

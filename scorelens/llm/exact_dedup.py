@@ -58,7 +58,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     ``group_size`` and ``kept`` for every row."""
     spark = docs.sparkSession
     C.prepare(spark)
-    src = C.with_row_ids(C.drop_clashing(docs, OUT))
+    docs = C.drop_clashing(docs, OUT)
+    src = C.with_row_ids(C.aside(docs, [id_col, text]))
     raw = C.text_or_empty(text).cast("binary")
     size = F.length(raw)
     digit = lambda b, off, w: F.substring(b, off + 1, w)
@@ -89,7 +90,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return out.select(*[f"`{c}`" for c in src.columns if c != "__rid"],
                       F.when(single, F.col(id_col)).otherwise(F.col("__keep")).alias("keep_id"),
                       F.coalesce(F.col("__n"), F.lit(1)).cast("long").alias("group_size"),
-                      (single | (F.col("__keep_rid") == F.col("__rid"))).alias("kept"))
+                      (single | (F.col("__keep_rid") == F.col("__rid"))).alias("kept")).toDF(*docs.columns, *OUT)
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -424,12 +424,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """``docs`` with one row of every component: that of the least id (null ids last)."""
     C.prepare(docs.sparkSession)
-    src = C.with_row_ids(docs)
+    src = C.with_row_ids(C.aside(docs, [id_col, text]))
     _, placed = _groups(src.withColumns({"__id": F.col(id_col), "__text": C.text_or_empty(text)}), n, Share(num, den))
     order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__rid").alias("rid"))
     first = C.written(placed.groupBy("root").agg(F.min(order).alias("m")).select("root", F.col("m.rid").alias("stays")))
     gone = C.salted_join(placed.select("__rid", "root"), first, ["root"]).where("__rid <> stays").select("__rid")
-    return src.join(gone.hint("merge"), "__rid", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return src.join(gone.hint("merge"), "__rid", "left_anti").drop("__rid").toDF(*docs.columns)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,6 +131,7 @@ def grade_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     C.prepare(spark)
     docs = C.drop_clashing(docs, OUT)
+    given, docs = docs.columns, C.aside(docs, [id_col, text])
     known = (ratings.where(F.col(rating).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__key"))
                     .agg(F.min(rating).cast("double").alias("__y")).where(C.fold("__key", FOLDS) != 0))
     few = C.written(known.orderBy(F.xxhash64("__key"), "__key").limit(max_docs))  # so it may be broadcast
@@ -152,12 +153,12 @@ def grade_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", t
     null = F.lit(None).cast("double")
     if not grades:
         return docs.select("*", null.alias("expected_grade"), null.alias("tail_probability"),
-                           null.alias("predicted_grade"), F.lit(True).alias("kept"))
+                           null.alias("predicted_grade"), F.lit(True).alias("kept")).toDF(*given, *OUT)
     want = want if want is not None else grades[min(1, len(grades) - 1)]
     if len(grades) == 1:
         tail = F.lit(float(grades[0] >= want))
         return docs.select("*", F.lit(grades[0]).alias("expected_grade"), tail.alias("tail_probability"),
-                           F.lit(grades[0]).alias("predicted_grade"), (tail >= keep_at).alias("kept"))
+                           F.lit(grades[0]).alias("predicted_grade"), (tail >= keep_at).alias("kept")).toDF(*given, *OUT)
     rows = [(np.frombuffer(r["ids"], "<i4").astype(np.int64), np.frombuffer(r["val"], "<f4").astype(np.float64)) for r in got]
     weights, cuts = fit_ordinal(rows, np.searchsorted(grades, [r["y"] for r in got]), len(grades))
     shared = spark.sparkContext.broadcast(weights)  # DIM numbers
@@ -180,7 +181,7 @@ def grade_quality(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", t
     tail = F.lit(1.0) - upto[below - 1] if below else F.lit(1.0)
     best = F.array_max(F.array(*[F.struct(p.alias("p"), F.lit(float(g)).alias("g")) for p, g in zip(each, grades)]))["g"]
     return scored.select(*[f"`{c}`" for c in docs.columns], expected.alias("expected_grade"), tail.alias("tail_probability"),
-                         best.alias("predicted_grade"), (tail >= keep_at).alias("kept"))
+                         best.alias("predicted_grade"), (tail >= keep_at).alias("kept")).toDF(*given, *OUT)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,6 +236,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     C.prepare(spark)
     docs = C.drop_clashing(docs, OUT)
+    given, docs = docs.columns, C.aside(docs, [id_col, text])
     known = (labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__key"))
                    .agg(F.max(label).cast("int").alias("__y")).withColumn("__fold", C.fold("__key", FOLDS)).where("__fold <> 0"))
     few = None
@@ -249,7 +250,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     of = lambda c: size.get((c, True), 0) + size.get((c, False), 0)
     if not of(0) or not of(1):
         share = F.lit(float(of(1) > 0))
-        return docs.select("*", share.alias("score"), (share >= 0.5).cast("int").alias("predicted"))
+        return docs.select("*", share.alias("score"), (share >= 0.5).cast("int").alias("predicted")).toDF(*given, *OUT)
     # a fold for the regression, unless a class would be missing on either side
     apart = all(size.get(k, 0) for k in ((0, True), (0, False), (1, True), (1, False)))
     counted, judged = (sample.where("__fold <> 1"), sample.where("__fold = 1")) if apart else (sample, sample)
@@ -268,7 +269,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         z = z + (x[k] - float(mean[k])) / float(scale[k]) * float(w[k + 1])
     score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(35.0)), F.lit(-35.0))))
     return rows.select(*[f"`{c}`" for c in docs.columns], score.alias("score"),
-                       (score >= 0.5).cast("int").alias("predicted"))
+                       (score >= 0.5).cast("int").alias("predicted")).toDF(*given, *OUT)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
