@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from scorelens.llm import common as C
 from scorelens.llm.words import from_planes, pack_sorted, planes, unpack_sorted
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str = "__text", rid: str = "__rid",

@@ -6,6 +6,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -75,12 +76,14 @@ def chain_keys(*parts: np.ndarray) -> np.ndarray:
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
-    """Unsigned integers as byte planes, lowest first: planes of zeros compress away."""
-    return np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+    """Unsigned integers as byte planes, lowest first, compressed (zstd): planes of
+    zeros and of small counts shrink to little."""
+    raw = np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def from_planes(data: bytes, width: int) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(width, -1)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
     return np.ascontiguousarray(raw.T).view(f"<u{width}").ravel()
 
 
