@@ -1,8 +1,8 @@
 """Exact deduplication by distributed most-significant-digit radix partitioning.
 
-A text is read as a byte string and cut into digits: bytes 0..63, the next 128,
-the next 256 and so on (each level's digit is twice as wide, so a text of L bytes
-has about log2(L / 64) levels). Level by level every still undecided document is
+A text is read as a byte string and cut into digits: bytes 0..63, the next 256,
+the next 1024 and so on (each level's digit is four times as wide, so a text of L
+bytes has about log4(L / 64) levels). Level by level every still undecided document is
 put into the group of its parent group and its next digit:
 
 * a group of one document is finished - nothing equals it;
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from scorelens.llm import common as C
 
 FIRST_DIGIT = 64
+WIDER = 4
 SALTS = 16
 OUT = ["keep_id", "group_size", "kept"]
 
@@ -72,7 +73,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     # undecided documents keep the rest of their bytes in one written table
     open_ids = state.where("NOT __ended").select("__rid")
     rest = C.written(src.select("__rid", F.col(id_col).alias("__id"), raw.alias("__b")).join(open_ids.hint("merge"), "__rid"))
-    off, width = first_digit, 2 * first_digit
+    off, width = first_digit, WIDER * first_digit
     while not state.where("NOT __ended").isEmpty():
         part = rest.where(F.length("__b") > off).select(
             "__rid", "__id", digit(F.col("__b"), off, width).alias("__digit"),
@@ -80,7 +81,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         rows = part.join(state.where("NOT __ended").select("__rid", "__gid").hint("merge"), "__rid")
         state = C.written(_split(rows, salts))
         done.append(state.where("__ended"))
-        off, width = off + width, 2 * width
+        off, width = off + width, WIDER * width
     equal = done[0]
     for d in done[1:]:
         equal = equal.unionByName(d)
