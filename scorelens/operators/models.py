@@ -70,41 +70,68 @@ def train_random_forest(features: str = "features", label: str = "label_index",
 
 
 def train_boosted_trees(features: str = "features", label: str = "label_index", max_iter: int = 50,
-                        max_depth: int = 4, step: float = 0.1, seed: int = 42, parallelism: int = 2) -> OneVsRest:
+                        max_depth: int = 4, step: float = 0.1, seed: int = 42, parallelism: int = 2,
+                        weight: str | None = None) -> OneVsRest:
     """M-04: multi-class gradient boosting as one-vs-rest binary GBTs; the
     per-class margins are turned into normalised probabilities at scoring."""
     gbt = GBTClassifier(maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=seed)
-    return OneVsRest(classifier=gbt, featuresCol=features, labelCol=label, parallelism=parallelism)
+    out = OneVsRest(classifier=gbt, featuresCol=features, labelCol=label, parallelism=parallelism)
+    if weight:
+        out.setWeightCol(weight)
+    return out
 
 
 class OrdinalLogistic:
-    """M-05: all-threshold ordinal model as K-1 cumulative binary logistic fits
-    P(y > k); probabilities made monotone in k and differenced to classes.
-    (The thresholds do not share one slope as in the single-slope original.)"""
+    """M-05: all-threshold ordinal logistic model: one slope vector shared by the K-1
+    thresholds, fitted as one binary logistic regression on the rows stacked once per
+    threshold (is y > t?) with an indicator of the threshold as further features.
+    ``reg`` (alpha) is the L2 penalty on the slopes relative to the rows' total weight;
+    the indicators are scaled up so that their share of it does not count."""
 
-    def __init__(self, features: str = "features", label: str = "label_index", reg: float = 0.0):
-        self.features, self.label, self.reg = features, label, reg
-        self.models: list = []
+    INDICATOR = 100.0
+
+    def __init__(self, features: str = "features", label: str = "label_index", reg: float = 0.0,
+                 weight: str | None = None):
+        self.features, self.label, self.reg, self.weight = features, label, reg, weight
         self.k = 0
 
+    def _stack(self, df: DataFrame) -> DataFrame:
+        t = F.explode(F.sequence(F.lit(0), F.lit(self.k - 2))).alias("__t")
+        cols = [self.features, self.label] + ([self.weight] if self.weight else [])
+        s = df.select(*cols, t)
+        which = F.transform(F.sequence(F.lit(0), F.lit(self.k - 2)),
+                            lambda i: F.when(i == F.col("__t"), F.lit(self.INDICATOR)).otherwise(F.lit(0.0)))
+        return s.select(array_to_vector(F.concat(vector_to_array(self.features), which)).alias("__x"),
+                        (F.col(self.label) > F.col("__t")).cast("double").alias("__gt"),
+                        *([self.weight] if self.weight else []))
+
     def fit(self, df: DataFrame) -> "OrdinalLogistic":
         self.k = int(df.agg(F.max(self.label)).collect()[0][0]) + 1
-        self.models = []
-        for t in range(self.k - 1):
-            d = df.withColumn("__gt", (F.col(self.label) > t).cast("double"))
-            lr = LogisticRegression(featuresCol=self.features, labelCol="__gt", family="binomial",
-                                    regParam=self.reg, standardization=False, maxIter=200)
-            self.models.append(lr.fit(d))
+        if self.k < 2:
+            raise ValueError("an ordinal model needs two classes at least")
+        lr = LogisticRegression(featuresCol="__x", labelCol="__gt", family="binomial", fitIntercept=False,
+                                regParam=self.reg, standardization=False, maxIter=200)
+        if self.weight:
+            lr.setWeightCol(self.weight)
+        d = self._stack(df).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            w = lr.fit(d).coefficients.toArray()
+        finally:
+            d.unpersist()
+        p = len(w) - (self.k - 1)
+        self.slope = [float(x) for x in w[:p]]
+        # P(y > t) falls with t
+        self.cuts = sorted((float(x) * self.INDICATOR for x in w[p:]), reverse=True)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df
-        for t, m in enumerate(self.models):
-            out = (m.setPredictionCol(f"__pred{t}").setProbabilityCol(f"__prob{t}").setRawPredictionCol(f"__raw{t}")
-                   .transform(out))
-            out = out.withColumn(f"__gt{t}", vector_to_array(f"__prob{t}")[1]).drop(f"__pred{t}", f"__prob{t}", f"__raw{t}")
-        gts = [F.col(f"__gt{t}") for t in range(self.k - 1)]
-        mono = [F.least(*gts[: t + 1]) if t else gts[0] for t in range(self.k - 1)]
+        s = F.aggregate(F.zip_with(vector_to_array(self.features), F.array(*[F.lit(x) for x in self.slope]),
+                                   lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        out = df.withColumn("__s", s)
+        for t, c in enumerate(self.cuts):
+            out = out.withColumn(f"__gt{t}", 1.0 / (1.0 + F.exp(-(F.col("__s") + F.lit(c)))))
+        out = out.drop("__s")
+        mono = [F.col(f"__gt{t}") for t in range(self.k - 1)]
         probs = [1 - mono[0]] + [mono[t - 1] - mono[t] for t in range(1, self.k - 1)] + [mono[-1]]
         arr = F.array(*[F.greatest(p, F.lit(0.0)) for p in probs])
         out = out.withColumn("__p", arr).drop(*[f"__gt{t}" for t in range(self.k - 1)])
@@ -123,9 +150,9 @@ def build_estimator(spec: ModelSpec, features: str, label: str, weight: str | No
         return train_random_forest(features, label, weight, p.get("n_trees", 200), p.get("max_depth", 16), seed)
     if spec.kind == "gbt":
         return train_boosted_trees(features, label, p.get("max_iter", 50), p.get("max_depth", 4),
-                                   p.get("step", 0.1), seed)
+                                   p.get("step", 0.1), seed, weight=weight)
     if spec.kind == "ordinal":
-        return OrdinalLogistic(features, label, p.get("reg", 0.0))
+        return OrdinalLogistic(features, label, p.get("reg", 0.0), weight)
     raise ValueError(spec.kind)
 
 
@@ -156,10 +183,23 @@ def score_metrics(pred: DataFrame, label: str, n_classes: int) -> dict:
             "macro_auroc": au.get("macro"), "micro_auroc": au.get("micro")}
 
 
+NEEDS_SCALING = ("logistic", "ordinal")
+
+
+def scale_for_linear(train: DataFrame, test: DataFrame, features: str = "features") -> tuple[DataFrame, DataFrame]:
+    """Features centred and scaled by the train rows' moments (both splits)."""
+    sc = StandardScaler(inputCol=features, outputCol="__zf", withMean=True, withStd=True).fit(train)
+    fix = lambda d: sc.transform(d).drop(features).withColumnRenamed("__zf", features)
+    return fix(train), fix(test)
+
+
 def evaluate_model(spec: ModelSpec, train: DataFrame, test: DataFrame, features: str = "features",
                    label: str = "label_index", n_classes: int | None = None, weight: str | None = None,
                    seed: int = 42) -> tuple[dict, object]:
-    """M-10: fit, predict, all metrics and the fit seconds."""
+    """M-10: fit, predict, all metrics and the fit seconds. Linear kinds get features
+    scaled on the train rows."""
+    if spec.kind in NEEDS_SCALING:
+        train, test = scale_for_linear(train, test, features)
     # iterative fits make one pass per iteration: keep the inputs materialised
     # (frames the caller already cached stay cached afterwards)
     owned = [d for d in (train, test) if not d.is_cached]
@@ -183,10 +223,11 @@ def evaluate_model(spec: ModelSpec, train: DataFrame, test: DataFrame, features:
 
 def run_repeated(specs: list[ModelSpec], data: DataFrame, seeds: list[int], features: str = "features",
                  label: str = "label_index", conditions: dict[str, str | None] | None = None,
-                 split=None, parallel: int = 2, extra: dict | None = None) -> DataFrame:
+                 split=None, parallel: int = 2, extra: dict | None = None, prepare=None) -> DataFrame:
     """M-11: models x seeds x conditions -> long score cube
     ``(seed, condition, model, metric, value)``. ``split(data, seed)`` returns
-    (train, test); conditions map a name to a weight column (or None).
+    (train, test); ``prepare(train, test)`` may replace both by what it learns from the
+    train rows (weights, projections); conditions map a name to a weight column (or None).
     Fits are submitted from a small thread pool (concurrent Spark jobs)."""
     spark = data.sparkSession
     conditions = conditions or {"unweighted": None}
@@ -194,6 +235,8 @@ def run_repeated(specs: list[ModelSpec], data: DataFrame, seeds: list[int], feat
     splits = {}
     for s in seeds:
         tr, te = split(data, s)
+        if prepare is not None:
+            tr, te = prepare(tr, te)
         splits[s] = (tr.cache(), te.cache())
 
     def one(job):
@@ -235,40 +278,76 @@ def _centred_scaled(df: DataFrame, features: str):
     return z, sc
 
 
-def pca_scree(df: DataFrame, features: str = "features") -> DataFrame:
-    """P-18: explained-variance share per component and cumulative share."""
+def _full_pca(df: DataFrame, features: str):
+    """(scaled rows, PCA of all components): one scaler fit, one PCA fit."""
     z, _ = _centred_scaled(df, features)
     meta = df.schema[features].metadata.get("ml_attr", {})
     p = int(meta["num_attrs"]) if "num_attrs" in meta else int(len(z.select("__z").first()[0]))
-    model = PCA(k=p, inputCol="__z", outputCol="__pc").fit(z)
-    ev = [float(x) for x in model.explainedVariance]
+    return z, PCA(k=p, inputCol="__z", outputCol="__pc").fit(z)
+
+
+def _scree_rows(model) -> list[tuple[int, float, float]]:
     rows, cum = [], 0.0
-    for i, v in enumerate(ev):
-        cum += v
-        rows.append((i + 1, v, cum))
-    return df.sparkSession.createDataFrame(rows, "component int, share double, cumulative double")
+    for i, v in enumerate(model.explainedVariance):
+        cum += float(v)
+        rows.append((i + 1, float(v), cum))
+    return rows
+
+
+def pca_scree(df: DataFrame, features: str = "features") -> DataFrame:
+    """P-18: explained-variance share per component and cumulative share."""
+    _, model = _full_pca(df, features)
+    return df.sparkSession.createDataFrame(_scree_rows(model), "component int, share double, cumulative double")
 
 
 def pca_fixed_k(df: DataFrame, k: int, features: str = "features", out: str = "pca") -> tuple[DataFrame, object]:
     """P-17: project centred, scaled vectors on the first k components (sign
     fixed: the largest-|loading| entry of every component is positive)."""
-    z, sc = _centred_scaled(df, features)
-    model = PCA(k=k, inputCol="__z", outputCol="__pc").fit(z)
+    z, _ = _centred_scaled(df, features)
+    return _project(z, PCA(k=k, inputCol="__z", outputCol="__pc").fit(z), k, out)
+
+
+def _project(z: DataFrame, model, k: int, out: str) -> tuple[DataFrame, object]:
+    """The first k components of a fitted PCA, signs fixed."""
     pcm = model.pc.toArray()
     signs = [1.0 if pcm[abs(pcm[:, j]).argmax(), j] >= 0 else -1.0 for j in range(k)]
     res = model.transform(z).withColumn(out, array_to_vector(F.transform(
-        vector_to_array("__pc"), lambda v, i: v * F.element_at(F.array(*[F.lit(s) for s in signs]), i + 1))))
+        F.slice(vector_to_array("__pc"), 1, k), lambda v, i: v * F.element_at(F.array(*[F.lit(s) for s in signs]), i + 1))))
     return res.drop("__z", "__pc"), model
 
 
 def pca_variance(df: DataFrame, share: float = 0.95, features: str = "features", out: str = "pca"):
-    """P-16: smallest k whose cumulative explained variance reaches ``share``."""
-    scree = pca_scree(df, features).collect()
-    k = next((r["component"] for r in scree if r["cumulative"] >= share - 1e-12), len(scree))
-    res, model = pca_fixed_k(df, k, features, out)
+    """P-16: smallest k whose cumulative explained variance reaches ``share``; one fit
+    of all components, cut at k."""
+    z, model = _full_pca(df, features)
+    scree = _scree_rows(model)
+    k = next((c for c, _, cum in scree if cum >= share - 1e-12), len(scree))
+    res, model = _project(z, model, k, out)
     return k, res, model
 
 
+def pca_on_train(train: DataFrame, test: DataFrame, share: float = 0.95, features: str = "features"):
+    """(k, train, test) with ``features`` replaced by the first k components that reach
+    ``share``; scaler and components are fitted on the train rows only."""
+    sc = StandardScaler(inputCol=features, outputCol="__z", withMean=True, withStd=True).fit(train)
+    z = sc.transform(train)
+    model = PCA(k=int(sc.mean.size), inputCol="__z", outputCol="__pc").fit(z)
+    k = next((c for c, _, cum in _scree_rows(model) if cum >= share - 1e-12), int(sc.mean.size))
+    cut = lambda d: d.drop(features).withColumn(
+        features, array_to_vector(F.slice(vector_to_array("__pc"), 1, k))).drop("__z", "__pc")
+    return k, cut(model.transform(z)), cut(model.transform(sc.transform(test)))
+
+
 # ------------------------------------------------------------------- persist
 def fit_pipeline(stages: list, train: DataFrame) -> PipelineModel:
     return Pipeline(stages=stages).fit(train)
+
+
+def save_pipeline(model: PipelineModel, path: str) -> str:
+    """Write a fitted pipeline to a folder that all executors reach."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_pipeline(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.operators import stats
-from scorelens.plans.helpers import bounded_broadcast, to_long
+from scorelens.plans.helpers import to_long
 from scorelens.plans.rank import row_position
 
 
@@ -50,13 +50,11 @@ def label_encode(df: DataFrame, cols: list[str], suffix: str = "_code") -> DataF
     """P-04: sorted, 0-based code per level (LabelEncoder order, N9).
 
     Levels are ranked with the distributed running count over the distinct
-    (column, level) table, then joined back (broadcast when the level table is
-    proven small, shuffle otherwise)."""
+    (column, level) table, then joined back (AQE broadcasts a small level table)."""
     out = df
     for c in cols:
         lv = df.select(F.col(c).cast("string").alias("level")).where(F.col("level").isNotNull()).distinct()
         codes = row_position(lv, ["level"], out=f"{c}{suffix}").select("level", F.col(f"{c}{suffix}").cast("int"))
-        codes = bounded_broadcast(codes)
         out = out.join(codes, out[c].cast("string") == codes["level"], "left").drop("level")
     return out
 
@@ -205,28 +203,50 @@ def select_manual(df: DataFrame, cols: list[str], keep: list[str] | None = None)
 
 
 # ----------------------------------------------------------------- pipelines
-def preprocess_pipeline(numeric: list[str], categorical: list[str], out: str = "features"):
-    """P-08: median impute + standard scale numeric columns, one-hot categories
-    (all levels, unknown -> zeros), assembled into one vector. Returns an
-    unfitted ``Pipeline`` and the output slot names (``num__x``, ``cat__c_v``
-    are known after fitting)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-    stages = []
-    num_out = []
-    if numeric:
-        imp = [f"__imp_{c}" for c in numeric]
-        stages.append(Imputer(strategy="median", inputCols=numeric, outputCols=imp))
-        stages.append(VectorAssembler(inputCols=imp, outputCol="__num_raw", handleInvalid="keep"))
-        stages.append(StandardScaler(inputCol="__num_raw", outputCol="__num", withMean=True, withStd=True))
-        num_out = ["__num"]
-    cat_out = []
-    for c in categorical:
-        stages.append(StringIndexer(inputCol=c, outputCol=f"__idx_{c}", stringOrderType="alphabetAsc",
-                                    handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCol=f"__idx_{c}", outputCol=f"__oh_{c}", dropLast=True,
-                                    handleInvalid="keep"))
-        cat_out.append(f"__oh_{c}")
-    stages.append(VectorAssembler(inputCols=num_out + cat_out, outputCol=out))
-    return Pipeline(stages=stages)
-
+class PreprocessPipeline:
+    """P-08: median impute + standard scale (population std) of numeric columns,
+    one-hot of categories (all levels, an unknown level or NULL -> zeros), as one
+    vector column. ``fit`` learns exact medians, moments and levels from the rows it
+    gets; a column with more than ``max_levels`` levels is refused."""
+
+    def __init__(self, numeric: list[str], categorical: list[str], out: str = "features", max_levels: int = 1000):
+        self.numeric, self.categorical, self.out, self.max_levels = numeric, categorical, out, max_levels
+
+    def fit(self, train: DataFrame) -> "PreprocessModel":
+        medians: dict = {c: None for c in self.numeric}
+        if self.numeric:
+            from scorelens.plans.rank import exact_quantiles
+            q = exact_quantiles(to_long(train, self.numeric), ["feature"], "value", [0.5]).collect()  # one row per column
+            medians |= {r["feature"]: r["q"] for r in q}
+        medians = {c: 0.0 if m is None else float(m) for c, m in medians.items()}   # a column without values
+        x = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in self.numeric}
+        row = train.agg(F.count(F.lit(1)), *[f(x[c]) for c in self.numeric for f in (F.avg, F.stddev_pop)]).first()
+        moments = {c: (row[1 + 2 * i] or 0.0, row[2 + 2 * i] or 1.0) for i, c in enumerate(self.numeric)}
+        levels = {}
+        for c in self.categorical:
+            got = train.select(F.col(c).cast("string")).where(F.col(c).isNotNull()).distinct().limit(self.max_levels + 1).collect()
+            if len(got) > self.max_levels:
+                raise ValueError(f"{c} has more than {self.max_levels} levels")
+            levels[c] = sorted(r[0] for r in got)
+        return PreprocessModel(self, medians, moments, levels)
+
+
+class PreprocessModel:
+    """A fitted ``PreprocessPipeline``; ``names`` are the vector's slots."""
+
+    def __init__(self, pipe: PreprocessPipeline, medians: dict, moments: dict, levels: dict):
+        self.pipe, self.medians, self.moments, self.levels = pipe, medians, moments, levels
+        self.names = [f"num__{c}" for c in pipe.numeric] + [f"cat__{c}_{v}" for c in pipe.categorical for v in levels[c]]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector
+        slots = [(F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) - self.moments[c][0]) / F.lit(self.moments[c][1])
+                 for c in self.pipe.numeric]
+        slots += [F.coalesce((F.col(c).cast("string") == v).cast("double"), F.lit(0.0))
+                  for c in self.pipe.categorical for v in self.levels[c]]
+        return df.withColumn(self.pipe.out, array_to_vector(F.array(*slots)))
+
+
+def preprocess_pipeline(numeric: list[str], categorical: list[str], out: str = "features") -> PreprocessPipeline:
+    """P-08: the unfitted pipeline of ``PreprocessPipeline``."""
+    return PreprocessPipeline(numeric, categorical, out)

@@ -8,6 +8,7 @@ the already aggregated rows (one row per test).
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,21 +44,23 @@ def corr_with_target(df: DataFrame, features: list[str], target: str) -> DataFra
 def pearson_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """All pairs (var1, var2, r) including the diagonal, pairwise-complete.
 
-    One aggregate over the data computes the p(p-1)/2 coefficients; p is the
-    number of columns (bounded), the row count is not involved in the size.
+    One aggregation by (var1, var2) over the rows' column pairs: the plan has a fixed
+    number of aggregates however many columns there are, and map-side combining
+    leaves p(p-1)/2 rows for each task.
     """
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    if not pairs:
+    if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "var1 string, var2 string, r double")
-    row = df.agg(*[_pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    structs = []
-    for i, (a, b) in enumerate(pairs):
-        structs.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"r{i}").alias("r")))
-        structs.append(F.struct(F.lit(b).alias("var1"), F.lit(a).alias("var2"), F.col(f"r{i}").alias("r")))
-    for c in cols:
-        structs.append(F.struct(F.lit(c).alias("var1"), F.lit(c).alias("var2"), F.lit(1.0).alias("r")))
-    return row.select(F.inline(F.array(*structs)))
+    row = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
+                      for i in range(len(cols)) for j in range(i + 1, len(cols))])
+    each = row.select("x", F.explode(pairs).alias("p")).select("p", F.col("x")[F.col("p.i")].alias("a"),
+                                                               F.col("x")[F.col("p.j")].alias("b"))
+    r = each.groupBy("p").agg(_pearson(F.col("a"), F.col("b")).alias("r"))
+    name = F.array(*[F.lit(c) for c in cols])
+    v1, v2 = name[F.col("p.i")], name[F.col("p.j")]
+    both = F.array(F.struct(v1.alias("var1"), v2.alias("var2"), "r"), F.struct(v2.alias("var1"), v1.alias("var2"), "r"))
+    same = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "var1 string, var2 string, r double")
+    return r.select(F.inline(both)).unionByName(same)
 
 
 def corr_matrix_topn(df: DataFrame, features: list[str], target: str, n: int) -> DataFrame:
@@ -89,7 +92,8 @@ def average_rank(df: DataFrame, value: str, groups: list[str] | None = None,
 
 
 def spearman_with_target(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """T-04: Spearman rho of every feature with the target, plus the t statistic.
+    """T-04: Spearman rho of every feature with the target, the t statistic and its
+    two-sided p-value (n - 2 degrees of freedom; NULL where rho or t is).
 
     Ranks of the features come from the distributed rank over the long form;
     the target is ranked the same way (it is low-cardinality here, but the plan
@@ -115,14 +119,16 @@ def spearman_with_target(df: DataFrame, features: list[str], target: str) -> Dat
     rho = F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
     res = m.select("feature", rho.alias("rho"), n.cast("long").alias("n"))
     t = F.col("rho") * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), 1.0 - F.col("rho") * F.col("rho")))
-    return res.select("feature", "rho", "n", t.alias("t_stat"))
+    res = res.select("feature", "rho", "n", t.alias("t_stat"), (F.col("n") - 2).alias("__df"))
+    return with_t_pvalue(res, "t_stat", "__df").drop("__df")
 
 
 def with_t_pvalue(df: DataFrame, t_col: str, df_col: str, out: str = "p_value") -> DataFrame:
     """Two-sided Student-t p-value, pandas UDF over already aggregated rows."""
     @F.pandas_udf(T.DoubleType())
     def _p(t: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series(PV.t_two_sided(t.astype(float).to_numpy(), d.astype(float).to_numpy()))
+        p = PV.t_two_sided(t.astype(float).to_numpy(), d.astype(float).to_numpy()) if len(t) else []
+        return pd.Series([None if np.isnan(x) else x for x in p], dtype="float64")
     return df.withColumn(out, _p(F.col(t_col).cast("double"), F.col(df_col).cast("double")))
 
 
@@ -202,15 +208,15 @@ def mann_whitney_u(df: DataFrame, value: str, group: str, positive, by: list[str
     out = s.select(*by, F.col("n1").cast("long").alias("n1"), F.col("n2").cast("long").alias("n2"),
                    u.alias("u"), mu.alias("mu"), sigma.alias("sigma"))
     if alternative == "greater":
-        z = "((u - mu - 0.5e0) / nullif(sigma, 0))"
-        p = PV.norm_sf_sql(z)
+        z = F.expr("(u - mu - 0.5e0) / nullif(sigma, 0)")
+        p = PV.norm_sf_column(z)
     elif alternative == "less":
-        z = "((u - mu + 0.5e0) / nullif(sigma, 0))"
-        p = f"(1e0 - {PV.norm_sf_sql(z)})"
+        z = F.expr("(u - mu + 0.5e0) / nullif(sigma, 0)")
+        p = 1.0 - PV.norm_sf_column(z)
     else:
-        z = "((abs(u - mu) - 0.5e0) / nullif(sigma, 0))"
-        p = f"least(1e0, 2e0 * {PV.norm_sf_sql(z)})"
-    return out.select(*by, "n1", "n2", "u", F.expr(z).alias("z"), F.expr(p).alias("p_value"))
+        z = F.expr("(abs(u - mu) - 0.5e0) / nullif(sigma, 0)")
+        p = F.least(F.lit(1.0), 2.0 * PV.norm_sf_column(z))
+    return out.select(*by, "n1", "n2", "u", z.alias("z"), p.alias("p_value"))
 
 
 def welch_t(df: DataFrame, value: str, group: str, positive, by: list[str] | None = None,
@@ -328,19 +334,23 @@ def _signed_rank(d: DataFrame, keys: list[str], diff: str) -> DataFrame:
 
 def _wilcoxon_exact_udf(alternative: str):
     @F.pandas_udf(T.DoubleType())
-    def _p(w_plus: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([PV.wilcoxon_exact_p(wp, int(nn), alternative) if 0 < nn <= 50 else float("nan")
-                          for wp, nn in zip(w_plus, n)], dtype=float)
+    def _p(w_plus: pd.Series, n: pd.Series, exact: pd.Series) -> pd.Series:
+        return pd.Series([PV.wilcoxon_exact_p(wp, int(nn), alternative) if use and nn > 0 else float("nan")
+                          for wp, nn, use in zip(w_plus, n, exact)], dtype=float)
     return _p
 
 
-def wilcoxon_normal_p_sql(alternative: str, q: str = "") -> str:
-    """Normal approximation with tie correction, no continuity correction.
-    ``q`` qualifies the column names (``n``, ``tie_term``, ``w_plus``)."""
+def _wilcoxon_z_sql(q: str = "") -> str:
     n, tt, wp = f"{q}n", f"{q}tie_term", f"{q}w_plus"
     mu = f"({n} * ({n} + 1) / 4e0)"
     se = f"sqrt({n} * ({n} + 1) * (2 * {n} + 1) / 24e0 - {tt} / 48e0)"
-    z = f"(({wp} - {mu}) / nullif({se}, 0))"
+    return f"(({wp} - {mu}) / nullif({se}, 0))"
+
+
+def wilcoxon_normal_p_sql(alternative: str, q: str = "") -> str:
+    """Normal approximation with tie correction, no continuity correction, as text for
+    the oracle. ``q`` qualifies the column names (``n``, ``tie_term``, ``w_plus``)."""
+    z = _wilcoxon_z_sql(q)
     if alternative == "two-sided":
         p = f"least(1e0, 2e0 * {PV.norm_sf_sql(f'abs({z})')})"
     elif alternative == "greater":
@@ -350,17 +360,31 @@ def wilcoxon_normal_p_sql(alternative: str, q: str = "") -> str:
     return f"coalesce({p}, 1e0)"
 
 
-def _wilcoxon_p(alternative: str):
-    """Exact distribution when n <= 50 without zeros or ties (as scipy 'auto'),
-    otherwise the normal approximation; n = 0 -> 1."""
-    exact_ok = (F.col("n") > 0) & (F.col("n") == F.col("n_pairs")) & (F.col("max_tie") <= 1) & (F.col("n") <= 50)
+WILCOXON_METHODS = ("auto", "exact", "approx")
+
+
+def _wilcoxon_p(alternative: str, method: str = "auto", exact_max_n: int = 50):
+    """p-value by ``method``: 'exact' takes the exact distribution wherever there are
+    no zeros or ties (it does not exist otherwise), 'approx' the normal approximation
+    everywhere, 'auto' the exact one up to ``exact_max_n`` differences (the usual
+    library rule, default 50); n = 0 -> 1."""
+    if method not in WILCOXON_METHODS:
+        raise ValueError(f"method must be one of {WILCOXON_METHODS}")
+    exact_ok = (F.col("n") > 0) & (F.col("n") == F.col("n_pairs")) & (F.col("max_tie") <= 1)
+    if method == "auto":
+        exact_ok = exact_ok & (F.col("n") <= exact_max_n)
+    elif method == "approx":
+        exact_ok = F.lit(False)
+    z = F.expr(_wilcoxon_z_sql())
+    approx = {"two-sided": F.least(F.lit(1.0), 2.0 * PV.norm_sf_column(F.abs(z))), "greater": PV.norm_sf_column(z),
+              "less": 1.0 - PV.norm_sf_column(z)}[alternative]
     return (F.when(F.col("n") == 0, F.lit(1.0))
-             .when(exact_ok, _wilcoxon_exact_udf(alternative)(F.col("w_plus"), F.col("n")))
-             .otherwise(F.expr(wilcoxon_normal_p_sql(alternative))))
+             .when(exact_ok, _wilcoxon_exact_udf(alternative)(F.col("w_plus"), F.col("n"), exact_ok))
+             .otherwise(F.coalesce(approx, F.lit(1.0))))
 
 
 def wilcoxon_pairs(scores: DataFrame, block: str, treatment: str, value: str,
-                   by: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
+                   by: list[str] | None = None, alpha: float = 0.05, method: str = "auto") -> DataFrame:
     """T-12: signed-rank test for every treatment pair a < b over shared blocks;
     all-zero differences -> (W 0, p 1); Bonferroni over the pairs of a group."""
     by = by or []
@@ -370,14 +394,15 @@ def wilcoxon_pairs(scores: DataFrame, block: str, treatment: str, value: str,
           .select(*by, "a", "b", block, (F.col("va") - F.col("vb")).alias("d")))
     s = _signed_rank(d, [*by, "a", "b"], "d")
     s = s.withColumn("w", F.least("w_plus", "w_minus"))
-    s = s.withColumn("p_value", _wilcoxon_p("two-sided"))
+    s = s.withColumn("p_value", _wilcoxon_p("two-sided", method))
     m = F.count(F.lit(1)).over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1)))
     return (s.withColumn("p_adj", F.least(F.col("p_value") * m, F.lit(1.0)))
              .withColumn("significant", F.col("p_adj") < alpha))
 
 
 def wilcoxon_vs_baseline(scores: DataFrame, block: str, treatment: str, value: str, baseline: str,
-                         by: list[str] | None = None, alpha: float = 0.05, min_n: int = 3) -> DataFrame:
+                         by: list[str] | None = None, alpha: float = 0.05, min_n: int = 3,
+                         method: str = "auto") -> DataFrame:
     """T-13: every treatment vs one baseline; Bonferroni factor = tests run
     (treatments x ``by`` groups); skipped (NULL) when n < min_n or all zero."""
     by = by or []
@@ -387,13 +412,13 @@ def wilcoxon_vs_baseline(scores: DataFrame, block: str, treatment: str, value: s
     s = _signed_rank(d, [*by, treatment], "d")
     ok = (F.col("n_pairs") >= min_n) & (F.col("n") > 0)
     s = s.withColumn("w", F.when(ok, F.least("w_plus", "w_minus")))
-    s = s.withColumn("p_value", F.when(ok, _wilcoxon_p("two-sided")))
+    s = s.withColumn("p_value", F.when(ok, _wilcoxon_p("two-sided", method)))
     m = F.count(F.col("p_value")).over(Window.partitionBy(F.lit(1)))
     return (s.withColumn("p_adj", F.least(F.col("p_value") * m, F.lit(1.0)))
              .withColumn("significant", F.col("p_adj") < alpha))
 
 
-def wilcoxon_gt_zero(df: DataFrame, key: str, value: str, alpha: float = 0.05) -> DataFrame:
+def wilcoxon_gt_zero(df: DataFrame, key: str, value: str, alpha: float = 0.05, method: str = "auto") -> DataFrame:
     """T-14: one-sample one-sided signed-rank test of value > 0 per key.
 
     All zero -> p 1; all values positive and equal -> p 0 (forced, as the
@@ -402,7 +427,7 @@ def wilcoxon_gt_zero(df: DataFrame, key: str, value: str, alpha: float = 0.05) -
     s = _signed_rank(df.select(key, F.col(value).alias("d")), [key], "d")
     stats_ = df.groupBy(key).agg(F.min(value).alias("mn"), F.max(value).alias("mx"))
     s = s.join(stats_, key)
-    p_raw = _wilcoxon_p("greater")
+    p_raw = _wilcoxon_p("greater", method)
     p = (F.when(F.col("n") == 0, 1.0)
          .when((F.col("mn") == F.col("mx")) & (F.col("mn") > 0), 0.0)
          .otherwise(p_raw))

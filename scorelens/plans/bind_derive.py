@@ -25,15 +25,11 @@ def q_filter(spark, sf):
     return d.select("row_key", "area", "product", "l_quantity")
 
 
-@register("exclude_columns", sql=f"""
-SELECT 'cols' AS k, string_agg(column_name, ',' ORDER BY column_name) AS kept FROM
-(SELECT unnest(['row_key', 'l_orderkey', 'l_linenumber', 'l_partkey', 'grade', 'year', 'area', 'product', 'client',
- 'l_quantity', 'l_discount', 'l_tax', 'p_size', 'c_acctbal']) AS column_name) c
+@register("exclude_columns", dbl=["l_quantity", "l_discount", "l_tax", "p_size", "c_acctbal"], sql=f"""
+SELECT * EXCLUDE (l_extendedprice, p_retailprice, o_totalprice) FROM {W1}
 """)
 def q_exclude(spark, sf):
-    d = derive.exclude_columns(V.w1(spark, sf), contains="price")
-    # the kept column list is the result; the frame itself stays lazy
-    return d.limit(1).select(F.lit("cols").alias("k"), F.lit(",".join(sorted(d.columns))).alias("kept"))
+    return derive.exclude_columns(V.w1(spark, sf), contains="price")
 
 
 @register("dropna_rows", dbl=["l_discount", "l_tax"], sql=f"""

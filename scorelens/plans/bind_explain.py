@@ -13,7 +13,7 @@ from scorelens.plans.registry import register
 W1 = f"({V.W1_SQL}) w1"
 W2 = f"({V.W2_SQL}) w2"
 FE = V.FEATURES
-AF = ["l_quantity", "p_size", "l_linenumber"]        # integer-valued attribution inputs
+AF = V.FEATURES                                      # all attribution inputs
 COEF = {k: {f: round((k - 2) * (i + 1) / 10.0, 6) for i, f in enumerate(AF)} for k in V.CLASSES}
 BG_YEAR = 1995                                       # background rows for the attribution baseline
 DIMS = [f"e{i}" for i in range(V.EMB_DIM)]

@@ -1,8 +1,8 @@
 """Rows-checked bindings for training, PCA, importance, attribution and scoring.
 
-Model fitting is randomised / iterative, so these have no SQL oracle; they run
-on the synthetic survey generated from every row of ``orders`` (its work grows
-with the table) and are checked for schema, row count and quality in tests.
+Model fitting is randomised / iterative, so these have no SQL oracle. They train on
+the ``W2`` view (every row of ``embeddings``, its 64 numbers as columns, label =
+class) and are checked for schema, row count and quality in tests.
 """
 
 from __future__ import annotations
@@ -16,45 +16,38 @@ from scorelens.operators import importance as I
 from scorelens.operators import models as MD
 from scorelens.operators import prep
 from scorelens.plans import views as V
-from scorelens.plans.bind_sources import SURVEY_CLASS_PROBS
 from scorelens.plans.registry import register
-from scorelens.sources import io, synth
+from scorelens.sources import io
 
-SCORES = [f"{d}_{k}_{p}" for d in synth.DOMAINS for k in synth.KINDS for p in synth.PARTS + ["total"]]
-TOTALS = [c for c in SCORES if c.endswith("_total")]
-PARTS = [c for c in SCORES if not c.endswith("_total")]
-FAST = {"logistic": MD.ModelSpec("logistic", params={"max_iter": 100}),
-        "tree": MD.ModelSpec("tree", params={"max_depth": 6, "min_leaf": 10}),
-        "forest": MD.ModelSpec("forest", params={"n_trees": 20, "max_depth": 8}),
-        "gbt": MD.ModelSpec("gbt", params={"max_iter": 10, "max_depth": 3}),
-        "ordinal": MD.ModelSpec("ordinal")}
+DIMS = [f"e{i}" for i in range(V.EMB_DIM)]
+CLASSES = list(range(10))
+# the reference's settings (boosting: rounds of this library's default)
+SPECS = {"logistic": MD.ModelSpec("logistic", params={"max_iter": 200}),
+         "tree": MD.ModelSpec("tree", params={"max_depth": 8, "min_leaf": 10}),
+         "forest": MD.ModelSpec("forest", params={"n_trees": 300, "max_depth": 16}),
+         "gbt": MD.ModelSpec("gbt", params={"max_iter": 50, "max_depth": 4}),
+         "ordinal": MD.ModelSpec("ordinal", params={"reg": 1e-4})}
+SEEDS = [42, 142, 242, 342, 442]
 
 
-def survey(spark, sf, cols=None):
-    keys = V.read(spark, sf, "orders").select("o_orderkey")
-    s = synth.synth_survey_latent(keys, "o_orderkey", SURVEY_CLASS_PROBS)
-    s = s.withColumn("label_index", (F.col("rpi") - 1).cast("double"))
-    return MD.assemble(s, cols or SCORES)
+def labelled(df):
+    """W2 rows with a class (label) from 0 and the id's name used below."""
+    return (df.withColumnRenamed("vec_id", "id").where(F.col("label").isNotNull())
+              .withColumn("label_index", F.col("label").cast("double")))
 
 
-def split(df, seed=42):
-    d = prep.split_stratified(df, ["id"], "rpi", 0.2, seed)
-    return d.where("split = 'train'"), d.where("split = 'test'")
+def data(spark, sf, cols=None):
+    return MD.assemble(labelled(V.w2(spark, sf)), cols or DIMS)
 
 
-def scale_for_linear(tr, te):
-    """Linear models get standardised features fitted on the train split (the
-    reference scales once before its linear fits)."""
-    sc = StandardScaler(inputCol="features", outputCol="__zf", withMean=True, withStd=True).fit(tr)
-    fix = lambda d: sc.transform(d).drop("features").withColumnRenamed("__zf", "features")
-    return fix(tr), fix(te)
+def split(df, seed=42):
+    d = prep.split_stratified(df, ["id"], "label", 0.2, seed)
+    return d.where("split = 'train'"), d.where("split = 'test'")
 
 
 def _eval(spark, sf, spec, cols=None, seed=42):
-    tr, te = split(survey(spark, sf, cols), seed)
-    if spec.kind in ("logistic", "ordinal"):
-        tr, te = scale_for_linear(tr, te)
-    res, _ = MD.evaluate_model(spec, tr, te, n_classes=5, seed=seed)
+    tr, te = split(data(spark, sf, cols), seed)
+    res, _ = MD.evaluate_model(spec, tr, te, n_classes=len(CLASSES), seed=seed)
     return spark.createDataFrame([(spec.label, *[float(res[k]) if res[k] is not None else None for k in
                                                  ("accuracy", "macro_f1", "micro_f1", "macro_auroc", "micro_auroc",
                                                   "fit_seconds")])],
@@ -64,27 +57,27 @@ def _eval(spark, sf, spec, cols=None, seed=42):
 
 @register("train_logistic")
 def q_train_logistic(spark, sf):
-    return _eval(spark, sf, FAST["logistic"])
+    return _eval(spark, sf, SPECS["logistic"])
 
 
 @register("train_decision_tree")
 def q_train_tree(spark, sf):
-    return _eval(spark, sf, FAST["tree"])
+    return _eval(spark, sf, SPECS["tree"])
 
 
 @register("train_random_forest")
 def q_train_forest(spark, sf):
-    return _eval(spark, sf, FAST["forest"])
+    return _eval(spark, sf, SPECS["forest"])
 
 
 @register("train_boosted_trees")
 def q_train_gbt(spark, sf):
-    return _eval(spark, sf, FAST["gbt"], cols=TOTALS)
+    return _eval(spark, sf, SPECS["gbt"])
 
 
 @register("train_ordinal_logistic")
 def q_train_ordinal(spark, sf):
-    return _eval(spark, sf, FAST["ordinal"], cols=TOTALS)
+    return _eval(spark, sf, SPECS["ordinal"])
 
 
 @register("evaluate_model")
@@ -92,30 +85,30 @@ def q_evaluate_model(spark, sf):
     return _eval(spark, sf, MD.ModelSpec("tree", "tree_depth4", {"max_depth": 4}))
 
 
-def _weighted(df):
-    return prep.balanced_class_weight(df, "rpi", "w")
+def weigh(train, test):
+    """Balanced class weights of the train rows (the test rows need none)."""
+    return prep.balanced_class_weight(train, "label", "w"), test.withColumn("w", F.lit(1.0))
 
 
 @register("run_repeated")
 def q_run_repeated(spark, sf):
-    d = _weighted(survey(spark, sf, TOTALS))
-    return MD.run_repeated([FAST["logistic"], FAST["tree"]], d, [42, 142], conditions={"unweighted": None,
-                                                                                         "weighted": "w"},
-                           split=lambda x, s: split(x, s))
+    return MD.run_repeated([SPECS["logistic"], SPECS["tree"]], data(spark, sf), SEEDS,
+                           conditions={"unweighted": None, "weighted": "w"}, split=split, prepare=weigh)
 
 
 @register("strategy_benchmark")
 def q_strategy_benchmark(spark, sf):
-    base = survey(spark, sf)
-    tr, _ = split(base)
-    mi = prep.select_k_best_mi(tr, SCORES, "rpi", k=12).collect()
-    chosen = [r["feature"] for r in mi]
-    k, pca_df, _ = MD.pca_variance(base, 0.95)
-    variants = {"all": base, "mi_top12": MD.assemble(base.drop("features"), chosen),
-                f"pca{k}": pca_df.drop("features").withColumnRenamed("pca", "features")}
+    """One seed, as the reference's table of strategies; what a strategy learns, it
+    learns from the train rows."""
+    base = data(spark, sf)
+
+    def best_mi(tr, te):
+        chosen = [r["feature"] for r in prep.select_k_best_mi(tr, DIMS, "label", k=25).collect()]
+        return tuple(MD.assemble(d.drop("features"), chosen) for d in (tr, te))
+
     out = None
-    for name, d in variants.items():
-        r = MD.run_repeated([FAST["logistic"], FAST["tree"]], d, [42], split=lambda x, s: split(x, s),
+    for name, prepare in (("all", None), ("mi_top25", best_mi), ("pca95", lambda tr, te: MD.pca_on_train(tr, te, 0.95)[1:])):
+        r = MD.run_repeated([SPECS["logistic"], SPECS["tree"]], base, [42], split=split, prepare=prepare,
                             extra={"strategy": name})
         out = r if out is None else out.unionByName(r)
     return out
@@ -123,9 +116,9 @@ def q_strategy_benchmark(spark, sf):
 
 @register("ablation_excluded")
 def q_ablation(spark, sf):
-    d = survey(spark, sf, PARTS)        # the 12 *_total columns left out
-    return MD.run_repeated([FAST["logistic"], FAST["tree"]], d, [42], split=lambda x, s: split(x, s),
-                           extra={"excluded": "totals"})
+    """One seed, as the reference's ablation: every fourth column left out."""
+    d = data(spark, sf, [c for i, c in enumerate(DIMS) if i % 4 != 3])
+    return MD.run_repeated([SPECS["logistic"], SPECS["tree"]], d, [42], split=split, extra={"excluded": "every_fourth"})
 
 
 @register("preprocess_pipeline")
@@ -139,32 +132,32 @@ def q_preprocess_pipeline(spark, sf):
 
 @register("pca_variance")
 def q_pca_variance(spark, sf):
-    k, res, _ = MD.pca_variance(survey(spark, sf), 0.95)
+    k, res, _ = MD.pca_variance(data(spark, sf), 0.95)
     return res.select("id", F.lit(k).alias("k"), vector_to_array("pca").alias("pca"))
 
 
 @register("pca_fixed_k")
 def q_pca_fixed_k(spark, sf):
-    res, _ = MD.pca_fixed_k(survey(spark, sf), 5)
+    res, _ = MD.pca_fixed_k(data(spark, sf), 5)
     return res.select("id", vector_to_array("pca").alias("pca"))
 
 
 @register("pca_scree")
 def q_pca_scree(spark, sf):
-    return MD.pca_scree(survey(spark, sf))
+    return MD.pca_scree(data(spark, sf))
 
 
 @register("native_importance")
 def q_native_importance(spark, sf):
-    tr, _ = split(survey(spark, sf))
-    m = MD.train_random_forest(n_trees=20, max_depth=8).fit(tr)
-    return I.native_importance(m, SCORES)
+    tr, _ = split(data(spark, sf))
+    m = MD.train_random_forest(n_trees=300, max_depth=16).fit(tr)
+    return I.native_importance(m, DIMS)
 
 
 @register("native_importance_seeds")
 def q_native_importance_seeds(spark, sf):
-    tr, _ = split(survey(spark, sf, TOTALS))
-    return I.native_importance_seeds(FAST["tree"], tr, TOTALS, [42, 142, 242])
+    tr, _ = split(data(spark, sf))
+    return I.native_importance_seeds(SPECS["tree"], tr, DIMS, SEEDS)
 
 
 class _LRPipeline:
@@ -180,7 +173,7 @@ class _LRPipeline:
             n = float(train.count())
             return Pipeline(stages=[VectorAssembler(inputCols=self.cols, outputCol="__raw"),
                                     StandardScaler(inputCol="__raw", outputCol="features", withMean=True, withStd=True),
-                                    MD.train_logistic(n_rows=n, max_iter=100)]).fit(train)
+                                    MD.train_logistic(n_rows=n, max_iter=200)]).fit(train)
         finally:
             train.unpersist()
 
@@ -191,47 +184,50 @@ def _lr_pipeline(cols):
 
 @register("permutation_importance")
 def q_permutation_importance(spark, sf):
-    s = survey(spark, sf, TOTALS).drop("features")
+    s = data(spark, sf).drop("features")
     tr, te = split(s)
-    model = _lr_pipeline(TOTALS).fit(tr)
-    return I.permutation_importance(model, te, TOTALS, "label_index", "id", repeats=2)
+    model = _lr_pipeline(DIMS).fit(tr)
+    return I.permutation_importance(model, te, DIMS, "label_index", "id", repeats=15)
 
 
 @register("tree_attribution")
 def q_tree_attribution(spark, sf):
-    tr, te = split(survey(spark, sf, TOTALS))
-    m = MD.train_decision_tree(max_depth=4, min_leaf=10).fit(tr)
-    return I.tree_attribution(m, te, TOTALS, "id")
+    tr, te = split(data(spark, sf))
+    m = MD.train_decision_tree(max_depth=8, min_leaf=10).fit(tr)
+    return I.tree_attribution(m, te, DIMS, "id")
 
 
 @register("whatif_scenarios")
 def q_whatif(spark, sf):
-    s = survey(spark, sf, TOTALS).drop("features")
+    s = data(spark, sf).drop("features")
     tr, _ = split(s)
-    model = _lr_pipeline(TOTALS).fit(tr)
-    return I.whatif_scenarios(model, tr, TOTALS, ["t1_csi_total", "d_cci_total"], steps=100, n_classes=5)
+    model = _lr_pipeline(DIMS).fit(tr)
+    return I.whatif_scenarios(model, tr, DIMS, ["e0", "e7"], steps=100, n_classes=len(CLASSES))
+
+
+def _saved_model(spark, sf):
+    """A fitted pipeline, written to the shared folder and loaded again; and the test rows."""
+    tr, te = split(data(spark, sf).drop("features"))
+    path = MD.save_pipeline(_lr_pipeline(DIMS).fit(tr), io.output_root(spark, "model"))
+    return MD.load_pipeline(path), te
 
 
 @register("batch_score")
 def q_batch_score(spark, sf):
-    s = survey(spark, sf, TOTALS).drop("features")
-    tr, te = split(s)
-    model = _lr_pipeline(TOTALS).fit(tr)
-    return I.batch_score(model, te, class_labels=[1, 2, 3, 4, 5], keep=["id"])
+    model, te = _saved_model(spark, sf)
+    return I.batch_score(model, te, class_labels=CLASSES, keep=["id"])
 
 
 @register("batch_score_stream")
 def q_batch_score_stream(spark, sf):
-    """I-19 on a stream: orders arrive as a file stream, the survey transform and
-    the saved pipeline are applied per micro-batch, output lands in a table."""
+    """I-19 on a stream: embeddings arrive as a file stream, the saved pipeline is
+    applied per micro-batch, output lands in a table."""
     from scorelens.streaming.score import run_to_table, score_stream
-    s = survey(spark, sf, TOTALS).drop("features")
-    tr, _ = split(s)
-    model = _lr_pipeline(TOTALS).fit(tr)
-    orders_schema = V.read(spark, sf, "orders").schema
-    stream = spark.readStream.schema(orders_schema).option("pathGlobFilter", "orders.parquet").parquet(sf)
-    feats = synth.synth_survey_latent(stream.select("o_orderkey"), "o_orderkey", SURVEY_CLASS_PROBS)
-    scored = score_stream(model, feats, [1, 2, 3, 4, 5], keep=["id"])
+    model, _ = _saved_model(spark, sf)
+    schema = V.read(spark, sf, "embeddings").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/embeddings.parquet*")
+    cols = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(V.EMB_DIM)]
+    scored = score_stream(model, stream.select(F.col("vec_id").alias("id"), *cols), CLASSES, keep=["id"])
     root = io.output_root(spark, "stream")
     run_to_table(scored, f"{root}/_checkpoint", f"{root}/data")
     return spark.read.parquet(f"{root}/data")

@@ -43,15 +43,12 @@ def q_null_cells(spark, sf):
     return profile.null_cell_count(V.w1n(spark, sf))
 
 
-_DUP_COLS = ["area", "product", "client", "grade", "year"]
-
-
 @register("duplicate_rows", sql=f"""
 SELECT cast(coalesce(sum(c - 1), 0) AS bigint) AS duplicate_rows, count(*) AS distinct_rows
-FROM (SELECT {', '.join(_DUP_COLS)}, count(*) AS c FROM {W1} GROUP BY ALL) g
+FROM (SELECT *, count(*) AS c FROM {W1} GROUP BY ALL) g
 """)
 def q_duplicate_rows(spark, sf):
-    return profile.duplicate_rows(V.w1(spark, sf).select(*_DUP_COLS))
+    return profile.duplicate_rows(V.w1(spark, sf))
 
 
 @register("constant_columns", sql=" UNION ALL ".join(

@@ -54,14 +54,21 @@ def q_corr_matrix_topn(spark, sf):
     return stats.corr_matrix_topn(V.w1(spark, sf), FE, "grade", 4)
 
 
+# the scores and three sums of them, so that there are collinear pairs to find
+_SUMS = {"net": "l_extendedprice * (1 - l_discount)", "gross": "l_extendedprice * (1 + l_tax)", "stock": "l_quantity + l_tax"}
+_W1S = "(SELECT *, " + ", ".join(f"{e} AS {n}" for n, e in _SUMS.items()) + f" FROM {W1}) w1s"
+_FES = FE + list(_SUMS)
+
+
 @register("collinear_pairs", dbl=["correlation"], sql=" UNION ALL ".join(
-    f"SELECT * FROM (SELECT '{a}' AS var1, '{b}' AS var2, {_r(a, b)} AS correlation FROM {W1}) p{i} "
-    f"WHERE abs(correlation) >= 0.3" for i, (a, b) in enumerate(_PAIRS)))
+    f"SELECT * FROM (SELECT '{a}' AS var1, '{b}' AS var2, {_r(a, b)} AS correlation FROM {_W1S}) p{i} "
+    f"WHERE abs(correlation) >= 0.9" for i, (a, b) in enumerate((a, b) for k, a in enumerate(_FES) for b in _FES[k + 1:])))
 def q_collinear_pairs(spark, sf):
-    return stats.collinear_pairs(V.w1(spark, sf), FE, 0.3)
+    return stats.collinear_pairs(V.w1(spark, sf).withColumns({n: F.expr(e) for n, e in _SUMS.items()}), _FES, 0.9)
 
 
 # ------------------------------------------------------------------ T-04 / T-05
+# the p-value (Student t, no closed form in SQL) is checked in tests
 @register("spearman_corr", dbl=["rho", "t_stat"], sql=f"""
 WITH rk AS (SELECT feature, {_avg_rank_sql('feature', 'value')} AS rx, {_avg_rank_sql('feature', 'grade')} AS ry
             FROM {LONG} WHERE grade IS NOT NULL),
@@ -69,7 +76,7 @@ s AS (SELECT feature, {_r('rx', 'ry')} AS rho, count(*) AS n FROM rk GROUP BY fe
 SELECT feature, rho, n, rho * sqrt((n - 2) / nullif(1 - rho * rho, 0)) AS t_stat FROM s
 """)
 def q_spearman(spark, sf):
-    return stats.spearman_with_target(V.w1(spark, sf), FE, "grade")
+    return stats.spearman_with_target(V.w1(spark, sf), FE, "grade").drop("p_value")
 
 
 @register("average_rank", dbl=["l_extendedprice", "rank"], sql=f"""

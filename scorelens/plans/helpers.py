@@ -7,10 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelens.session import ensure_checkpoint_dir
-
-# A side is broadcast only when it is proven to hold at most this many rows.
-BROADCAST_MAX_ROWS = 100_000
+from scorelens.session import tables_root
 
 
 def to_long(df: DataFrame, cols: list[str], ids: list[str] | None = None,
@@ -21,27 +18,17 @@ def to_long(df: DataFrame, cols: list[str], ids: list[str] | None = None,
     return casted.unpivot(ids, cols, name, value)
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after proving it has <= max_rows rows.
-
-    The proof is a ``limit(max_rows + 1).count()`` (stops early on big inputs).
-    Above the bound the frame is returned as is and Spark/AQE choose a shuffle join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` once as a parquet table into the cluster's
     shared checkpoint folder and read it back.
 
     Unlike ``Dataset.checkpoint(eager=True)`` (which runs its input once to
     count and again to save the RDD) this computes the input a single time,
-    stores it columnar, and the table survives executor loss.
+    stores it columnar, and the table survives executor loss. ``release_tables``
+    deletes what an application has written.
     """
     spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/scorelens-tables/{uuid.uuid4().hex}"
+    path = f"{tables_root(spark)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

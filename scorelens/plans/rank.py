@@ -10,7 +10,7 @@ group holds a third of the rows. The plan here:
    the partition id is frozen by a reliable checkpoint in the shared
    checkpoint folder (recomputation after an executor loss sees the same ids);
 3. per-(partition, group) weight totals -> prefix offsets: at most
-   ``partitions + groups`` rows, broadcast after a size check;
+   ``partitions + groups`` rows, so that AQE broadcasts them;
 4. a running sum inside each range partition (bounded task size).
 
 Average rank (pandas / scipy convention, N13) of a value with weight ``w``
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelens.plans.helpers import bounded_broadcast, checkpoint
+from scorelens.plans.helpers import checkpoint
 
 
 def collapse(df: DataFrame, groups: list[str], value: str, weight: str = "w") -> DataFrame:
@@ -32,35 +32,16 @@ def collapse(df: DataFrame, groups: list[str], value: str, weight: str = "w") ->
               .groupBy(*groups, value).agg(F.count(F.lit(1)).alias(weight)))
 
 
-# A group whose (collapsed) row count is proven to be at most this is ranked
-# by a plain window in one task; larger groups take the range-partitioned plan.
-SMALL_GROUP_ROWS = 2_000_000
-
-
 def distributed_cumsum(counts: DataFrame, groups: list[str], order: list, weights: list[str],
-                       num_partitions: int | None = None, small_group_rows: int | None = SMALL_GROUP_ROWS
-                       ) -> DataFrame:
+                       num_partitions: int | None = None) -> DataFrame:
     """For every weight column ``x`` add ``before_x`` (sum of x over rows strictly
     ahead in the group order) and ``total_x`` (group total). ``order`` holds
-    Columns or names; rows must be unique on (groups, order).
-
-    The size of the largest group is checked first (one aggregate); only when
-    it is at most ``small_group_rows`` is a window per group used."""
+    Columns or names; rows must be unique on (groups, order). One plan for all sizes."""
     spark = counts.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ocols = [F.col(o) if isinstance(o, str) else o for o in order]
     keyed = counts.select("*", *[c.alias(f"__k{i}") for i, c in enumerate(ocols)])
     kcols = [f"__k{i}" for i in range(len(ocols))]
-    if small_group_rows:
-        sizes = keyed.groupBy(*groups).agg(F.count(F.lit(1)).alias("__gn")) if groups else \
-            keyed.agg(F.count(F.lit(1)).alias("__gn"))
-        largest = sizes.agg(F.max("__gn")).collect()[0][0] or 0
-        if largest <= small_group_rows:
-            wg = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
-            wo = wg.orderBy(*kcols).rowsBetween(Window.unboundedPreceding, 0)
-            return keyed.select(*counts.columns,
-                                *[(F.sum(w).over(wo) - F.col(w)).alias(f"before_{w}") for w in weights],
-                                *[F.sum(w).over(wg).alias(f"total_{w}") for w in weights])
     part = keyed.repartitionByRange(n, *[F.col(g) for g in groups], *[F.col(k) for k in kcols])
     part = checkpoint(part.withColumn("__pid", F.spark_partition_id()))
 
@@ -70,7 +51,6 @@ def distributed_cumsum(counts: DataFrame, groups: list[str], order: list, weight
     offs = tot.select("__pid", *groups,
                       *[F.coalesce(F.sum(f"__pt_{w}").over(wprev), F.lit(0)).alias(f"__off_{w}") for w in weights],
                       *[F.sum(f"__pt_{w}").over(wg).alias(f"total_{w}") for w in weights])
-    offs = bounded_broadcast(offs)
 
     wl = (Window.partitionBy("__pid", *groups).orderBy(*kcols)
           .rowsBetween(Window.unboundedPreceding, 0))
@@ -82,12 +62,11 @@ def distributed_cumsum(counts: DataFrame, groups: list[str], order: list, weight
 
 
 def distributed_rank(counts: DataFrame, groups: list[str], value: str, weight: str = "w",
-                     ascending: bool = True, num_partitions: int | None = None,
-                     small_group_rows: int | None = SMALL_GROUP_ROWS) -> DataFrame:
+                     ascending: bool = True, num_partitions: int | None = None) -> DataFrame:
     """Add ``before`` (rows strictly ahead in the group), ``avg_rank``,
     ``min_rank`` and ``group_n`` to a table of distinct (group, value, weight)."""
     key = F.col(value) if ascending else -F.col(value)
-    r = distributed_cumsum(counts, groups, [key], [weight], num_partitions, small_group_rows)
+    r = distributed_cumsum(counts, groups, [key], [weight], num_partitions)
     before = F.col(f"before_{weight}").cast("long")
     return r.select(*counts.columns, before.alias("before"),
                     (before + (F.col(weight) + 1) / 2.0).alias("avg_rank"),

@@ -43,18 +43,13 @@ def _row_key_sql(prefix: str = "") -> str:
 _MATERIALISED: dict[tuple, str] = {}
 
 
-def _source_signature(sf_dir: str, names: list[str]) -> str:
-    import hashlib
-    import os
-    h = hashlib.sha1(sf_dir.encode())
-    for n in names:
-        p = f"{sf_dir}/{n}.parquet"
-        try:
-            st = os.stat(p)
-            h.update(f"{n}:{st.st_size}:{st.st_mtime_ns}".encode())
-        except OSError:
-            h.update(n.encode())
-    return h.hexdigest()[:16]
+def _source_signature(spark: SparkSession, sf_dir: str, names: list[str]) -> str:
+    """A hash of the source files' names, sizes and times, as Spark's own file listing
+    has them (any file system); the contents are not read."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .load([f"{sf_dir}/{n}.parquet" for n in names]).select("path", "length", "modificationTime"))
+    n, h = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()
+    return f"{n}-{(h or 0) & 0xFFFFFFFFFFFFFFFF:016x}"
 
 
 def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +59,7 @@ def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
     instead of re-running the five-way join."""
     from scorelens.session import ensure_checkpoint_dir
     key = (spark.sparkContext.applicationId, sf_dir,
-           _source_signature(sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"]))
+           _source_signature(spark, sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"]))
     path = _MATERIALISED.get(key)
     if path is None:
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scorelens-views/w1-{key[2]}-{key[0]}"

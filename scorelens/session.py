@@ -4,6 +4,7 @@ checkpoint folder from the session (never a machine-local default on a cluster).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -65,7 +66,9 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (local tests) a scratch folder is created.
+    Only on a local master (one machine, as in tests) an unset folder is replaced by
+    a scratch folder of this process; on a cluster an unset folder is an error, since
+    executors could not read each other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -78,6 +81,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset key
             configured = None
     if not configured:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="scorelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def tables_root(spark: SparkSession) -> str:
+    """Where this application writes its intermediate tables."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scorelens-tables/{spark.sparkContext.applicationId}"
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this application has written. To be called
+    when no result that reads them is needed any more (end of a job, bench or test)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(tables_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

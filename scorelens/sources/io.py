@@ -8,13 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelens.operators.derive import normalise_nan
 from scorelens.session import ensure_checkpoint_dir
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, header: bool = True,
                infer_schema: bool = True, schema=None) -> DataFrame:
     """S-01: load by suffix: .csv / .tsv / .txt (tab) / .json / .orc / .parquet
-    (directories default to parquet). CSV is read with a UTF-8 BOM-aware header."""
+    (directories default to parquet). CSV is read with a UTF-8 BOM-aware header.
+    NaN becomes NULL, the one missing value (N1)."""
     p = path.lower()
     fmt = fmt or ("csv" if p.endswith(".csv") else "tsv" if p.endswith((".tsv", ".txt")) else
                   "json" if p.endswith((".json", ".jsonl")) else "orc" if p.endswith(".orc") else "parquet")
@@ -23,12 +25,14 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, header: b
         r = r.schema(schema) if schema is not None else r.option("inferSchema", infer_schema)
         df = r.csv(path)
         # strip a BOM that some writers put in front of the first header name
-        return df.toDF(*[c.lstrip("﻿") for c in df.columns])
-    if fmt == "json":
-        return spark.read.schema(schema).json(path) if schema is not None else spark.read.json(path)
-    if fmt == "orc":
-        return spark.read.orc(path)
-    return spark.read.parquet(path)
+        df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    elif fmt == "json":
+        df = spark.read.schema(schema).json(path) if schema is not None else spark.read.json(path)
+    elif fmt == "orc":
+        df = spark.read.orc(path)
+    else:
+        df = spark.read.parquet(path)
+    return normalise_nan(df)
 
 
 def train_test_load(spark: SparkSession, manifest: dict | str, split_col: str = "split") -> tuple[str, DataFrame]:

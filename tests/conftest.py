@@ -14,4 +14,6 @@ def spark():
     from scorelens.session import build_session
     s = build_session("local[4]", shuffle_partitions=8, app_name="scorelens-tests")
     yield s
+    from scorelens.session import release_tables
+    release_tables(s)
     s.stop()

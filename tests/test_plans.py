@@ -33,7 +33,17 @@ def test_rank_tests_have_no_cartesian_or_single_partition_on_rows(spark):
                stats.corr_with_target(w, V.FEATURES, "grade")):
         p = _plan(df)
         assert "CartesianProduct" not in p
-        # single-partition exchanges only appear above aggregated (per-feature) data
-        for line in p.splitlines():
-            if "SinglePartition" in line:
-                assert "FileScan" not in line
+        # a single-partition exchange only ever gets aggregated rows: below it stands an
+        # aggregate before any scan or exchange of rows
+        lines = p.splitlines()
+        for i, line in enumerate(lines):
+            if "SinglePartition" not in line:
+                continue
+            depth = len(line) - len(line.lstrip(" :+-"))
+            below = []
+            for x in lines[i + 1:]:
+                if len(x) - len(x.lstrip(" :+-")) <= depth:
+                    break
+                below.append(x)
+            first = next(k for k, x in enumerate(below) if "Aggregate" in x or "Scan" in x or "Exchange" in x)
+            assert "Aggregate" in below[first], "\n".join([line, *below])
