@@ -79,8 +79,14 @@ class KneserNey:
 
     def __init__(self, words: pa.Array, counts: np.ndarray, order: int = ORDER, shared: int = SHARED):
         self.order = order
-        gram, first = word_grams(words, order)
-        weight = np.repeat(counts, np.diff(np.append(first, len(gram))), axis=0).astype(np.float64)
+        gram, weight = np.empty(0, np.uint64), np.empty((0, 2))
+        for lo in range(0, len(words), 50_000):  # slices, so that only distinct n-grams are held
+            part = words.slice(lo, 50_000)
+            own, first = word_grams(part, order)
+            times = np.repeat(counts[lo:lo + 50_000], np.diff(np.append(first, len(own))), axis=0)
+            gram, where = np.unique(np.concatenate([gram, own]), return_inverse=True)
+            both = np.concatenate([weight, times])
+            weight = np.stack([np.bincount(where, both[:, c], len(gram)) for c in (0, 1)], 1)
         self.tables: list = [None] * (order + 1)
         upper = None
         for k in range(order, 0, -1):
@@ -254,9 +260,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     # a fold for the regression, unless a class would be missing on either side
     apart = all(size.get(k, 0) for k in ((0, True), (0, False), (1, True), (1, False)))
     counted, judged = (sample.where("__fold <> 1"), sample.where("__fold = 1")) if apart else (sample, sample)
-    table = _word_counts(counted).toPandas()  # bounded by the sample
-    table = table.sort_values("word")
-    shared = _Shared(spark, KneserNey(pa.array(table["word"], pa.large_string()), table[["n0", "n1"]].to_numpy()))
+    table = _word_counts(counted).toArrow().combine_chunks()  # bounded by the sample
+    words = table.column("word").chunk(0).cast(pa.large_string()) if len(table) else pa.array([], pa.large_string())
+    counts = np.stack([table.column(c).to_numpy() for c in ("n0", "n1")], 1)
+    del table
+    shared = _Shared(spark, KneserNey(C.compact(words), counts))
+    del words, counts
     seen = _differences(judged, "__text", shared, ["__y"]).toPandas()
     model = fit_logistic(features(seen["__d"].to_numpy(), seen["__n"].to_numpy()), seen["__y"].to_numpy().astype(float))
 
