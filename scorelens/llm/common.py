@@ -71,12 +71,11 @@ def fold(doc_id="doc_id", folds: int = 5):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def salted_join(rows: DataFrame, few: DataFrame, on: list[str], salts: int = 16) -> DataFrame:
-    """Inner join of many rows with a table unique on the key: the rows of a hot key
-    are dealt over ``salts`` tasks, the small side is repeated for each."""
-    spread = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int"))
-    return dealt.join(spread.hint("merge"), [*on, "__salt"]).drop("__salt")
+def keyed_join(rows: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of many rows with a table unique on the key. Both sides come from
+    written tables, so Spark knows their sizes: it broadcasts a small ``few`` (within
+    its threshold), and otherwise splits the partition of a hot key (adaptive skew join)."""
+    return rows.join(few, on)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -12,22 +12,24 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long, not null); nodes of a
     component share their root, one of them.
 
-    Rounds of contraction: every node goes to that of itself and its neighbours with
-    the least hash (another hash each round, so chains shrink by a factor, too), the
+    Rounds of contraction: every node goes to the least of itself and its neighbours -
+    by number in the first round, which settles stars around a least node, then by a
+    hash, another one each round, so that chains shrink by a factor, too - and the
     edges between what is left go on. The minimum over a hub's many edges is
-    combined on the map side, and what follows a hub is dealt by a salt.
+    combined on the map side; the joins that follow a hub are skew joins.
     """
     left = C.written(edges.where("a <> b").distinct())
     maps: list[DataFrame] = []
     turn = 0
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
+        by = (lambda c: F.xxhash64(F.col(c), F.lit(turn))) if turn else F.col  # noqa: B023
+        rank = lambda c: F.struct(by(c).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         near = both.groupBy("a").agg(F.min(rank("b")).alias("m"))
         goes = C.written(near.select(F.col("a").alias("node"), F.least(F.col("m"), rank("a"))["n"].alias("root")))
         maps.append(goes)
-        step = C.salted_join(left, goes.select(F.col("node").alias("a"), F.col("root").alias("ra")), ["a"])
-        step = C.salted_join(step, goes.select(F.col("node").alias("b"), F.col("root").alias("rb")), ["b"])
+        step = C.keyed_join(left, goes.select(F.col("node").alias("a"), F.col("root").alias("ra")), ["a"])
+        step = C.keyed_join(step, goes.select(F.col("node").alias("b"), F.col("root").alias("rb")), ["b"])
         left = C.written(step.select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct())
         turn += 1
     if not maps:
@@ -36,7 +38,5 @@ def components(edges: DataFrame) -> DataFrame:
     for goes in reversed(maps[:-1]):
         # a round's targets that have no edge left are roots
         later = out.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        targets = goes.select("root").distinct()
-        final = targets.join(later.hint("merge"), "root", "left").select("root", F.coalesce("last", "root").alias("last"))
-        out = C.written(C.salted_join(goes, final, ["root"]).select("node", F.col("last").alias("root")))
+        out = goes.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
     return out

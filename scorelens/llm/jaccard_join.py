@@ -46,9 +46,10 @@ from scorelens.llm import exchange as X
 from scorelens.llm.components import components
 from scorelens.llm.words import chain_keys, doc_words, from_planes, keys_of, planes
 
-SMALL_CLUSTER = 128
-PIVOTS = 48
-CHUNK = 96
+SMALL_CLUSTER = 256
+PIVOTS = 96
+MORE_PIVOTS = 1024
+CHUNK = 192
 
 
 class Share:
@@ -345,7 +346,7 @@ def _cluster_links(sets: DataFrame, clusters: DataFrame, share: Share, parts: in
     """All edges that the components need, from clusters (__rid, cluster)."""
     size = C.written(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")))
     # open: members that are not yet compared with all others; first: hash-dealt pivots
-    state = C.written(C.salted_join(clusters, size, ["cluster"]).select(
+    state = C.written(C.keyed_join(clusters, size, ["cluster"]).select(
         "__rid", "cluster", "size",
         ((F.col("size") <= SMALL_CLUSTER)
          | (F.pmod(F.xxhash64("__rid"), F.col("size")) < PIVOTS)).alias("pivot")))
@@ -365,7 +366,7 @@ def _cluster_links(sets: DataFrame, clusters: DataFrame, share: Share, parts: in
         rest = state.where(f"size > {SMALL_CLUSTER} AND NOT pivot").select("__rid", "cluster")
         if rest.isEmpty():
             return found
-        where = components(found)
+        where = C.written(components(found))
         rest = C.written(rest.join(where.select(F.col("node").alias("__rid"), "root").hint("merge"), "__rid", "left")
                          .select("__rid", "cluster", F.coalesce("root", "__rid").alias("root")))
         per = rest.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
@@ -376,10 +377,10 @@ def _cluster_links(sets: DataFrame, clusters: DataFrame, share: Share, parts: in
         if largest.isEmpty():
             return found
         turn += 1
-        state = C.written(C.salted_join(rest, largest, ["cluster"]).select(
+        state = C.written(C.keyed_join(rest, largest, ["cluster"]).select(
             "__rid", "cluster", F.greatest(F.col("size"), F.lit(SMALL_CLUSTER + 1)).alias("size"),
             ((F.col("root") != F.col("main"))
-             & (F.pmod(F.xxhash64("__rid", F.lit(turn)), F.col("others")) < 4 * PIVOTS)).alias("pivot")))
+             & (F.pmod(F.xxhash64("__rid", F.lit(turn)), F.col("others")) < MORE_PIVOTS)).alias("pivot")))
 
 
 def _groups(src: DataFrame, n: int, share: Share) -> tuple[DataFrame, DataFrame]:
@@ -391,13 +392,13 @@ def _groups(src: DataFrame, n: int, share: Share) -> tuple[DataFrame, DataFrame]
     may = flags.where("may_link").select("__rid").hint("merge")
     every = C.written(_sets(src.select("__rid", "__text").join(may, "__rid"), n))
     same = C.written(every.groupBy("digest").agg(F.min("__rid").alias("rep")))
-    member = C.written(C.salted_join(every.select("__rid", "digest"), same, ["digest"]).select("__rid", "rep"))
+    member = C.written(C.keyed_join(every.select("__rid", "digest"), same, ["digest"]).select("__rid", "rep"))
     reps = C.written(every.join(same.select(F.col("rep").alias("__rid")).hint("merge"), "__rid").select("__rid", "keys"))
     sets = _ordered(reps, share, parts)
 
     rare = sets.select("__rid", F.explode("rare").alias("key"))
     hubs = rare.groupBy("key").agg(F.min("__rid").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    close = C.salted_join(rare, C.written(hubs.select("key", "hub")), ["key"])
+    close = C.keyed_join(rare, C.written(hubs.select("key", "hub")), ["key"])
     clusters = components(close.select(F.col("__rid").alias("a"), F.col("hub").alias("b"))).select(
         F.col("node").alias("__rid"), F.col("root").alias("cluster"))
     links = _cluster_links(sets, clusters, share, parts)
@@ -405,7 +406,7 @@ def _groups(src: DataFrame, n: int, share: Share) -> tuple[DataFrame, DataFrame]
 
     rooted = member.select("rep").distinct().join(linked.hint("merge"), "rep", "left").select(
         "rep", F.coalesce("root", "rep").alias("root"))
-    placed = C.salted_join(member, C.written(rooted), ["rep"]).select("__rid", "root")
+    placed = C.keyed_join(member, C.written(rooted), ["rep"]).select("__rid", "root")
     return flags, C.written(placed.join(flags.select("__rid", "__id").hint("merge"), "__rid"))
 
 
@@ -416,7 +417,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     src = C.with_row_ids(docs.select(F.col(id_col).alias("__id"), C.text_or_empty(text).alias("__text")))
     flags, placed = _groups(src, n, Share(num, den))
     least = C.written(placed.groupBy("root").agg(F.min("__id").alias("least")))
-    named = C.salted_join(placed.select("__rid", "root"), least, ["root"]).select("__rid", "least")
+    named = C.keyed_join(placed.select("__rid", "root"), least, ["root"]).select("__rid", "least")
     return flags.join(named.hint("merge"), "__rid", "left").select(
         F.col("__id").alias(id_col), "n_shingles", F.coalesce("least", "__id").alias("component_id"))
 
@@ -428,7 +429,7 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: in
     _, placed = _groups(src.withColumns({"__id": F.col(id_col), "__text": C.text_or_empty(text)}), n, Share(num, den))
     order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__rid").alias("rid"))
     first = C.written(placed.groupBy("root").agg(F.min(order).alias("m")).select("root", F.col("m.rid").alias("stays")))
-    gone = C.salted_join(placed.select("__rid", "root"), first, ["root"]).where("__rid <> stays").select("__rid")
+    gone = C.keyed_join(placed.select("__rid", "root"), first, ["root"]).where("__rid <> stays").select("__rid")
     return src.join(gone.hint("merge"), "__rid", "left_anti").drop("__rid").toDF(*docs.columns)
 
 
