@@ -13,31 +13,45 @@ from scorelens.plans.registry import register
 W1 = f"({V.W1_SQL}) w1"
 W2 = f"({V.W2_SQL}) w2"
 FE = V.FEATURES
-AF = V.FEATURES                                      # all attribution inputs
-COEF = {k: {f: round((k - 2) * (i + 1) / 10.0, 6) for i, f in enumerate(AF)} for k in V.CLASSES}
+AF = V.FEATURES                                      # attribution inputs of the aggregated queries
+# Inputs of the queries that return a row per row and feature: integer-valued, because
+# an average of floats may differ in its last bit between the engines, and one of
+# millions of rounded values would show it.
+AF_ROWS = ["l_quantity", "p_size", "l_linenumber"]
+
+
+def _coef(features):
+    return {k: {f: round((k - 2) * (i + 1) / 10.0, 6) for i, f in enumerate(features)} for k in V.CLASSES}
+
+
 BG_YEAR = 1995                                       # background rows for the attribution baseline
 DIMS = [f"e{i}" for i in range(V.EMB_DIM)]
 
 
-def _attr(spark, sf):
+def _attr(spark, sf, features=AF):
     w = V.w1(spark, sf)
-    return X.linear_attribution(w.select("row_key", *AF), COEF, AF, "row_key",
+    return X.linear_attribution(w.select("row_key", *features), _coef(features), features, "row_key",
                                 background=w.where(F.col("year") == BG_YEAR))
 
 
-_CT = "(VALUES " + ", ".join(f"({k}, '{f}', {w!r}e0)" for k, fw in COEF.items() for f, w in fw.items()) + \
-      ") ct(cls, feature, coef)"
-ATTR_SQL = f"""(SELECT l.row_key, cast(ct.cls AS int) AS cls, l.feature, ct.coef * (l.x - mu.mu) AS phi, l.x
-FROM (UNPIVOT (SELECT row_key, {', '.join(f'cast({f} AS double) AS {f}' for f in AF)} FROM {W1})
-      ON {', '.join(AF)} INTO NAME feature VALUE x) l
-JOIN ({' UNION ALL '.join(f"SELECT '{f}' AS feature, avg(cast({f} AS double)) AS mu FROM {W1} WHERE year = {BG_YEAR}" for f in AF)}) mu
+def _attr_sql(features):
+    coef = "(VALUES " + ", ".join(f"({k}, '{f}', {w!r}e0)" for k, fw in _coef(features).items() for f, w in fw.items()) + \
+        ") ct(cls, feature, coef)"
+    return f"""(SELECT l.row_key, cast(ct.cls AS int) AS cls, l.feature, ct.coef * (l.x - mu.mu) AS phi, l.x
+FROM (UNPIVOT (SELECT row_key, {', '.join(f'cast({f} AS double) AS {f}' for f in features)} FROM {W1})
+      ON {', '.join(features)} INTO NAME feature VALUE x) l
+JOIN ({' UNION ALL '.join(f"SELECT '{f}' AS feature, avg(cast({f} AS double)) AS mu FROM {W1} WHERE year = {BG_YEAR}" for f in features)}) mu
   ON l.feature = mu.feature
-JOIN {_CT} ON l.feature = ct.feature)"""
+JOIN {coef} ON l.feature = ct.feature)"""
+
+
+ATTR_SQL = _attr_sql(AF)
+ROWS_SQL = _attr_sql(AF_ROWS)
 
 
-@register("linear_attribution", dbl=["phi", "x"], sql=f"SELECT * FROM {ATTR_SQL} a")
+@register("linear_attribution", dbl=["phi", "x"], sql=f"SELECT * FROM {ROWS_SQL} a")
 def q_linear_attribution(spark, sf):
-    return _attr(spark, sf)
+    return _attr(spark, sf, AF_ROWS)
 
 
 _SUMMARY = f"""(SELECT feature, avg(abs(phi)) AS mean_abs_phi, avg(phi) AS mean_phi FROM {ATTR_SQL} a GROUP BY feature)"""
@@ -80,7 +94,7 @@ def q_attr_dependence(spark, sf):
 
 
 @register("attribution_waterfall", dbl=["phi", "cum_phi"], sql=f"""
-WITH a AS (SELECT a.* FROM {ATTR_SQL} a JOIN (SELECT row_key, grade FROM {W1}) g ON a.row_key = g.row_key AND a.cls = g.grade),
+WITH a AS (SELECT a.* FROM {ROWS_SQL} a JOIN (SELECT row_key, grade FROM {W1}) g ON a.row_key = g.row_key AND a.cls = g.grade),
 r AS (SELECT row_key, cls, feature, phi, row_number() OVER (PARTITION BY row_key, cls ORDER BY abs(phi) DESC, feature) AS step FROM a)
 SELECT row_key, cls, feature, phi, step,
   sum(phi) OVER (PARTITION BY row_key, cls ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_phi
@@ -88,18 +102,18 @@ FROM r WHERE step <= 10
 """)
 def q_attr_waterfall(spark, sf):
     labels = V.w1(spark, sf).select("row_key", F.col("grade").alias("cls"))
-    return X.attribution_waterfall(_attr(spark, sf), "row_key", 10, cls_of_row=labels)
+    return X.attribution_waterfall(_attr(spark, sf, AF_ROWS), "row_key", 10, cls_of_row=labels)
 
 
 @register("attribution_points", dbl=["phi_sum", "x_scaled"], sql=f"""
-WITH s AS (SELECT row_key, feature, sum(phi) AS phi_sum, any_value(x) AS x FROM {ATTR_SQL} a GROUP BY row_key, feature),
+WITH s AS (SELECT row_key, feature, sum(phi) AS phi_sum, any_value(x) AS x FROM {ROWS_SQL} a GROUP BY row_key, feature),
 t AS (SELECT feature FROM s GROUP BY feature ORDER BY avg(abs(phi_sum)) DESC, feature LIMIT 15),
 s2 AS (SELECT * FROM s WHERE feature IN (SELECT feature FROM t)),
 mm AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM s2 GROUP BY feature)
 SELECT row_key, s2.feature, phi_sum, (x - lo) / (hi - lo + 1e-12) AS x_scaled FROM s2 JOIN mm ON s2.feature = mm.feature
 """)
 def q_attr_points(spark, sf):
-    return X.attribution_points(_attr(spark, sf), "row_key", 15)
+    return X.attribution_points(_attr(spark, sf, AF_ROWS), "row_key", 15)
 
 
 @register("class_contrast", dbl=["mean_phi_low", "mean_phi_high"], sql=f"""
