@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorelens.operators import profile, stats
 from scorelens.plans.helpers import to_long
@@ -87,10 +88,17 @@ def linear_attribution(df: DataFrame, coef: dict, features: list[str], row_id: s
     """I-09: phi = coef[class][feature] * (x - background mean of the feature).
 
     ``coef`` maps class -> {feature: weight}; it is a small parameter table
-    (classes x features) broadcast to the rows."""
+    (classes x features) broadcast to the rows. Decimal background columns are summed
+    exactly, so that their means do not depend on the order of the rows."""
     spark = df.sparkSession
     bg = (background if background is not None else df)
-    means = F.broadcast(bg.agg(*[F.avg(F.col(f).cast("double")).alias(f) for f in features]).select(
+
+    def mean(f):
+        if isinstance(bg.schema[f].dataType, T.DecimalType):
+            return F.try_divide(F.sum(f).cast("double"), F.count(f))
+        return F.avg(F.col(f).cast("double"))
+
+    means = F.broadcast(bg.agg(*[mean(f).alias(f) for f in features]).select(
         F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("mu")) for f in features]))))
     ct = F.broadcast(spark.createDataFrame([(int(k), f, float(w)) for k, fw in coef.items() for f, w in fw.items()],
                                            "cls int, feature string, coef double"))

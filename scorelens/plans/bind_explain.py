@@ -116,6 +116,55 @@ def q_attr_points(spark, sf):
     return X.attribution_points(_attr(spark, sf, AF_ROWS), "row_key", 15)
 
 
+# The same three queries over all features. The background means come from exact decimal
+# sums in both engines, running totals and class sums from ordered lists in the SQL.
+def _attr_all(spark, sf):
+    w = V.w1(spark, sf)
+    background = w.where(F.col("year") == BG_YEAR).select(*[F.col(f).cast("decimal(18,2)").alias(f) for f in AF])
+    return X.linear_attribution(w.select("row_key", *AF), _coef(AF), AF, "row_key", background=background)
+
+
+ALL_SQL = f"""(SELECT l.row_key, cast(ct.cls AS int) AS cls, l.feature, ct.coef * (l.x - mu.mu) AS phi, l.x
+FROM (UNPIVOT (SELECT row_key, {', '.join(f'cast({f} AS double) AS {f}' for f in AF)} FROM {W1})
+      ON {', '.join(AF)} INTO NAME feature VALUE x) l
+JOIN ({' UNION ALL '.join(f"SELECT '{f}' AS feature, cast(sum(cast({f} AS decimal(18,2))) AS double) / count({f}) AS mu "
+                          f"FROM {W1} WHERE year = {BG_YEAR}" for f in AF)}) mu
+  ON l.feature = mu.feature
+JOIN (VALUES {', '.join(f"({k}, '{f}', {c!r}e0)" for k, fw in _coef(AF).items() for f, c in fw.items())}) ct(cls, feature, coef)
+  ON l.feature = ct.feature)"""
+
+
+@register("linear_attribution_all", dbl=["phi", "x"], sql=f"SELECT * FROM {ALL_SQL} a")
+def q_linear_attribution_all(spark, sf):
+    return _attr_all(spark, sf)
+
+
+@register("attribution_waterfall_all", dbl=["phi", "cum_phi"], sql=f"""
+WITH a AS (SELECT a.* FROM {ALL_SQL} a JOIN (SELECT row_key, grade FROM {W1}) g ON a.row_key = g.row_key AND a.cls = g.grade),
+r AS (SELECT row_key, cls, list(struct_pack(feature := feature, phi := phi) ORDER BY abs(phi) DESC, feature)[:10] AS l
+      FROM a GROUP BY row_key, cls),
+s AS (SELECT row_key, cls, l, unnest(range(1, len(l) + 1)) AS step FROM r)
+SELECT row_key, cls, l[step].feature AS feature, l[step].phi AS phi, step,
+  list_reduce(list_prepend(0e0, list_transform(l[1:step], lambda e: e.phi)), lambda p, q: p + q) AS cum_phi
+FROM s
+""")
+def q_attr_waterfall_all(spark, sf):
+    labels = V.w1(spark, sf).select("row_key", F.col("grade").alias("cls"))
+    return X.attribution_waterfall(_attr_all(spark, sf), "row_key", 10, cls_of_row=labels)
+
+
+@register("attribution_points_all", dbl=["phi_sum", "x_scaled"], sql=f"""
+WITH s AS (SELECT row_key, feature, list_reduce(list_prepend(0e0, list(phi ORDER BY cls)), lambda p, q: p + q) AS phi_sum, any_value(x) AS x
+           FROM {ALL_SQL} a GROUP BY row_key, feature),
+t AS (SELECT feature FROM s GROUP BY feature ORDER BY avg(abs(phi_sum)) DESC, feature LIMIT 15),
+s2 AS (SELECT * FROM s WHERE feature IN (SELECT feature FROM t)),
+mm AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM s2 GROUP BY feature)
+SELECT row_key, s2.feature, phi_sum, (x - lo) / (hi - lo + 1e-12) AS x_scaled FROM s2 JOIN mm ON s2.feature = mm.feature
+""")
+def q_attr_points_all(spark, sf):
+    return X.attribution_points(_attr_all(spark, sf), "row_key", 15)
+
+
 @register("class_contrast", dbl=["mean_phi_low", "mean_phi_high"], sql=f"""
 SELECT feature, avg(CASE WHEN cls = 1 THEN phi END) AS mean_phi_low, avg(CASE WHEN cls = 5 THEN phi END) AS mean_phi_high,
   cast(sum(CASE WHEN cls = 1 AND phi > 0 THEN 1 ELSE 0 END) AS bigint) AS n_pos_low,
