@@ -216,9 +216,13 @@ class Shard:
             for i, nodes in enumerate(found):
                 nodes = nodes[nodes >= 0]
                 d = np.sqrt(((self.vectors[nodes] - q[lo + i]) ** 2).sum(1))
-                # of one vector's ids no more than the k + 1 smallest can be among the nearest
-                size = np.minimum(self.first[nodes + 1] - self.first[nodes], k + 1)
-                ids, far = C.ragged_take(self.ids, self.first[nodes], size), np.repeat(d, size)
+                # of one vector's ids no more than the k smallest that are not the query's own can
+                # be among the nearest; its own rows lie side by side, as a node's ids are in order
+                begin, size = self.first[nodes], self.first[nodes + 1] - self.first[nodes]
+                for j in np.flatnonzero(size > k):
+                    left, right = (np.searchsorted(self.ids[begin[j]:begin[j] + size[j]], query_ids[lo + i], side) for side in ("left", "right"))
+                    size[j] = min(size[j], k + right - left)
+                ids, far = C.ragged_take(self.ids, begin, size), np.repeat(d, size)
                 other = ids != query_ids[lo + i]
                 ids, far = ids[other], far[other]
                 best = np.lexsort((ids, far))[:k]
