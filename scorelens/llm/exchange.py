@@ -83,7 +83,7 @@ def merged(sent: DataFrame, n_counts: int, parts: int, n_stats: int = 0, stats=N
         at = np.split(where, np.cumsum(size)[:-1])
         more = stats(keys, totals) if stats else []
         cols = [pa.array([r["block"] for r in rows] + [None], pa.int64()), pa.array([bucket] * (len(rows) + 1), pa.int32())]
-        cols += [pa.array([planes(np.minimum(t[w], 0xFFFFFFFF), 4) for w in at] + [None], pa.binary()) for t in totals]
+        cols += [pa.array([planes(t[w], 8) for w in at] + [None], pa.binary()) for t in totals]
         cols += [pa.array([None] * len(rows) + [int(x)], pa.int64()) for x in more]
         return pa.RecordBatch.from_arrays(cols, names=schema.names)
 
@@ -117,10 +117,10 @@ def by_block(batches: Iterator[pa.RecordBatch], n_counts: int) -> Iterator[tuple
             r = b.slice(k, 1)
             if C.column(r, "bucket")[0].as_py() is None:
                 if row is not None:
-                    yield row, [np.concatenate(p) if p else np.empty(0, np.uint32) for p in parts]
+                    yield row, [np.concatenate(p) if p else np.empty(0, np.uint64) for p in parts]
                 row, parts = r, [[] for _ in range(n_counts)]
             elif row is not None:
                 for i in range(n_counts):
-                    parts[i].append(from_planes(C.column(r, f"c{i}")[0].as_py(), 4))
+                    parts[i].append(from_planes(C.column(r, f"c{i}")[0].as_py(), 8))
     if row is not None:
-        yield row, [np.concatenate(p) if p else np.empty(0, np.uint32) for p in parts]
+        yield row, [np.concatenate(p) if p else np.empty(0, np.uint64) for p in parts]
