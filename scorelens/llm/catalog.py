@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from scorelens.llm import (exact_dedup, fill_in_middle, jaccard_join, language_model, packing, personal_data, quality, sentence_pieces, token_files,
+from scorelens.llm import (exact_dedup, fill_in_middle, jaccard_join, language_model, lexical_search, packing, personal_data, quality, sentence_pieces, token_files,
                            toxicity, vector_search)
 
 QUERIES = {
+    "op11_ranked_search": lexical_search.op11_ranked_search,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
     "op10_personal_data": personal_data.op10_personal_data,
     "op3_quality": quality.op3_quality,
@@ -20,6 +21,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op11_ranked_search": lexical_search.OP11_SQL,
     "op12_fill_in_middle": fill_in_middle.OP12_SQL,
     "op4_exact_dedup": exact_dedup.OP4_SQL,
 }
