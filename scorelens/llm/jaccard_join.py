@@ -18,12 +18,9 @@ document's connected component under these links.
    tree by one traversal that carries the overlap so far; a subtree is left when
    what remains of the lengths cannot reach the share any more.
 
-A small cluster is one tree in one task. A large one is dealt over many tasks: each
-takes some members and a tree of the same few *pivots*. Members that meet in a
-component need no comparison with each other; as long as a cluster has members in
-different components that have not been compared, members outside its largest
-component become the next pivots, each compared with all. So a huge group of near
-copies takes work in proportion to its size, and no link is lost.
+A large cluster is dealt over many tasks, each with a tree of the same few members
+(``clusters``), so that a huge group of near copies takes work in proportion to its
+size, and no link is lost.
 
 Defined cases: null, empty and white-space texts have no n-grams and no links;
 texts with fewer words than n have one n-gram, the whole sequence; repeated rows
@@ -43,13 +40,11 @@ from pyspark.sql import types as T
 
 from scorelens.llm import common as C
 from scorelens.llm import exchange as X
+from scorelens.llm.clusters import Limits, cluster_links
 from scorelens.llm.components import components
 from scorelens.llm.words import chain_keys, doc_words, from_planes, keys_of, planes
 
-SMALL_CLUSTER = 256
-PIVOTS = 96
-MORE_PIVOTS = 1024
-CHUNK = 192
+LIMITS = Limits()
 
 
 class Share:
@@ -267,7 +262,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _ordered(sets: DataFrame, share: Share, parts: int) -> DataFrame:
-    """Step 2: (__rid, keys in the global order, frequent first; rare: the shared
+    """Step 2: (__rid, n, keys in the global order, frequent first; rare: the shared
     ones of the d + 1 rarest) of the sets with at most d unshared n-grams."""
     n_buckets = 2 * parts
 
@@ -289,7 +284,7 @@ def _ordered(sets: DataFrame, share: Share, parts: int) -> DataFrame:
                 [pa.array([block], pa.int64()), pa.array([table.column("__rid").to_pylist()], pa.list_(pa.int64())),
                  pa.array([table.column("keys").to_pylist()], pa.list_(pa.binary()))], names=schema.names)
 
-    out = T.StructType([T.StructField("__rid", T.LongType()), T.StructField("seq", T.BinaryType()),
+    out = T.StructType([T.StructField("__rid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("seq", T.BinaryType()),
                         T.StructField("rare", T.ArrayType(T.LongType()))])
 
     def order(batches):
@@ -304,9 +299,9 @@ def _ordered(sets: DataFrame, share: Share, parts: int) -> DataFrame:
                     continue
                 by = np.lexsort((keys, df))  # rarest first
                 rare = by[:d + 1]
-                rows.append((rid, keys[by[::-1]].tobytes(), keys[rare[df[rare] > 1]].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()),
-                                              pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=out.names)
+                rows.append((rid, len(keys), keys[by[::-1]].tobytes(), keys[rare[df[rare] > 1]].view(np.int64)))
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=out.names)
 
     cols = sets.select("__rid", "keys")
     answers = C.written(X.merged(cols.mapInArrow(send, X.request_schema(1)), 1, parts))
@@ -314,76 +309,7 @@ def _ordered(sets: DataFrame, share: Share, parts: int) -> DataFrame:
     return C.written(X.answered(payload, answers, 1, parts).mapInArrow(order, out))
 
 
-EDGE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-
-
-def _compare(rows: DataFrame, share: Share, parts: int) -> DataFrame:
-    """Step 4 for rows (cluster, chunk, pivot, __rid, seq): edges of each chunk."""
-    def run(batches):
-        now, members, pivots = None, [], []
-
-        def links():
-            got = tree_links(members, pivots, share) if members and pivots else []
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())],
-                                              names=EDGE.names)
-
-        for batch in batches:
-            cols = [batch.column(i) for i in range(batch.num_columns)]
-            for c, k, pivot, rid, seq in zip(*(x.to_pylist() for x in cols)):
-                if (c, k) != now:
-                    if now is not None:
-                        yield links()
-                    now, members, pivots = (c, k), [], []
-                (pivots if pivot else members).append((rid, np.frombuffer(seq, "<u8")))
-        if now is not None:
-            yield links()
-
-    dealt = rows.select("cluster", "chunk", "pivot", "__rid", "seq").repartition(parts, "cluster", "chunk")
-    return dealt.sortWithinPartitions("cluster", "chunk", "__rid").mapInArrow(run, EDGE)
-
-
-def _cluster_links(sets: DataFrame, clusters: DataFrame, share: Share, parts: int) -> DataFrame:
-    """All edges that the components need, from clusters (__rid, cluster)."""
-    size = C.written(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")))
-    # open: members that are not yet compared with all others; first: hash-dealt pivots
-    state = C.written(C.keyed_join(clusters, size, ["cluster"]).select(
-        "__rid", "cluster", "size",
-        ((F.col("size") <= SMALL_CLUSTER)
-         | (F.pmod(F.xxhash64("__rid"), F.col("size")) < PIVOTS)).alias("pivot")))
-    edges, turn = [], 0
-    while True:
-        chunks = F.when(F.col("size") <= SMALL_CLUSTER, 1).otherwise(F.ceil(F.col("size") / CHUNK)).cast("int")
-        with_sets = state.join(sets.select("__rid", "seq").hint("merge"), "__rid").withColumn("chunks", chunks)
-        members = with_sets.withColumn("chunk", F.pmod(F.xxhash64("__rid", F.lit(1)), F.col("chunks")).cast("int"))
-        pivots = with_sets.where("pivot").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        names = ["cluster", "chunk", "pivot", "__rid", "seq"]
-        rows = members.withColumn("pivot", F.lit(False)).select(names).unionByName(pivots.select(names))
-        edges.append(C.written(_compare(rows, share, parts)))
-        found = edges[0]
-        for e in edges[1:]:
-            found = found.unionByName(e)
-        # large clusters whose remaining members lie in several components go on
-        rest = state.where(f"size > {SMALL_CLUSTER} AND NOT pivot").select("__rid", "cluster")
-        if rest.isEmpty():
-            return found
-        where = C.written(components(found))
-        rest = C.written(rest.join(where.select(F.col("node").alias("__rid"), "root").hint("merge"), "__rid", "left")
-                         .select("__rid", "cluster", F.coalesce("root", "__rid").alias("root")))
-        per = rest.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
-        largest = (per.groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("size"),
-                                               F.count(F.lit(1)).alias("k")).where("k > 1")
-                      .select("cluster", "size", F.col("top.root").alias("main"), (F.col("size") - F.col("top.n")).alias("others")))
-        largest = C.written(largest)
-        if largest.isEmpty():
-            return found
-        turn += 1
-        state = C.written(C.keyed_join(rest, largest, ["cluster"]).select(
-            "__rid", "cluster", F.greatest(F.col("size"), F.lit(SMALL_CLUSTER + 1)).alias("size"),
-            ((F.col("root") != F.col("main"))
-             & (F.pmod(F.xxhash64("__rid", F.lit(turn)), F.col("others")) < MORE_PIVOTS)).alias("pivot")))
-
-
-def _groups(src: DataFrame, n: int, share: Share) -> tuple[DataFrame, DataFrame]:
+def _groups(src: DataFrame, n: int, share: Share, limits: Limits) -> tuple[DataFrame, DataFrame]:
     """Of rows (__rid, __id, __text, ...; a written table): (__rid, __id, n_shingles,
     may_link) of all, and (__rid, root, __id) of those in a group, root naming it."""
     parts = C.partitions(src.sparkSession)
@@ -401,7 +327,7 @@ def _groups(src: DataFrame, n: int, share: Share) -> tuple[DataFrame, DataFrame]
     close = C.keyed_join(rare, C.written(hubs.select("key", "hub")), ["key"])
     clusters = components(close.select(F.col("__rid").alias("a"), F.col("hub").alias("b"))).select(
         F.col("node").alias("__rid"), F.col("root").alias("cluster"))
-    links = _cluster_links(sets, clusters, share, parts)
+    links = cluster_links(sets, clusters, lambda members, pivots: tree_links(members, pivots or members, share), limits, parts)
     linked = components(links).select(F.col("node").alias("rep"), "root")
 
     rooted = member.select("rep").distinct().join(linked.hint("merge"), "rep", "left").select(
@@ -411,22 +337,23 @@ def _groups(src: DataFrame, n: int, share: Share) -> tuple[DataFrame, DataFrame]
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 3,
-                       num: int = 9, den: int = 10) -> DataFrame:
+                       num: int = 9, den: int = 10, limits: Limits = LIMITS) -> DataFrame:
     """Every document's id, n_shingles and component_id (least id that links reach)."""
     C.prepare(docs.sparkSession)
     src = C.with_row_ids(docs.select(F.col(id_col).alias("__id"), C.text_or_empty(text).alias("__text")))
-    flags, placed = _groups(src, n, Share(num, den))
+    flags, placed = _groups(src, n, Share(num, den), limits)
     least = C.written(placed.groupBy("root").agg(F.min("__id").alias("least")))
     named = C.keyed_join(placed.select("__rid", "root"), least, ["root"]).select("__rid", "least")
     return flags.join(named.hint("merge"), "__rid", "left").select(
         F.col("__id").alias(id_col), "n_shingles", F.coalesce("least", "__id").alias("component_id"))
 
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, num: int = 8, den: int = 10,
+              limits: Limits = LIMITS) -> DataFrame:
     """``docs`` with one row of every component: that of the least id (null ids last)."""
     C.prepare(docs.sparkSession)
     src = C.with_row_ids(C.aside(docs, [id_col, text]))
-    _, placed = _groups(src.withColumns({"__id": F.col(id_col), "__text": C.text_or_empty(text)}), n, Share(num, den))
+    _, placed = _groups(src.withColumns({"__id": F.col(id_col), "__text": C.text_or_empty(text)}), n, Share(num, den), limits)
     order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__rid").alias("rid"))
     first = C.written(placed.groupBy("root").agg(F.min(order).alias("m")).select("root", F.col("m.rid").alias("stays")))
     gone = C.keyed_join(placed.select("__rid", "root"), first, ["root"]).where("__rid <> stays").select("__rid")
