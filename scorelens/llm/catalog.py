@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from scorelens.llm import (exact_dedup, fill_in_middle, jaccard_join, language_model, lexical_search, packing, personal_data, quality, sentence_pieces, token_files,
-                           toxicity, vector_search)
+from scorelens.llm import (exact_dedup, fill_in_middle, jaccard_join, language_model, lexical_search, minhash_forest, packing,
+                           personal_data, quality, sentence_pieces, token_files, toxicity, vector_search)
 
 QUERIES = {
+    "op13_minhash_forest": minhash_forest.op13_minhash_forest,
     "op11_ranked_search": lexical_search.op11_ranked_search,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
     "op10_personal_data": personal_data.op10_personal_data,
