@@ -8,13 +8,18 @@ an expression that is rare in both backs off to the same numbers and says nothin
 while a rare word with the stem of known ones is still recognised.
 
 A text's score compares the two log-likelihoods normalised by length: their
-difference per word, and per root of the number of words, with that number, go into
+difference per word, and per root of the number of words (by their inverse hyperbolic
+sines, so that texts far from both classes do not set the scale), with that number, go into
 a logistic regression fitted on a fold of the learning rows that the counts leave
-out.
+out. The fold goes by the least hash of a text's word n-grams, so that copies of a text
+all stand on one side (near copies as often as they share that n-gram), and what the
+regression sees are texts as new as those to be scored.
 
 Learning uses at most ``MAX_DOCS`` labelled texts of each class (those with the
-least hashes of their id); the words' counts are one distributed aggregation, the
-models (bounded by that sample) go to the tasks, every whole text is scored there.
+least hashes of their id); where that cuts a class, the regression weights its rows by
+the inverse of the rate, so that classes keep their ratio. The words' counts are one
+distributed aggregation, the models (bounded by that sample) go to the tasks, every
+whole text is scored there.
 Labels, language, source and id are no inputs of a score.
 
 Defined cases: null and empty texts have difference 0 and are scored like any other;
@@ -37,12 +42,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelens.llm import common as C
-from scorelens.llm.words import doc_words
+from scorelens.llm.jaccard_join import shingle_sets
+from scorelens.llm.words import doc_words, mix
 
 ORDER = 6
 SHARED = 1
 MAX_DOCS = 16_000
 FOLDS = 5
+FOLD_WORDS = 5
 REMEMBERED = 1_000_000
 _START, _END = 1, 2
 OUT = ["score", "predicted"]
@@ -137,19 +144,30 @@ class KneserNey:
 def features(total: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Of a text's log-likelihood difference and its number of words."""
     m = np.maximum(n, 1)
-    return np.stack([total / m, total / np.sqrt(m), np.log1p(n)], 1)
+    return np.stack([np.arcsinh(4 * total / m), np.arcsinh(total / np.sqrt(m)), np.log1p(n)], 1)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> tuple[np.ndarray, ...]:
-    """(mean, scale, weights) of a ridge logistic regression, by Newton steps."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60,
+                 times: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(mean, scale, weights) of a ridge logistic regression, by Newton steps; ``times``:
+    how many rows each row stands for."""
+    times = np.ones(len(x)) if times is None else times
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
     z = np.concatenate([np.ones((len(x), 1)), (x - mean) / scale], 1)
     penalty = np.diag([1e-6] + [ridge] * x.shape[1])
     w = np.zeros(z.shape[1])
+
+    def loss(w):
+        t = z @ w
+        return times @ (np.logaddexp(0, t) - y * t) + w @ penalty @ w / 2
+
+    now = loss(w)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
-        w += np.clip(step, -5, 5)
+        step = np.linalg.solve((z * (times * (p * (1 - p) + 1e-9))[:, None]).T @ z + penalty, z.T @ (times * (y - p)) - penalty @ w)
+        while (after := loss(w + step)) > now and np.abs(step).max() > 1e-9:
+            step /= 2  # a full step may go too far where classes are nearly apart
+        w, now = w + step, min(now, after)
         if np.abs(step).max() < 1e-8:
             break
     return mean, scale, w
@@ -235,6 +253,20 @@ def _word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema).groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (__text, __y) with ``__fold``, by the least hash of the text's word n-grams."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("__fold", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches, "__text"):
+            keys, off = shingle_sets(C.texts(batch, "__text"), FOLD_WORDS)
+            least = np.append(keys, np.uint64(0))[off[:-1]]
+            least[np.diff(off) == 0] = 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((mix(least) % np.uint64(FOLDS)).astype(np.int32))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text",
                    label: str = "toxic", max_docs: int = MAX_DOCS) -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: label 1 likelier) and ``predicted``.
@@ -244,20 +276,23 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     docs = C.drop_clashing(docs, OUT)
     given, docs = docs.columns, C.aside(docs, [id_col, text])
     known = (labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__key"))
-                   .agg(F.max(label).cast("int").alias("__y")).withColumn("__fold", C.fold("__key", FOLDS)).where("__fold <> 0"))
+                   .agg(F.max(label).cast("int").alias("__y")).where(C.fold("__key", FOLDS) != 0))
+    known = C.written(known)
+    given_of = {r[0]: r[1] for r in known.groupBy("__y").count().collect()}
     few = None
     for c in (0, 1):  # at most max_docs rows each, so the sample may be broadcast
         own = known.where(F.col("__y") == c).orderBy(F.xxhash64("__key"), "__key").limit(max_docs)
         few = own if few is None else few.unionByName(own)
     few = C.written(few)
-    sample = C.written(docs.select(F.col(id_col).alias("__key"), C.text_or_empty(text).alias("__text"))
-                           .join(F.broadcast(few), "__key").select("__text", "__y", "__fold"))
+    sample = C.written(_dealt(docs.select(F.col(id_col).alias("__key"), C.text_or_empty(text).alias("__text"))
+                              .join(F.broadcast(few), "__key").select("__text", "__y")))
     size = {(r[0], r[1]): r[2] for r in sample.groupBy("__y", F.col("__fold") == 1).count().collect()}
     of = lambda c: size.get((c, True), 0) + size.get((c, False), 0)
     if not of(0) or not of(1):
         share = F.lit(float(of(1) > 0))
         return docs.select("*", share.alias("score"), (share >= 0.5).cast("int").alias("predicted")).toDF(*given, *OUT)
-    # a fold for the regression, unless a class would be missing on either side
+    # a fold for the regression, unless a class would be missing on either side: then the
+    # regression sees the counted rows themselves
     apart = all(size.get(k, 0) for k in ((0, True), (0, False), (1, True), (1, False)))
     counted, judged = (sample.where("__fold <> 1"), sample.where("__fold = 1")) if apart else (sample, sample)
     table = _word_counts(counted).toArrow().combine_chunks()  # bounded by the sample
@@ -267,12 +302,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     shared = _Shared(spark, KneserNey(C.compact(words), counts))
     del words, counts
     seen = _differences(judged, "__text", shared, ["__y"]).toPandas()
-    model = fit_logistic(features(seen["__d"].to_numpy(), seen["__n"].to_numpy()), seen["__y"].to_numpy().astype(float))
+    y = seen["__y"].to_numpy()
+    times = np.array([max(1.0, given_of.get(c, 0) / max_docs) for c in (0, 1)])[y]
+    model = fit_logistic(features(seen["__d"].to_numpy(), seen["__n"].to_numpy()), y.astype(float), times=times)
 
     mean, scale, w = model
     rows = _differences(docs, text, shared, docs.columns)
     m = F.greatest(F.col("__n"), F.lit(1)).cast("double")
-    x = [F.col("__d") / m, F.col("__d") / F.sqrt(m), F.log1p(F.col("__n").cast("double"))]
+    x = [F.asinh(4 * F.col("__d") / m), F.asinh(F.col("__d") / F.sqrt(m)), F.log1p(F.col("__n").cast("double"))]
     z = F.lit(float(w[0]))
     for k in range(3):
         z = z + (x[k] - float(mean[k])) / float(scale[k]) * float(w[k + 1])

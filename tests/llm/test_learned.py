@@ -244,3 +244,46 @@ def test_personal_data_query(spark):
         assert r["base_sha256"] == hashlib.sha256(P.as_text(base).encode()).hexdigest()
         assert [r[f"n_{k}"] for k in P.KINDS] == [sum(s[2] == i for s in base) for i in range(4)]
         assert set(P.as_text(base).split(",")) - {""} <= set(r["spans"].split(","))
+
+
+def _toxic_corpus(copies):
+    """Clean texts (some in words of their own, far from both classes), rude ones, and labels."""
+    rng = np.random.default_rng(copies)
+    plain = [f"{a}{b}" for a in ("ver", "lan", "sto", "mi") for b in ("da", "ro", "net", "lis", "ton", "gar")]
+    odd = [f"zz{k}qx" for k in range(40)]
+    rude = ["wretch", "vermin", "dolt", "fiend"]
+    texts, labels = [], []
+    for k in range(900):
+        words = list(rng.choice(odd if k % 7 == 0 else plain, rng.integers(4, 60)))
+        bad = k % 4 == 1
+        if bad:
+            for _ in range(2):
+                words.insert(rng.integers(len(words)), str(rng.choice(rude)))
+        for _ in range(copies):
+            texts.append(" ".join(words))
+            labels.append(int(bad))
+    return texts, labels
+
+
+@pytest.mark.parametrize("copies,cap", [(1, 16_000), (1, 150), (5, 400), (5, 16_000)])
+def test_toxicity_keeps_clean_texts_whatever_the_sample(spark, copies, cap):
+    """Copies on both sides of the folds, or a class that the cap cuts, move no clean text."""
+    texts, labels = _toxic_corpus(copies)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, known, max_docs=cap).collect()}
+    clean = [got[i] for i, y in enumerate(labels) if not y]
+    toxic = [got[i] for i, y in enumerate(labels) if y]
+    assert np.mean(clean) < 0.02 and np.mean(toxic) > 0.9
+
+
+def test_logistic_settles_where_classes_are_nearly_apart():
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0.05, 0.1, (3000, 3)), rng.normal(-30, 20, (300, 3)), rng.normal(0.9, 0.3, (900, 3))])
+    y = np.repeat([0.0, 0.0, 1.0], [3000, 300, 900])
+    x = np.arcsinh(4 * x)
+    p = toxicity.predict_logistic(toxicity.fit_logistic(x, y), x)
+    assert np.mean((p >= 0.5) == (y == 1)) > 0.99
+    twice = toxicity.fit_logistic(np.concatenate([x, x[y == 1]]), np.append(y, y[y == 1]))
+    heavy = toxicity.fit_logistic(x, y, times=np.where(y == 1, 2.0, 1.0))
+    assert np.allclose(toxicity.predict_logistic(twice, x), toxicity.predict_logistic(heavy, x), atol=0.05)
