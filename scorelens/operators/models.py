@@ -8,13 +8,13 @@ as a Spark job on the prediction table.
 
 from __future__ import annotations
 
+import math
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       OneVsRest, RandomForestClassifier)
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark import StorageLevel
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.operators import metrics as M
+from scorelens.operators.boosting import PART_BYTES, BoostedModel, Boosting, fit_boosted
 
 
 @dataclass
@@ -69,16 +70,23 @@ def train_random_forest(features: str = "features", label: str = "label_index",
     return rf
 
 
-def train_boosted_trees(features: str = "features", label: str = "label_index", max_iter: int = 50,
-                        max_depth: int = 4, step: float = 0.1, seed: int = 42, parallelism: int = 2,
-                        weight: str | None = None) -> OneVsRest:
-    """M-04: multi-class gradient boosting as one-vs-rest binary GBTs; the
-    per-class margins are turned into normalised probabilities at scoring."""
-    gbt = GBTClassifier(maxIter=max_iter, maxDepth=max_depth, stepSize=step, seed=seed)
-    out = OneVsRest(classifier=gbt, featuresCol=features, labelCol=label, parallelism=parallelism)
-    if weight:
-        out.setWeightCol(weight)
-    return out
+class BoostedTrees:
+    """M-04: multi-class gradient boosting (``boosting``)."""
+
+    def __init__(self, features: str = "features", label: str = "label_index", weight: str | None = None,
+                 n_classes: int | None = None, **settings):
+        self.features, self.label, self.weight, self.n_classes = features, label, weight, n_classes
+        self.settings = Boosting(**settings)
+
+    def fit(self, df: DataFrame) -> BoostedModel:
+        k = self.n_classes or int(df.agg(F.max(self.label)).first()[0]) + 1
+        return fit_boosted(df, k, self.settings, self.features, self.label, self.weight)[0]
+
+
+def train_boosted_trees(features: str = "features", label: str = "label_index", weight: str | None = None,
+                        n_classes: int | None = None, **settings) -> BoostedTrees:
+    """M-04: an estimator of boosted trees; ``settings`` are those of ``Boosting``."""
+    return BoostedTrees(features, label, weight, n_classes, **settings)
 
 
 class OrdinalLogistic:
@@ -149,23 +157,16 @@ def build_estimator(spec: ModelSpec, features: str, label: str, weight: str | No
     if spec.kind == "forest":
         return train_random_forest(features, label, weight, p.get("n_trees", 200), p.get("max_depth", 16), seed)
     if spec.kind == "gbt":
-        return train_boosted_trees(features, label, p.get("max_iter", 50), p.get("max_depth", 4),
-                                   p.get("step", 0.1), seed, weight=weight)
+        return train_boosted_trees(features, label, weight, **p)
     if spec.kind == "ordinal":
         return OrdinalLogistic(features, label, p.get("reg", 0.0), weight)
     raise ValueError(spec.kind)
 
 
 # -------------------------------------------------------------------- scoring
-def with_class_probs(pred: DataFrame, n_classes: int, kind: str = "") -> DataFrame:
-    """``prob_{k}`` columns (k = 0..K-1) from ``probability`` (or, for the OvR
-    boosted model, normalised sigmoid(2 * margin) of ``rawPrediction``)."""
-    if kind == "gbt" or "probability" not in pred.columns:
-        raw = vector_to_array("rawPrediction")
-        sig = F.transform(raw, lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-        pred = pred.withColumn("__pa", F.transform(sig, lambda v: v / F.aggregate(sig, F.lit(0.0), lambda a, b: a + b)))
-    else:
-        pred = pred.withColumn("__pa", vector_to_array("probability"))
+def with_class_probs(pred: DataFrame, n_classes: int) -> DataFrame:
+    """``prob_{k}`` columns (k = 0..K-1) from ``probability``."""
+    pred = pred.withColumn("__pa", vector_to_array("probability"))
     return pred.select("*", *[F.col("__pa")[k].alias(f"prob_{k}") for k in range(n_classes)]).drop("__pa")
 
 
@@ -186,6 +187,14 @@ def score_metrics(pred: DataFrame, label: str, n_classes: int) -> dict:
 NEEDS_SCALING = ("logistic", "ordinal")
 
 
+def sized(df: DataFrame, features: str = "features") -> DataFrame:
+    """``df`` persisted in partitions of at most about ``PART_BYTES`` of feature values."""
+    from scorelens.plans.helpers import checkpoint
+    src = df if df.is_cached else checkpoint(df)
+    n, p = src.agg(F.count(F.lit(1)), F.max(F.size(vector_to_array(features)))).first()
+    return src.coalesce(max(1, math.ceil(n * 8 * (p or 1) / PART_BYTES))).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def scale_for_linear(train: DataFrame, test: DataFrame, features: str = "features") -> tuple[DataFrame, DataFrame]:
     """Features centred and scaled by the train rows' moments (both splits)."""
     sc = StandardScaler(inputCol=features, outputCol="__zf", withMean=True, withStd=True).fit(train)
@@ -195,16 +204,17 @@ def scale_for_linear(train: DataFrame, test: DataFrame, features: str = "feature
 
 def evaluate_model(spec: ModelSpec, train: DataFrame, test: DataFrame, features: str = "features",
                    label: str = "label_index", n_classes: int | None = None, weight: str | None = None,
-                   seed: int = 42) -> tuple[dict, object]:
+                   seed: int = 42, fitted=None) -> tuple[dict, object]:
     """M-10: fit, predict, all metrics and the fit seconds. Linear kinds get features
-    scaled on the train rows."""
+    scaled on the train rows. ``fitted``: (model, seconds), if it has been fitted."""
+    if fitted is not None:
+        return score_metrics(with_class_probs(fitted[0].transform(test), n_classes), label, n_classes) | {"fit_seconds": fitted[1]}, fitted[0]
     if spec.kind in NEEDS_SCALING:
         train, test = scale_for_linear(train, test, features)
-    # iterative fits make one pass per iteration: keep the inputs materialised
-    # (frames the caller already cached stay cached afterwards)
-    owned = [d for d in (train, test) if not d.is_cached]
-    for d in owned:
-        d.persist(StorageLevel.MEMORY_AND_DISK)
+    # iterative fits make one pass per iteration: keep the inputs materialised, in as
+    # many partitions as their size asks for
+    train, test = sized(train, features), sized(test, features)
+    owned = [train, test]
     try:
         n_classes = n_classes or int(train.agg(F.max(label)).collect()[0][0]) + 1
         n_rows = float(train.agg(F.sum(F.col(weight)) if weight else F.count(F.lit(1))).collect()[0][0])
@@ -212,7 +222,7 @@ def evaluate_model(spec: ModelSpec, train: DataFrame, test: DataFrame, features:
         t0 = time.time()
         model = est.fit(train)
         fit_s = time.time() - t0
-        pred = with_class_probs(model.transform(test), n_classes, spec.kind)
+        pred = with_class_probs(model.transform(test), n_classes)
         res = score_metrics(pred, label, n_classes)
         res["fit_seconds"] = fit_s
     finally:
@@ -239,10 +249,22 @@ def run_repeated(specs: list[ModelSpec], data: DataFrame, seeds: list[int], feat
             tr, te = prepare(tr, te)
         splits[s] = (tr.cache(), te.cache())
 
+    # boosted models of all seeds and conditions grow in the same jobs
+    grown: dict = {}
+    for spec in (x for x in specs if x.kind == "gbt"):
+        runs = [(s, c, w) for s in seeds for c, w in conditions.items()]
+        t0, rows = time.time(), None
+        for i, (s, _, w) in enumerate(runs):
+            r = splits[s][0].select(F.lit(i).alias("__fit"), features, label, (F.col(w) if w else F.lit(1.0)).cast("double").alias("__w"))
+            rows = r if rows is None else rows.unionByName(r)
+        models = fit_boosted(rows, n_classes, Boosting(**spec.params), features, label, "__w", "__fit")
+        seconds = (time.time() - t0) / len(runs)
+        grown |= {(s, c, spec.label): (models[i], seconds) for i, (s, c, _) in enumerate(runs)}
+
     def one(job):
         s, cond, w, spec = job
         tr, te = splits[s]
-        res, _ = evaluate_model(spec, tr, te, features, label, n_classes, w, seed=s)
+        res, _ = evaluate_model(spec, tr, te, features, label, n_classes, w, seed=s, fitted=grown.get((s, cond, spec.label)))
         return [(s, cond, spec.label, m, float(v) if v is not None else None) for m, v in res.items()]
 
     jobs = [(s, c, w, spec) for s in seeds for c, w in conditions.items() for spec in specs]
@@ -339,10 +361,6 @@ def pca_on_train(train: DataFrame, test: DataFrame, share: float = 0.95, feature
 
 
 # ------------------------------------------------------------------- persist
-def fit_pipeline(stages: list, train: DataFrame) -> PipelineModel:
-    return Pipeline(stages=stages).fit(train)
-
-
 def save_pipeline(model: PipelineModel, path: str) -> str:
     """Write a fitted pipeline to a folder that all executors reach."""
     model.write().overwrite().save(path)

@@ -25,7 +25,7 @@ CLASSES = list(range(10))
 SPECS = {"logistic": MD.ModelSpec("logistic", params={"max_iter": 200}),
          "tree": MD.ModelSpec("tree", params={"max_depth": 8, "min_leaf": 10}),
          "forest": MD.ModelSpec("forest", params={"n_trees": 300, "max_depth": 16}),
-         "gbt": MD.ModelSpec("gbt", params={"max_iter": 300, "max_depth": 6, "step": 0.05}),
+         "gbt": MD.ModelSpec("gbt", params={"rounds": 300, "step": 0.05, "leaves": 31, "depth": 6}),
          "ordinal": MD.ModelSpec("ordinal", params={"reg": 1e-4})}
 SEEDS = [42, 142, 242, 342, 442]
 

@@ -91,11 +91,11 @@ def test_ordinal_thresholds_share_one_slope_and_learn(spark, survey):
 def test_weights_change_boosted_and_ordinal_models(spark, survey, kind):
     tr, te = split(survey)
     tr = tr.withColumn("w", F.when(F.col("rpi") == 1, 50.0).otherwise(1.0))
-    spec = MD.ModelSpec(kind, params={"max_iter": 3, "max_depth": 2})
+    spec = MD.ModelSpec(kind, params={"rounds": 3, "depth": 2} if kind == "gbt" else {})
     share = []
     for w in (None, "w"):
         est = MD.build_estimator(spec, "features", "label_index", w, float(tr.count()), 1)
-        p = MD.with_class_probs(est.fit(tr).transform(te), 5, kind)
+        p = MD.with_class_probs(est.fit(tr).transform(te), 5)
         share.append(p.agg(F.avg("prob_0")).first()[0])
     assert share[1] > share[0] + 0.05
 
