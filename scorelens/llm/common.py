@@ -13,10 +13,24 @@ from pyspark.sql import functions as F
 
 from scorelens.session import ensure_checkpoint_dir, ship_package
 
+# Bytes of words that a worker remembers with what was found for them.
+REMEMBERED_BYTES = 64 << 20
 # Text bytes a Python worker handles at once (memory bound, results do not depend on it).
 SLICE_BYTES = 8 << 20
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """The worker's tables ``key``, made once. A worker is used again by later stages: it
+    holds those of one operator at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, read by Spark (any file system Spark knows)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -65,7 +65,7 @@ class WordHasher:
         kept = np.append(0, np.cumsum(there.to_numpy(zero_copy_only=False)))
         coded = flat.filter(there).dictionary_encode()
         words = coded.dictionary
-        if len(self.known) > self.REMEMBERED:
+        if len(self.known) > self.REMEMBERED or self.known.nbytes > C.REMEMBERED_BYTES:
             self.__init__(self.dim)
         at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False)
         numbers = np.zeros((len(words), 2), np.int64)

@@ -256,7 +256,7 @@ class PieceEncoder:
     def encode(self, text: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and the offset of each text's first id (and the end)."""
         m = self.model
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.known.nbytes > C.REMEMBERED_BYTES or self.flat.nbytes > C.REMEMBERED_BYTES:
             self._forget()
         whole = pc.replace_substring(text, SPACE, " ")  # both stand for the same symbol
         if m.dummy_prefix:
@@ -319,13 +319,8 @@ def _taken(values: pa.Array, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
     return memoryview(got.buffers()[2]), np.frombuffer(got.buffers()[1], np.int64, count=len(ids) + 1)
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    return C.held(("pieces", path), lambda: PieceEncoder(path))
 
 
 def sentence_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "text",

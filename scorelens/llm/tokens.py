@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from scorelens.llm import common as C
 from scorelens.llm.common import ragged_take
 
 # Byte classes for the cuts. Lead bytes C2, E1, E2 and E3 may start Unicode white
@@ -134,7 +135,7 @@ class TokenEncoder:
     def encode(self, text: pa.LargeStringArray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Flat int32 ids of all texts, and the offset of each text's first id
         (total at the end). ``end_id`` is appended to every text if given."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.known.nbytes > C.REMEMBERED_BYTES or 4 * self.used > C.REMEMBERED_BYTES:
             self._forget()
         parts, first = pieces_of(text)
         coded = parts.dictionary_encode()
@@ -144,17 +145,22 @@ class TokenEncoder:
         old = at >= 0
         starts[old], lens[old] = self.known_starts[at[old]], self.known_lens[at[old]]
         new = np.flatnonzero(~old)
-        if len(new):
-            fresh = words.take(pa.array(new))
-            starts[new], lens[new] = self._fresh(fresh)
-            short = pc.less_equal(pc.binary_length(fresh), LONGEST_REMEMBERED)
-            keep = new[short.to_numpy(zero_copy_only=False)]
+        short = pc.less_equal(pc.binary_length(words), LONGEST_REMEMBERED).to_numpy(zero_copy_only=False)
+        keep, long = new[short[new]], new[~short[new]]
+        if len(keep):
+            starts[keep], lens[keep] = self._fresh(words.take(pa.array(keep)))
             self.known = pa.concat_arrays([self.known, words.take(pa.array(keep))])
             self.known_starts = np.concatenate([self.known_starts, starts[keep]])
             self.known_lens = np.concatenate([self.known_lens, lens[keep]])
+        remembered = self.used
+        if len(long):
+            starts[long], lens[long] = self._fresh(words.take(pa.array(long)))
         of = coded.indices.to_numpy(zero_copy_only=False) if len(parts) else np.empty(0, np.int64)
         of_lens = lens[of]
         ids = ragged_take(self.flat, starts[of], of_lens)
+        self.used = remembered  # the ids of long parts are for this batch only
+        if len(self.flat) > 4 * max(self.used, 1 << 16):
+            self.flat = self.flat[:2 * max(self.used, 1 << 16)].copy()
         offsets = np.concatenate([[0], np.cumsum(of_lens)])[first]
         if end_id is None:
             return ids, offsets
@@ -168,11 +174,6 @@ class TokenEncoder:
         return out, offsets + np.arange(n + 1)
 
 
-_ENCODERS: dict[str, TokenEncoder] = {}
-
-
 def encoder(path: str) -> TokenEncoder:
-    """The worker's encoder for a tokenizer file (loaded once)."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TokenEncoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder for a tokenizer file."""
+    return C.held(("tokens", path), lambda: TokenEncoder(path))

@@ -187,7 +187,7 @@ class _Scorer:
 
     def totals(self, text: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
         codes, off, words = doc_words(text)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.known.nbytes > C.REMEMBERED_BYTES:
             self.known, self.ratio = pa.array([], pa.large_string()), np.empty(0)
         at = pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False)
         ratio = np.where(at >= 0, self.ratio[at] if len(self.ratio) else 0.0, 0.0)
@@ -201,14 +201,8 @@ class _Scorer:
         return run[off[1:]] - run[off[:-1]], np.diff(off)
 
 
-_SCORERS: dict = {}
-
-
 def _scorer(shared) -> _Scorer:
-    if shared.id not in _SCORERS:  # ``id``: Spark's number of the broadcast
-        _SCORERS.clear()
-        _SCORERS[shared.id] = _Scorer(shared.value)
-    return _SCORERS[shared.id]
+    return C.held(("toxicity", shared.id), lambda: _Scorer(shared.value))  # ``id``: Spark's number of the broadcast
 
 
 class _Shared:

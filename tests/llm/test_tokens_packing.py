@@ -161,3 +161,24 @@ def test_token_files_query(spark, byte_bpe):
 def test_token_files_of_nothing(spark, empty, byte_bpe, tmp_path):
     token_files.write_token_files(empty, byte_bpe, str(tmp_path / "ids"))
     assert token_files.read_token_files(spark, str(tmp_path / "ids")).count() == 0
+
+
+def test_long_parts_leave_nothing_behind(byte_bpe):
+    """Texts without a cut are encoded anew: what a worker holds does not grow with them."""
+    from tokenizers import Tokenizer
+    from scorelens.llm.tokens import TokenEncoder
+    enc, tok, used = TokenEncoder(byte_bpe), Tokenizer.from_file(byte_bpe), []
+    for k in range(4):
+        texts = ["".join(chr(0x4E00 + (7 * i * (k + 1)) % 5000) for i in range(20_000)), "plain words", "x" * (500 + k)]
+        ids, off = enc.encode(pa.array(texts, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        used.append(enc.used)
+    assert used[-1] == used[0] < 100 and len(enc.flat) <= 1 << 18
+
+
+def test_workers_hold_one_operators_tables():
+    from scorelens.llm import common as C
+    a = C.held("one", list)
+    assert C.held("one", list) is a
+    C.held("two", list)
+    assert C.held("one", list) is not a
