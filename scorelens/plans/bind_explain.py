@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from math import factorial
+
 from pyspark.sql import functions as F
 
 from scorelens.operators import explain as X
+from scorelens.operators import paths as PT
 from scorelens.operators import stats
 from scorelens.plans import views as V
 from scorelens.plans.bind_stats import _IMP_SQL, _KW_SQL, _MI_SQL, _avg_rank_sql, _imp, _r
@@ -54,6 +57,47 @@ def q_linear_attribution(spark, sf):
     return _attr(spark, sf, AF_ROWS)
 
 
+# a given tree: node -> (column, threshold, left, right, rows) or (rows, values by class)
+TREE_COLUMNS = ["l_quantity", "p_size", "l_linenumber"]
+TREE = {0: ("l_quantity", 24.5, 1, 2, 100.0), 1: ("p_size", 20.5, 3, 4, 60.0), 2: ("l_linenumber", 3.5, 5, 6, 40.0),
+        4: ("l_quantity", 10.5, 7, 8, 35.0), 3: (25.0, [0.5, 0.25, 0.25]), 5: (24.0, [0.125, 0.75, 0.125]),
+        6: (16.0, [0.25, 0.25, 0.5]), 7: (14.0, [0.0, 0.5, 0.5]), 8: (21.0, [1.0, 0.0, 0.0])}
+
+
+def _given_value(node: int, known: tuple, cls: int) -> str:
+    """SQL of the tree's expectation when only ``known`` columns are given."""
+    if len(TREE[node]) == 2:
+        return f"{TREE[node][1][cls]!r}e0"
+    col, thr, left, right, rows = TREE[node]
+    a, b = (_given_value(x, known, cls) for x in (left, right))
+    if col in known:
+        return f"(CASE WHEN {col} <= {thr} THEN {a} ELSE {b} END)"
+    share = [TREE[x][-1 if len(TREE[x]) == 5 else 0] / rows for x in (left, right)]
+    return f"({share[0]!r}e0 * {a} + {share[1]!r}e0 * {b})"
+
+
+def _shapley_sql(col: str, cls: int) -> str:
+    """SQL of a column's Shapley value: all orders of the other columns."""
+    others = [c for c in TREE_COLUMNS if c != col]
+    terms = []
+    for mask in range(2 ** len(others)):
+        known = tuple(c for i, c in enumerate(others) if mask >> i & 1)
+        weight = factorial(len(known)) * factorial(len(others) - len(known)) / factorial(len(TREE_COLUMNS))
+        terms.append(f"{weight!r}e0 * ({_given_value(0, known + (col,), cls)} - {_given_value(0, known, cls)})")
+    return " + ".join(terms)
+
+
+@register("tree_attribution_given", dbl=["phi", "x", "base_value"], sql=" UNION ALL ".join(
+    f"SELECT row_key, {c} AS cls, '{f}' AS feature, {_shapley_sql(f, c)} AS phi, cast({f} AS double) AS x, {_given_value(0, (), c)} AS base_value FROM {W1}"
+    for f in TREE_COLUMNS for c in range(3)))
+def q_tree_attribution_given(spark, sf):
+    """I-10 with a given node table: path attribution equals the Shapley values by definition."""
+    rows = [(0, n, TREE_COLUMNS.index(t[0]), t[1], t[2], t[3], t[4], []) if len(t) == 5 else (0, n, -1, None, -1, -1, t[0], t[1])
+            for n, t in TREE.items()]
+    nodes = spark.createDataFrame(rows, "tree int, node int, feature int, threshold double, left int, right int, cover double, value array<double>")
+    return PT.path_attribution(PT.leaf_paths(nodes), V.w1(spark, sf), TREE_COLUMNS, "row_key")
+
+
 _SUMMARY = f"""(SELECT feature, avg(abs(phi)) AS mean_abs_phi, avg(phi) AS mean_phi FROM {ATTR_SQL} a GROUP BY feature)"""
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scorelens.operators import importance as I
 from scorelens.operators import models as MD
+from scorelens.operators import paths as PT
 from scorelens.operators import prep
 from scorelens.plans import views as V
 from scorelens.plans.registry import register
@@ -194,7 +195,15 @@ def q_permutation_importance(spark, sf):
 def q_tree_attribution(spark, sf):
     tr, te = split(data(spark, sf))
     m = MD.train_decision_tree(max_depth=8, min_leaf=10).fit(tr)
-    return I.tree_attribution(m, te, DIMS, "id")
+    return PT.tree_attribution(m, te, DIMS, "id")
+
+
+@register("boosted_attribution")
+def q_boosted_attribution(spark, sf):
+    """Margins of boosted trees, explained."""
+    tr, te = split(data(spark, sf))
+    m = MD.train_boosted_trees(rounds=20, step=0.05, leaves=31, depth=6).fit(tr)
+    return PT.tree_attribution(m, te, DIMS, "id")
 
 
 @register("whatif_scenarios")

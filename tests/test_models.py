@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelens.operators import importance as I
 from scorelens.operators import models as MD
+from scorelens.operators import paths as PT
 from scorelens.operators import prep
 from scorelens.plans import bind_models as BM
 from scorelens.plans.bind_sources import SURVEY_CLASS_PROBS
@@ -61,7 +62,7 @@ def test_tree_shap_local_accuracy(spark, survey):
     te = te.limit(40)
     for model in (MD.train_decision_tree(max_depth=4).fit(tr),
                   MD.train_random_forest(n_trees=3, max_depth=3).fit(tr)):
-        attr = I.tree_attribution(model, te, DOMAIN_TOTALS, "id")
+        attr = PT.tree_attribution(model, te, DOMAIN_TOTALS, "id")
         s = attr.groupBy("id", "cls").agg((F.sum("phi") + F.first("base_value")).alias("f")).toPandas()
         pred = model.transform(te).select("id", vector_to_array("probability").alias("p")).toPandas()
         pm = {(r.id, c): r.p[c] for r in pred.itertuples() for c in range(5)}
