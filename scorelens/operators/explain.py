@@ -107,6 +107,49 @@ def linear_attribution(df: DataFrame, coef: dict, features: list[str], row_id: s
                 .select(row_id, "cls", "feature", (F.col("coef") * (F.col("x") - F.col("mu"))).alias("phi"), "x"))
 
 
+def attribution_rows(df: DataFrame, coef: dict, features: list[str], row_id: str, background: DataFrame | None = None,
+                     keep: list[str] | None = None) -> DataFrame:
+    """I-09 row by row: (row_id, kept columns, x: one number a feature, phi: class -> one
+    number a feature). What follows stays inside the row: nothing is shuffled."""
+    bg = background if background is not None else df
+    mean = lambda f: (F.try_divide(F.sum(f).cast("double"), F.count(f)) if isinstance(bg.schema[f].dataType, T.DecimalType)
+                      else F.avg(F.col(f).cast("double")))
+    means = bg.agg(F.array(*[mean(f) for f in features]).alias("__mu"))
+    x = F.array(*[F.col(f).cast("double") for f in features]).alias("x")
+    rows = df.select(F.col(row_id), *(keep or []), x).crossJoin(F.broadcast(means))   # one row
+    weights = lambda fw: F.array(*[F.lit(float(fw[f])) for f in features])
+    phi = lambda fw: F.transform(F.arrays_zip(weights(fw).alias("w"), F.col("x"), F.col("__mu").alias("m")),
+                                 lambda e: e["w"] * (e["x"] - e["m"]))
+    by_class = F.create_map(*[v for k, fw in sorted(coef.items()) for v in (F.lit(int(k)), phi(fw))])
+    return rows.select(row_id, *(keep or []), "x", by_class.alias("phi"))
+
+
+def waterfall_rows(rows: DataFrame, features: list[str], cls: str, row_id: str, top: int = 10) -> DataFrame:
+    """I-15 from ``attribution_rows``: a row's ``top`` features by |phi| for the class in
+    column ``cls``, with running totals, ordered and cut inside the row."""
+    names = F.array(*[F.lit(f) for f in features])
+    each = F.transform(F.try_element_at(F.col("phi"), F.col(cls)), lambda v, i: F.struct(
+        v.isNull().alias("none"), (-F.abs(v)).alias("m"), F.get(names, i).alias("feature"), v.alias("phi")))
+    cut = rows.select(row_id, F.col(cls).alias("cls"), F.slice(F.array_sort(each), 1, top).alias("l"))
+    steps = F.transform("l", lambda e, i: F.struct(e["feature"].alias("feature"), e["phi"].alias("phi"), (i + 1).alias("step"), F.aggregate(
+        F.slice("l", F.lit(1), i + 1), F.lit(0.0), lambda a, b: a + F.coalesce(b["phi"], F.lit(0.0))).alias("cum_phi")))
+    return cut.select(row_id, "cls", F.inline(steps))
+
+
+def points_rows(rows: DataFrame, features: list[str], row_id: str, top: int = 15) -> DataFrame:
+    """I-16 from ``attribution_rows``: phi summed over classes and min-max scaled values of
+    the ``top`` features by mean |sum|; bounds and means are one aggregation."""
+    k = len(features)
+    total = F.aggregate(F.map_values("phi"), F.array_repeat(F.lit(0.0), k), lambda a, v: F.zip_with(a, v, lambda p, q: p + q))
+    r = rows.select(row_id, "x", total.alias("s"))
+    stats_ = r.agg(*[f(c) for i in range(k) for f, c in ((F.avg, F.abs(F.col("s")[i])), (F.min, F.col("x")[i]), (F.max, F.col("x")[i]))]).first()
+    own = [(features[i], i, *stats_[3 * i:3 * i + 3]) for i in range(k)]   # one row of bounded width
+    best = sorted(own, key=lambda o: (-(o[2] if o[2] is not None else -1.0), o[0]))[:top]
+    points = [F.struct(F.lit(f).alias("feature"), F.col("s")[i].alias("phi_sum"),
+                       ((F.col("x")[i] - F.lit(lo)) / F.lit(None if lo is None else hi - lo + 1e-12)).alias("x_scaled")) for f, i, _, lo, hi in best]
+    return r.select(row_id, F.inline(F.array(*points)))
+
+
 def attribution_summary(attr: DataFrame) -> DataFrame:
     """I-11: mean |phi| over class x row, mean signed phi, direction label."""
     s = attr.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"), F.avg("phi").alias("mean_phi"))

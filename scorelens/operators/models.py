@@ -233,7 +233,7 @@ def evaluate_model(spec: ModelSpec, train: DataFrame, test: DataFrame, features:
 
 def run_repeated(specs: list[ModelSpec], data: DataFrame, seeds: list[int], features: str = "features",
                  label: str = "label_index", conditions: dict[str, str | None] | None = None,
-                 split=None, parallel: int = 2, extra: dict | None = None, prepare=None) -> DataFrame:
+                 split=None, parallel: int = 6, extra: dict | None = None, prepare=None) -> DataFrame:
     """M-11: models x seeds x conditions -> long score cube
     ``(seed, condition, model, metric, value)``. ``split(data, seed)`` returns
     (train, test); ``prepare(train, test)`` may replace both by what it learns from the

@@ -18,17 +18,26 @@ from scorelens.plans.rank import row_position
 
 
 # ---------------------------------------------------------------- imputation
+def _modes(long: DataFrame, cols: list[str], prefix: str) -> DataFrame:
+    """One row: the most frequent value (the smallest on ties) of every feature of a long
+    table (feature, value), from counts by value: no task holds a column's values."""
+    n = long.where("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy("feature").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("m"))
+    return F.broadcast(best.agg(*[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(f"{prefix}{c}") for c in cols]))
+
+
 def impute_stat(df: DataFrame, cols: list[str], strategy: str = "median", approx: bool = False) -> DataFrame:
     """P-01: fill NULL numeric cells with the column mean / median / most frequent."""
     fns = {"mean": lambda c: F.avg(c),
-           "median": lambda c: F.percentile_approx(c, 0.5, 10000),
-           "most_frequent": lambda c: F.mode(c, True)}
+           "median": lambda c: F.percentile_approx(c, 0.5, 10000)}
     if strategy == "median" and not approx:
         # exact medians from the distributed running count (no column held in one task)
         from scorelens.operators.profile import quantile_table
         q = quantile_table(to_long(df, cols), ["feature"], "value", [0.5])
         fill = F.broadcast(q.agg(*[F.max(F.when(F.col("feature") == c, F.col("_q")[0])).alias(f"__f_{c}")
                                    for c in cols]))           # one row
+    elif strategy == "most_frequent":
+        fill = _modes(to_long(df, cols), cols, "__f_")
     else:
         fill = F.broadcast(df.agg(*[fns[strategy](F.col(c).cast("double")).alias(f"__f_{c}") for c in cols]))
     j = df.crossJoin(fill)   # one row
@@ -39,8 +48,8 @@ def impute_stat(df: DataFrame, cols: list[str], strategy: str = "median", approx
 def impute_mode_cat(df: DataFrame, cols: list[str], fallback: str = "Unknown") -> DataFrame:
     """P-02: fill NULL categories with the most frequent level (smallest on
     ties, N8); a column with no value at all gets ``fallback``."""
-    fill = F.broadcast(df.agg(*[F.mode(F.col(c), True).alias(f"__m_{c}") for c in cols]))
-    j = df.crossJoin(fill)
+    long = df.select(*[F.col(c).cast("string") for c in cols]).unpivot([], cols, "feature", "value")
+    j = df.crossJoin(_modes(long, cols, "__m_"))   # one row
     return j.select(*[F.coalesce(F.col(c), F.col(f"__m_{c}"), F.lit(fallback)).alias(c) if c in cols else F.col(c)
                       for c in df.columns])
 

@@ -17,10 +17,6 @@ W1 = f"({V.W1_SQL}) w1"
 W2 = f"({V.W2_SQL}) w2"
 FE = V.FEATURES
 AF = V.FEATURES                                      # attribution inputs of the aggregated queries
-# Inputs of the queries that return a row per row and feature: integer-valued, because
-# an average of floats may differ in its last bit between the engines, and one of
-# millions of rounded values would show it.
-AF_ROWS = ["l_quantity", "p_size", "l_linenumber"]
 
 
 def _coef(features):
@@ -49,12 +45,6 @@ JOIN {coef} ON l.feature = ct.feature)"""
 
 
 ATTR_SQL = _attr_sql(AF)
-ROWS_SQL = _attr_sql(AF_ROWS)
-
-
-@register("linear_attribution", dbl=["phi", "x"], sql=f"SELECT * FROM {ROWS_SQL} a")
-def q_linear_attribution(spark, sf):
-    return _attr(spark, sf, AF_ROWS)
 
 
 # a given tree: node -> (column, threshold, left, right, rows) or (rows, values by class)
@@ -137,35 +127,19 @@ def q_attr_dependence(spark, sf):
     return X.attribution_dependence(_attr(spark, sf), "l_quantity")
 
 
-@register("attribution_waterfall", dbl=["phi", "cum_phi"], sql=f"""
-WITH a AS (SELECT a.* FROM {ROWS_SQL} a JOIN (SELECT row_key, grade FROM {W1}) g ON a.row_key = g.row_key AND a.cls = g.grade),
-r AS (SELECT row_key, cls, feature, phi, row_number() OVER (PARTITION BY row_key, cls ORDER BY abs(phi) DESC, feature) AS step FROM a)
-SELECT row_key, cls, feature, phi, step,
-  sum(phi) OVER (PARTITION BY row_key, cls ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_phi
-FROM r WHERE step <= 10
-""")
-def q_attr_waterfall(spark, sf):
-    labels = V.w1(spark, sf).select("row_key", F.col("grade").alias("cls"))
-    return X.attribution_waterfall(_attr(spark, sf, AF_ROWS), "row_key", 10, cls_of_row=labels)
+# Queries with a row per row and feature. The background means come from exact decimal
+# sums in both engines, running totals and class sums from ordered lists in the SQL. The
+# names with ``_all`` go over the long table, the others stay inside the row.
+def _background(spark, sf):
+    return V.w1(spark, sf).where(F.col("year") == BG_YEAR).select(*[F.col(f).cast("decimal(18,2)").alias(f) for f in AF])
 
 
-@register("attribution_points", dbl=["phi_sum", "x_scaled"], sql=f"""
-WITH s AS (SELECT row_key, feature, sum(phi) AS phi_sum, any_value(x) AS x FROM {ROWS_SQL} a GROUP BY row_key, feature),
-t AS (SELECT feature FROM s GROUP BY feature ORDER BY avg(abs(phi_sum)) DESC, feature LIMIT 15),
-s2 AS (SELECT * FROM s WHERE feature IN (SELECT feature FROM t)),
-mm AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM s2 GROUP BY feature)
-SELECT row_key, s2.feature, phi_sum, (x - lo) / (hi - lo + 1e-12) AS x_scaled FROM s2 JOIN mm ON s2.feature = mm.feature
-""")
-def q_attr_points(spark, sf):
-    return X.attribution_points(_attr(spark, sf, AF_ROWS), "row_key", 15)
+def _attr_all(spark, sf):
+    return X.linear_attribution(V.w1(spark, sf).select("row_key", *AF), _coef(AF), AF, "row_key", background=_background(spark, sf))
 
 
-# The same three queries over all features. The background means come from exact decimal
-# sums in both engines, running totals and class sums from ordered lists in the SQL.
-def _attr_all(spark, sf):
-    w = V.w1(spark, sf)
-    background = w.where(F.col("year") == BG_YEAR).select(*[F.col(f).cast("decimal(18,2)").alias(f) for f in AF])
-    return X.linear_attribution(w.select("row_key", *AF), _coef(AF), AF, "row_key", background=background)
+def _rows(spark, sf, keep=None):
+    return X.attribution_rows(V.w1(spark, sf), _coef(AF), AF, "row_key", background=_background(spark, sf), keep=keep)
 
 
 ALL_SQL = f"""(SELECT l.row_key, cast(ct.cls AS int) AS cls, l.feature, ct.coef * (l.x - mu.mu) AS phi, l.x
@@ -178,12 +152,19 @@ JOIN (VALUES {', '.join(f"({k}, '{f}', {c!r}e0)" for k, fw in _coef(AF).items()
   ON l.feature = ct.feature)"""
 
 
+@register("linear_attribution", dbl=["phi", "x"], sql=f"SELECT * FROM {ALL_SQL} a")
+def q_linear_attribution(spark, sf):
+    names = F.array(*[F.lit(f) for f in AF])
+    cells = _rows(spark, sf).select("row_key", "x", F.explode("phi").alias("cls", "p"))
+    return cells.select("row_key", "cls", F.inline(F.arrays_zip(names.alias("feature"), F.col("p").alias("phi"), F.col("x"))))
+
+
 @register("linear_attribution_all", dbl=["phi", "x"], sql=f"SELECT * FROM {ALL_SQL} a")
 def q_linear_attribution_all(spark, sf):
     return _attr_all(spark, sf)
 
 
-@register("attribution_waterfall_all", dbl=["phi", "cum_phi"], sql=f"""
+_WATERFALL_SQL = f"""
 WITH a AS (SELECT a.* FROM {ALL_SQL} a JOIN (SELECT row_key, grade FROM {W1}) g ON a.row_key = g.row_key AND a.cls = g.grade),
 r AS (SELECT row_key, cls, list(struct_pack(feature := feature, phi := phi) ORDER BY abs(phi) DESC, feature)[:10] AS l
       FROM a GROUP BY row_key, cls),
@@ -191,20 +172,36 @@ s AS (SELECT row_key, cls, l, unnest(range(1, len(l) + 1)) AS step FROM r)
 SELECT row_key, cls, l[step].feature AS feature, l[step].phi AS phi, step,
   list_reduce(list_prepend(0e0, list_transform(l[1:step], lambda e: e.phi)), lambda p, q: p + q) AS cum_phi
 FROM s
-""")
+"""
+
+
+@register("attribution_waterfall", dbl=["phi", "cum_phi"], sql=_WATERFALL_SQL)
+def q_attr_waterfall(spark, sf):
+    return X.waterfall_rows(_rows(spark, sf, ["grade"]), AF, "grade", "row_key", 10)
+
+
+@register("attribution_waterfall_all", dbl=["phi", "cum_phi"], sql=_WATERFALL_SQL)
 def q_attr_waterfall_all(spark, sf):
     labels = V.w1(spark, sf).select("row_key", F.col("grade").alias("cls"))
     return X.attribution_waterfall(_attr_all(spark, sf), "row_key", 10, cls_of_row=labels)
 
 
-@register("attribution_points_all", dbl=["phi_sum", "x_scaled"], sql=f"""
+_POINTS_SQL = f"""
 WITH s AS (SELECT row_key, feature, list_reduce(list_prepend(0e0, list(phi ORDER BY cls)), lambda p, q: p + q) AS phi_sum, any_value(x) AS x
            FROM {ALL_SQL} a GROUP BY row_key, feature),
 t AS (SELECT feature FROM s GROUP BY feature ORDER BY avg(abs(phi_sum)) DESC, feature LIMIT 15),
 s2 AS (SELECT * FROM s WHERE feature IN (SELECT feature FROM t)),
 mm AS (SELECT feature, min(x) AS lo, max(x) AS hi FROM s2 GROUP BY feature)
 SELECT row_key, s2.feature, phi_sum, (x - lo) / (hi - lo + 1e-12) AS x_scaled FROM s2 JOIN mm ON s2.feature = mm.feature
-""")
+"""
+
+
+@register("attribution_points", dbl=["phi_sum", "x_scaled"], sql=_POINTS_SQL)
+def q_attr_points(spark, sf):
+    return X.points_rows(_rows(spark, sf), AF, "row_key", 15)
+
+
+@register("attribution_points_all", dbl=["phi_sum", "x_scaled"], sql=_POINTS_SQL)
 def q_attr_points_all(spark, sf):
     return X.attribution_points(_attr_all(spark, sf), "row_key", 15)
 

@@ -9,8 +9,25 @@ from conftest import SF_SMALL
 from test_registry import _compare
 
 
-@pytest.mark.parametrize("name", ["linear_attribution_all", "attribution_waterfall_all", "attribution_points_all"])
+@pytest.mark.parametrize("name", [f"{n}{s}" for n in ("linear_attribution", "attribution_waterfall", "attribution_points") for s in ("", "_all")])
 def test_every_feature_of_every_row(spark, name):
     df = E.queries()[name](spark, SF_SMALL)
     assert {r[0] for r in df.select("feature").distinct().collect()} == set(V.FEATURES)
     _compare(spark, name, SF_SMALL)
+
+
+@pytest.mark.parametrize("name", ["linear_attribution", "attribution_waterfall", "attribution_points"])
+def test_rows_are_not_shuffled(spark, name):
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
+def test_modes_come_from_counts(spark):
+    from scorelens.operators import prep
+    df = spark.createDataFrame([(1, 2.0, "b"), (2, 2.0, "a"), (3, 7.0, "b"), (4, None, "a"), (5, 7.0, None), (6, None, None)],
+                               "k int, x double, c string").withColumn("none", prep.F.lit(None).cast("string"))
+    got = prep.impute_mode_cat(prep.impute_stat(df, ["x"], "most_frequent"), ["c", "none"])
+    assert {r["k"]: (r["x"], r["c"], r["none"]) for r in got.collect()} == {
+        1: (2.0, "b", "Unknown"), 2: (2.0, "a", "Unknown"), 3: (7.0, "b", "Unknown"), 4: (2.0, "a", "Unknown"),
+        5: (7.0, "a", "Unknown"), 6: (2.0, "a", "Unknown")}
+    assert "mode(" not in got._jdf.queryExecution().toString()
