@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelens.session import ON_RELEASE, tables_root
+
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax",
             "p_retailprice", "p_size", "c_acctbal", "o_totalprice"]
 SEGMENTS = ["area", "product", "client"]
@@ -41,6 +43,7 @@ def _row_key_sql(prefix: str = "") -> str:
 
 
 _MATERIALISED: dict[tuple, str] = {}
+ON_RELEASE.append(_MATERIALISED.clear)
 
 
 def _source_signature(spark: SparkSession, sf_dir: str, names: list[str]) -> str:
@@ -57,12 +60,11 @@ def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
     parquet table in the shared checkpoint folder (the ETL step a production
     deployment runs once); every query then scans it with column pruning
     instead of re-running the five-way join."""
-    from scorelens.session import ensure_checkpoint_dir
     key = (spark.sparkContext.applicationId, sf_dir,
            _source_signature(spark, sf_dir, ["lineitem", "orders", "customer", "nation", "region", "part"]))
     path = _MATERIALISED.get(key)
     if path is None:
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scorelens-views/w1-{key[2]}-{key[0]}"
+        path = f"{tables_root(spark)}/view-w1-{key[2]}"
         w1_join(spark, sf_dir).write.mode("overwrite").parquet(path)
         _MATERIALISED[key] = path
     return spark.read.parquet(path)

@@ -93,9 +93,15 @@ def tables_root(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/scorelens-tables/{spark.sparkContext.applicationId}"
 
 
+ON_RELEASE: list = []  # what forgets the paths of released tables
+
+
 def release_tables(spark: SparkSession) -> None:
-    """Delete the intermediate tables that this application has written. To be called
+    """Delete all that this application has written for itself: intermediate tables,
+    views, outputs without a path of their own, the tables of ``llm``. To be called
     when no result that reads them is needed any more (end of a job, bench or test)."""
+    for forget in ON_RELEASE:
+        forget()
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(tables_root(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

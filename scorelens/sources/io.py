@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelens.operators.derive import normalise_nan
-from scorelens.session import ensure_checkpoint_dir
+from scorelens.session import tables_root
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, header: bool = True,
@@ -59,8 +59,7 @@ def union_splits(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def output_root(spark: SparkSession, *parts: str) -> str:
     """A fresh folder under the cluster's shared checkpoint location."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return "/".join([base, "scorelens-out", *parts, uuid.uuid4().hex])
+    return "/".join([tables_root(spark), "out", *parts, uuid.uuid4().hex])
 
 
 def write_csv_result(df: DataFrame, path: str, single_file: bool = False) -> str:
