@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelens.session import ensure_checkpoint_dir, ship_package
+from scorelens.session import ensure_checkpoint_dir, ship_package, tables_root
 
 # Bytes of words that a worker remembers with what was found for them.
 REMEMBERED_BYTES = 64 << 20
@@ -43,7 +43,7 @@ def prepare(spark: SparkSession) -> None:
 
 def scratch_path(spark: SparkSession) -> str:
     """A new path in the shared folder named by ``spark.checkpoint.dir``."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-tables/{uuid.uuid4().hex}"
+    return f"{tables_root(spark)}/llm-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
