@@ -8,13 +8,14 @@ class) and are checked for schema, row count and quality in tests.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from scorelens.operators import importance as I
 from scorelens.operators import models as MD
 from scorelens.operators import paths as PT
+from scorelens.operators import permute as PM
 from scorelens.operators import prep
 from scorelens.plans import views as V
 from scorelens.plans.registry import register
@@ -191,6 +192,58 @@ def q_permutation_importance(spark, sf):
     return I.permutation_importance(model, te, DIMS, "label_index", "id", repeats=15)
 
 
+# A given model over the order lines: the price band of a line from its quantity, the
+# part's price, discount and tax (the other columns must come out with no drop).
+_GIVEN = ["l_quantity", "l_discount", "l_tax", "p_retailprice", "p_size", "c_acctbal", "o_totalprice"]
+_GIVEN_REPEATS = 3
+
+
+def _band(x):
+    return f"(CASE WHEN {x} < 15000 THEN 0 WHEN {x} < 30000 THEN 1 WHEN {x} < 50000 THEN 2 ELSE 3 END)"
+
+
+_GIVEN_PRED = _band("l_quantity * p_retailprice * (1 - l_discount) * (1 + l_tax)")
+
+
+def _given_sql():
+    """The same permutations; repetitions outside 0 .. n-1 by recursion."""
+    keys = [f"g.k{j}" for j in range(PM.N_KEYS)]
+    rows = ", ".join(f"('{f}', {r}, " + ", ".join(f"{k}::BIGINT" for k in PM.permutation_keys(42, f, r)) + ")"
+                     for f in _GIVEN for r in range(_GIVEN_REPEATS))
+    # the grid's sides depend on n, which is a column here
+    step = lambda x: PM.rounds_sql(x, "g.a", "g.b", keys, "//")           # noqa: E731
+    ks = ", ".join(f"k{j}" for j in range(PM.N_KEYS))
+    gks = ", ".join(keys)
+    swapped = ", ".join(f"CASE WHEN m.feature = '{f}' THEN d.{f} ELSE t.{f} END AS {f}" for f in _GIVEN)
+    return f"""
+WITH RECURSIVE base AS (SELECT row_number() OVER (ORDER BY row_key) - 1 AS pos, {_band('l_extendedprice')} AS y,
+    {', '.join(_GIVEN)} FROM ({V.W1_SQL}) w1),
+size AS (SELECT n, a, cast((n + a - 1) // a AS bigint) AS b FROM (SELECT n, cast(ceil(sqrt(n)) AS bigint) AS a
+    FROM (SELECT count(*) AS n FROM base) c) s),
+g AS (SELECT * FROM (VALUES {rows}) v(feature, repeat, {ks}) CROSS JOIN size),
+walk AS (SELECT g.*, base.pos, {step('base.pos')} AS x FROM base CROSS JOIN g
+    UNION ALL SELECT g.feature, g.repeat, {gks}, g.n, g.a, g.b, g.pos, {step('g.x')} AS x FROM walk g WHERE g.x >= g.n),
+moved AS (SELECT feature, repeat, pos, x FROM walk WHERE x < n),
+rows_in AS (SELECT m.feature, m.repeat, t.y, {swapped} FROM moved m JOIN base t ON t.pos = m.x JOIN base d ON d.pos = m.pos
+    UNION ALL SELECT '', 0, y, {', '.join(_GIVEN)} FROM base),
+pred AS (SELECT feature, repeat, y, {_GIVEN_PRED} AS yhat FROM rows_in),
+cls AS (SELECT feature, repeat, k, sum(tp) AS tp, sum(nt) AS nt, sum(np) AS np FROM (
+    SELECT feature, repeat, y AS k, CASE WHEN y = yhat THEN 1 ELSE 0 END AS tp, 1 AS nt, 0 AS np FROM pred
+    UNION ALL SELECT feature, repeat, yhat, 0, 0, 1 FROM pred) u GROUP BY feature, repeat, k),
+f1 AS (SELECT feature, repeat, avg(2e0 * tp / (nt + np)) AS score FROM cls GROUP BY feature, repeat)
+SELECT f.feature, avg(z.score - f.score) AS mean_drop, coalesce(stddev_samp(z.score - f.score), 0) AS std_drop,
+    count(*) AS n_repeats, any_value(z.score) AS baseline
+FROM f1 f CROSS JOIN (SELECT score FROM f1 WHERE feature = '') z WHERE f.feature <> '' GROUP BY f.feature
+"""
+
+
+@register("permutation_importance_given", dbl=["mean_drop", "std_drop", "baseline"], sql=_given_sql())
+def q_permutation_given(spark, sf):
+    w = V.w1(spark, sf).select("row_key", *_GIVEN, F.expr(_band("l_extendedprice")).alias("y"))
+    model = SQLTransformer(statement=f"SELECT *, {_GIVEN_PRED} AS prediction FROM __THIS__")
+    return I.permutation_importance(model, w, _GIVEN, "y", "row_key", repeats=_GIVEN_REPEATS)
+
+
 @register("tree_attribution")
 def q_tree_attribution(spark, sf):
     tr, te = split(data(spark, sf))
