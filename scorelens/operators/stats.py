@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from scorelens.functions import pvalues as PV
 from scorelens.plans.helpers import checkpoint, to_long
-from scorelens.plans.rank import collapse, distributed_rank
+from scorelens.plans.rank import collapse, distributed_rank, ranked_with_classes
 
 
 def _pearson(x, y):
@@ -44,18 +44,40 @@ def corr_with_target(df: DataFrame, features: list[str], target: str) -> DataFra
 def pearson_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """All pairs (var1, var2, r) including the diagonal, pairwise-complete.
 
-    One aggregation by (var1, var2) over the rows' column pairs: the plan has a fixed
-    number of aggregates however many columns there are, and map-side combining
-    leaves p(p-1)/2 rows for each task.
+    A task sums the masked products of its rows' columns (four matrix products a batch:
+    rows of both, x, x^2, xy) and hands on p(p-1)/2 rows; one aggregation adds them up.
+    Values are taken from each column's mean, so that the sums do not cancel; NaN counts
+    as missing. A column without spread among the rows of a pair (relative 1e-12) has no r.
     """
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "var1 string, var2 string, r double")
-    row = df.select(F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
-    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-                      for i in range(len(cols)) for j in range(i + 1, len(cols))])
-    each = row.select("x", F.explode(pairs).alias("p")).select("p", F.col("x")[F.col("p.i")].alias("a"),
-                                                               F.col("x")[F.col("p.j")].alias("b"))
-    r = each.groupBy("p").agg(_pearson(F.col("a"), F.col("b")).alias("r"))
+    row = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"x{i}")
+                      for i, c in enumerate(cols)])
+    means = row.agg(*[F.coalesce(F.avg(x), F.lit(0.0)) for x in row.columns]).first()      # one row
+    shift = np.asarray(list(means), dtype=float)
+
+    def partial(batches):
+        sums = None
+        for b in batches:
+            x = b.to_numpy(dtype=float, na_value=np.nan) - shift
+            has = (~np.isnan(x)).astype(float)
+            x = np.where(has > 0, x, 0.0)
+            s = np.stack([has.T @ has, x.T @ has, (x * x).T @ has, x.T @ x])
+            sums = s if sums is None else sums + s
+        if sums is not None:
+            i, j = np.triu_indices(len(shift), 1)
+            n, x, xx, xy = sums
+            yield pd.DataFrame({"i": i, "j": j, "n": n[i, j], "sx": x[i, j], "sy": x[j, i], "sxx": xx[i, j],
+                                "syy": xx[j, i], "sxy": xy[i, j]})
+
+    g = row.mapInPandas(partial, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    g = g.groupBy(F.struct("i", "j").alias("p")).agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    n = F.col("n")
+    vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n)
+    vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
+    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
+    spread = (vx > 1e-12 * F.col("sxx")) & (vy > 1e-12 * F.col("syy"))
+    r = g.select("p", F.when(spread, cov / F.sqrt(vx * vy)).alias("r"))
     name = F.array(*[F.lit(c) for c in cols])
     v1, v2 = name[F.col("p.i")], name[F.col("p.j")]
     both = F.array(F.struct(v1.alias("var1"), v2.alias("var2"), "r"), F.struct(v2.alias("var1"), v1.alias("var2"), "r"))
@@ -95,23 +117,19 @@ def spearman_with_target(df: DataFrame, features: list[str], target: str) -> Dat
     """T-04: Spearman rho of every feature with the target, the t statistic and its
     two-sided p-value (n - 2 degrees of freedom; NULL where rho or t is).
 
-    Ranks of the features come from the distributed rank over the long form;
-    the target is ranked the same way (it is low-cardinality here, but the plan
-    does not assume so). rho = Pearson of the average ranks.
+    Feature values are ranked with the targets' counts beside them; summed by target they
+    carry what rho needs of the feature's ranks, and the targets are ranked last. No join:
+    rho = Pearson of the average ranks.
     """
-    long = to_long(df.where(F.col(target).isNotNull()), features, [target]).where(F.col("value").isNotNull())
-    # everything below works on the collapsed joint counts, never on rows
-    joint = checkpoint(long.groupBy("feature", "value", target).agg(F.count(F.lit(1)).alias("__cnt")))
-    fr = distributed_rank(joint.groupBy("feature", "value").agg(F.sum("__cnt").alias("w")), ["feature"], "value") \
-        .select("feature", "value", F.col("avg_rank").alias("rx"))
-    tr = distributed_rank(joint.groupBy("feature", target).agg(F.sum("__cnt").alias("w")), ["feature"], target) \
-        .select("feature", target, F.col("avg_rank").alias("ry"))
-    j = joint.join(fr, ["feature", "value"]).join(tr, ["feature", target])
-    c = F.col("__cnt").cast("double")
-    m = j.groupBy("feature").agg(F.sum(c).alias("n"), F.sum(c * F.col("rx")).alias("sx"),
-                                 F.sum(c * F.col("ry")).alias("sy"), F.sum(c * F.col("rx") * F.col("rx")).alias("sxx"),
-                                 F.sum(c * F.col("ry") * F.col("ry")).alias("syy"),
-                                 F.sum(c * F.col("rx") * F.col("ry")).alias("sxy"))
+    long = to_long(df, features, [target])
+    rx, c = F.col("avg_rank"), F.col("__n").cast("double")
+    by_target = (ranked_with_classes(long, ["feature"], "value", target)
+                 .select("feature", "avg_rank", F.inline("by_class"))
+                 .groupBy("feature", target).agg(F.sum("__n").alias("w"), F.sum(c * rx).alias("x"), F.sum(c * rx * rx).alias("xx")))
+    ry, w = F.col("avg_rank"), F.col("w").cast("double")
+    m = distributed_rank(by_target, ["feature"], target).groupBy("feature").agg(
+        F.sum(w).alias("n"), F.sum("x").alias("sx"), F.sum(w * ry).alias("sy"), F.sum("xx").alias("sxx"),
+        F.sum(w * ry * ry).alias("syy"), F.sum(F.col("x") * ry).alias("sxy"))
     n = F.col("n")
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
@@ -142,23 +160,20 @@ def kruskal_wallis(df: DataFrame, features: list[str], class_col: str, min_group
     """
     long = (to_long(df.where(F.col(class_col).isNotNull()), features, [class_col])
             .where(F.col("value").isNotNull()))
-    # collapsed counts, materialised once: every later step reads this table,
-    # never the raw rows again
-    fvc = checkpoint(long.groupBy("feature", "value", class_col).agg(F.count(F.lit(1)).alias("__cnt")))
-    sizes = fvc.groupBy("feature", class_col).agg(F.sum("__cnt").alias("nj"))
-    kept = sizes.where(F.col("nj") >= min_group).select("feature", class_col)
-    fvc = fvc.join(kept, ["feature", class_col], "left_semi")
-    fv = fvc.groupBy("feature", "value").agg(F.sum("__cnt").alias("w"))
-    ranked = distributed_rank(fv, ["feature"], "value").select("feature", "value", "w", "avg_rank", "group_n")
-    ties = ranked.groupBy("feature").agg(
-        F.sum((F.col("w").cast("double") ** 3) - F.col("w")).alias("tie_sum"),
-        F.first("group_n").alias("N"))
-    rj = (fvc.join(ranked.select("feature", "value", "avg_rank"), ["feature", "value"])
-             .groupBy("feature", class_col)
-             .agg(F.sum(F.col("__cnt") * F.col("avg_rank")).alias("R"), F.sum("__cnt").alias("nj")))
-    per = rj.groupBy("feature").agg(F.sum(F.col("R") * F.col("R") / F.col("nj")).alias("s"),
-                                    F.count(F.lit(1)).alias("k"))
-    j = per.join(ties, "feature")
+    small = (long.groupBy("feature", class_col).agg(F.count(F.lit(1)).alias("nj"))
+                 .where(F.col("nj") < min_group).select("feature", class_col))
+    if not small.isEmpty():
+        long = long.join(small, ["feature", class_col], "left_anti")
+    ranked = ranked_with_classes(long, ["feature"], "value", class_col)
+    # one aggregation by (feature, class); the ties of a value are counted once, with its first class
+    each = ranked.select("feature", "avg_rank", "group_n", "w", F.posexplode("by_class").alias("i", "b"))
+    w = F.col("w").cast("double")
+    rj = (each.groupBy("feature", F.col(f"b.{class_col}").alias(class_col))
+              .agg(F.sum(F.col("b.__n") * F.col("avg_rank")).alias("R"), F.sum("b.__n").alias("nj"),
+                   F.sum(F.when(F.col("i") == 0, w * w * w - w).otherwise(F.lit(0.0))).alias("tie"),
+                   F.first("group_n").alias("group_n")))
+    j = rj.groupBy("feature").agg(F.sum(F.col("R") * F.col("R") / F.col("nj")).alias("s"), F.count(F.lit(1)).alias("k"),
+                                  F.sum("tie").alias("tie_sum"), F.first("group_n").alias("N"))
     N = F.col("N").cast("double")
     h_raw = 12.0 / (N * (N + 1)) * F.col("s") - 3 * (N + 1)
     corr = 1 - F.try_divide(F.col("tie_sum"), N * N * N - N)
@@ -482,15 +497,10 @@ def mutual_information(df: DataFrame, features: list[str], class_col: str, bins:
 
     Deterministic plug-in estimate on exact equal-frequency bins; it ranks
     features like the k-NN estimator but its values differ."""
-    long = (to_long(df.where(F.col(class_col).isNotNull()), features, [class_col])
-            .where(F.col("value").isNotNull()))
-    # bins are assigned on collapsed (feature, value, class) counts, never on rows
-    fvc = checkpoint(long.groupBy("feature", "value", class_col).agg(F.count(F.lit(1)).alias("__cnt")))
-    fv = fvc.groupBy("feature", "value").agg(F.sum("__cnt").alias("w"))
     bin_ = F.least(F.floor(F.col("before") * bins / F.col("group_n")), F.lit(bins - 1)).cast("int")
-    r = distributed_rank(fv, ["feature"], "value").select("feature", "value", bin_.alias("bin"))
-    joint = (fvc.join(r, ["feature", "value"])
-                .groupBy("feature", "bin", class_col).agg(F.sum("__cnt").alias("nbc")))
+    joint = (ranked_with_classes(to_long(df, features, [class_col]), ["feature"], "value", class_col)
+             .select("feature", bin_.alias("bin"), F.inline("by_class"))
+             .groupBy("feature", "bin", class_col).agg(F.sum("__n").alias("nbc")))
     wf = Window.partitionBy("feature")
     j = joint.select("*", F.sum("nbc").over(wf).alias("N"),
                      F.sum("nbc").over(Window.partitionBy("feature", "bin")).alias("nb"),

@@ -33,16 +33,24 @@ def collapse(df: DataFrame, groups: list[str], value: str, weight: str = "w") ->
 
 
 def distributed_cumsum(counts: DataFrame, groups: list[str], order: list, weights: list[str],
-                       num_partitions: int | None = None) -> DataFrame:
+                       num_partitions: int | None = None, fold: list | None = None) -> DataFrame:
     """For every weight column ``x`` add ``before_x`` (sum of x over rows strictly
     ahead in the group order) and ``total_x`` (group total). ``order`` holds
-    Columns or names; rows must be unique on (groups, order). One plan for all sizes."""
+    Columns or names; rows must be unique on (groups, order). One plan for all sizes.
+
+    With ``fold`` (aggregates, the weights among them) several rows may share (groups,
+    order): they meet in one range partition and become one row there, without a
+    further shuffle."""
     spark = counts.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ocols = [F.col(o) if isinstance(o, str) else o for o in order]
     keyed = counts.select("*", *[c.alias(f"__k{i}") for i, c in enumerate(ocols)])
     kcols = [f"__k{i}" for i in range(len(ocols))]
     part = keyed.repartitionByRange(n, *[F.col(g) for g in groups], *[F.col(k) for k in kcols])
+    names = counts.columns
+    if fold:
+        part = part.groupBy(*groups, *kcols).agg(*fold)
+        names = [c for c in part.columns if c not in kcols]
     part = checkpoint(part.withColumn("__pid", F.spark_partition_id()))
 
     tot = part.groupBy("__pid", *groups).agg(*[F.sum(w).alias(f"__pt_{w}") for w in weights])
@@ -56,7 +64,7 @@ def distributed_cumsum(counts: DataFrame, groups: list[str], order: list, weight
           .rowsBetween(Window.unboundedPreceding, 0))
     local = part.select("*", *[(F.sum(w).over(wl) - F.col(w)).alias(f"__loc_{w}") for w in weights])
     out = local.join(offs, ["__pid", *groups])
-    return out.select(*counts.columns,
+    return out.select(*names, *(kcols if fold else []),
                       *[(F.col(f"__off_{w}") + F.col(f"__loc_{w}")).alias(f"before_{w}") for w in weights],
                       *[F.col(f"total_{w}") for w in weights])
 
@@ -73,6 +81,21 @@ def distributed_rank(counts: DataFrame, groups: list[str], value: str, weight: s
                     (before + 1).alias("min_rank"), F.col(f"total_{weight}").cast("long").alias("group_n"))
 
 
+def ranked_with_classes(df: DataFrame, groups: list[str], value: str, cls: str,
+                        num_partitions: int | None = None) -> DataFrame:
+    """Distinct (group, value) with the row count ``w``, the class counts ``by_class``
+    (an array of (cls, __n), only classes that occur), ``before``, ``avg_rank`` and
+    ``group_n``. Rank sums, bins and ties of classes come from this one running sum;
+    nothing is joined back on (group, value). Rows with a NULL value or class are left out."""
+    c = (df.where(F.col(value).isNotNull() & F.col(cls).isNotNull())
+           .groupBy(*groups, value, cls).agg(F.count(F.lit(1)).alias("__n")))
+    r = distributed_cumsum(c, groups, [value], ["w"], num_partitions,
+                           fold=[F.sum("__n").alias("w"), F.collect_list(F.struct(cls, "__n")).alias("by_class")])
+    before = F.col("before_w").cast("long")
+    return r.select(*groups, F.col("__k0").alias(value), "w", "by_class", before.alias("before"),
+                    (before + (F.col("w") + 1) / 2.0).alias("avg_rank"), F.col("total_w").cast("long").alias("group_n"))
+
+
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float]) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) per group.
 

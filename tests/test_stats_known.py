@@ -233,3 +233,57 @@ def test_exact_quantiles_match_numpy(spark):
     for r in q.itertuples():
         exp = np.quantile(pdf.loc[pdf.g == r.g, "v"].to_numpy(), r.p)
         assert r.q == pytest.approx(exp, rel=1e-12)
+
+
+def test_masked_gram_with_nulls_equals_pandas(spark):
+    """64 columns, holes of every kind, a constant column, columns far from zero."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 64)) @ rng.normal(size=(64, 64)) + np.linspace(0, 1e6, 64)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 5] = 3.25
+    x[3:, 9] = np.nan                                   # pairs with few or no common rows
+    x[:, 11] = np.nan
+    cols = [f"c{i}" for i in range(64)]
+    pdf = pd.DataFrame(x, columns=cols)
+    df = spark.createDataFrame([[None if np.isnan(v) and i % 2 else float(v) for i, v in enumerate(r)] for r in x],
+                               ", ".join(f"{c} double" for c in cols))
+    got = {(r["var1"], r["var2"]): r["r"] for r in stats.pearson_matrix(df.repartition(5), cols).collect()}
+    want = pdf.corr(min_periods=2)
+    assert len(got) == 64 * 64
+    for a in cols:
+        for b in cols:
+            w, g = want.loc[a, b], got[a, b]
+            if a == b:
+                assert g == 1.0
+            elif np.isnan(w):
+                assert g is None, (a, b, g)
+            else:
+                assert g == pytest.approx(w, rel=1e-7, abs=1e-9)
+
+
+def test_masked_gram_of_empty_table(spark):
+    got = stats.pearson_matrix(spark.createDataFrame([], "a double, b double"), ["a", "b"]).collect()
+    assert [r["r"] for r in got if r["var1"] != r["var2"]] in ([], [None, None])
+
+
+def test_rank_statistics_of_one_plan(spark):
+    """Ties, a hot value, a small class, nulls: against scipy-like formulas in pandas."""
+    rng = np.random.default_rng(5)
+    n = 400
+    pdf = pd.DataFrame({"g": rng.integers(0, 4, n), "a": np.where(rng.random(n) < 0.4, 7.0, rng.integers(0, 30, n)),
+                        "b": rng.normal(size=n)})
+    pdf.loc[:1, "g"] = 9                                # a class of two rows
+    pdf.loc[pdf.index % 7 == 0, "b"] = np.nan
+    df = spark.createDataFrame([tuple(None if isinstance(v, float) and np.isnan(v) else v for v in r)
+                                for r in pdf.itertuples(index=False)], "g long, a double, b double")
+    kw = {r["feature"]: r for r in stats.kruskal_wallis(df, ["a", "b"], "g").collect()}
+    sp = {r["feature"]: r for r in stats.spearman_with_target(df, ["a", "b"], "g").collect()}
+    for f in ("a", "b"):
+        d = pdf[["g", f]].dropna()
+        assert sp[f]["rho"] == pytest.approx(d["g"].rank().corr(d[f].rank()), abs=1e-12) and sp[f]["n"] == len(d)
+        d = d[d["g"].map(d["g"].value_counts()) >= 3]
+        r, m = d[f].rank(), len(d)
+        h = 12 / (m * (m + 1)) * sum(r[d["g"] == k].sum() ** 2 / (d["g"] == k).sum() for k in d["g"].unique()) - 3 * (m + 1)
+        t = d[f].value_counts()
+        h /= 1 - (t ** 3 - t).sum() / (m ** 3 - m)
+        assert kw[f]["h"] == pytest.approx(h, rel=1e-10) and kw[f]["n"] == m and kw[f]["k"] == d["g"].nunique()
