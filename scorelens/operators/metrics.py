@@ -50,7 +50,19 @@ def auroc_ovr(df: DataFrame, label: str, prob_cols: dict, policy: str = "present
     """M-07: one-vs-rest AUROC per class, macro and micro.
 
     ``policy='present'`` averages over classes that have positives (absent
-    classes drop out); ``'all'`` makes the macro NULL when a class has none."""
+    classes drop out); ``'all'`` makes the macro NULL when a class has none; ``'fitted'``
+    takes the classes from the labels of these rows, in their order, for the probability
+    columns in theirs (the labels' own names need not be the columns'), and raises
+    ValueError when there are not as many of one as of the other."""
+    if policy not in ("present", "all", "fitted"):
+        raise ValueError(f"unknown policy {policy!r}")
+    if policy == "fitted":
+        found = [r[0] for r in df.where(F.col(label).isNotNull()).select(label).distinct()
+                                 .limit(len(prob_cols) + 1).collect()]      # one more than fits is enough to know
+        if len(found) != len(prob_cols):
+            raise ValueError(f"the labels' classes do not match {len(prob_cols)} probability columns")
+        prob_cols = dict(zip(sorted(found), prob_cols.values()))
+    kind = "int" if all(isinstance(k, int) for k in prob_cols) else "string"       # of the classes' names
     long = _long_probs(df, label, prob_cols)
     # collapsed (class, score) counts feed both the per-class and the pooled
     # ranking: materialised once so the rows are read a single time
@@ -64,10 +76,10 @@ def auroc_ovr(df: DataFrame, label: str, prob_cols: dict, policy: str = "present
     else:
         macro_v = F.avg("auc")
     macro = cls_auc.agg(macro_v.alias("auc"), F.sum("n_pos").alias("n_pos"), F.count("auc").alias("n_neg"))
-    return (cls_auc.select(F.lit("class").alias("scope"), F.col("cls").cast("int").alias("cls"), "auc", "n_pos", "n_neg")
-            .unionByName(macro.select(F.lit("macro").alias("scope"), F.lit(None).cast("int").alias("cls"), "auc",
+    return (cls_auc.select(F.lit("class").alias("scope"), F.col("cls").cast(kind).alias("cls"), "auc", "n_pos", "n_neg")
+            .unionByName(macro.select(F.lit("macro").alias("scope"), F.lit(None).cast(kind).alias("cls"), "auc",
                                       F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg")))
-            .unionByName(micro.select(F.lit("micro").alias("scope"), F.lit(None).cast("int").alias("cls"), "auc",
+            .unionByName(micro.select(F.lit("micro").alias("scope"), F.lit(None).cast(kind).alias("cls"), "auc",
                                       "n_pos", "n_neg")))
 
 

@@ -52,6 +52,31 @@ def q_auroc(spark, sf):
     return M.auroc_ovr(V.p_view(spark, sf), "label", PROBS)
 
 
+# rows without the last class under each policy; "fitted" sees other names of the classes left
+_PER4 = f"(SELECT cls, p, count(*) AS w, sum(hit) AS wp FROM ({LONG_P.replace(P, f'(SELECT * FROM {P} WHERE label <> {K[-1]}) p4')}) l GROUP BY cls, p)"
+
+
+@register("auroc_policies", dbl=["auc"], sql=f"""
+WITH ca AS {_auc_sql('cls', _PER4)},
+pooled AS (SELECT p, sum(w) AS w, sum(wp) AS wp FROM {_PER4} x WHERE cls <> {K[-1]} GROUP BY p),
+mi AS {_auc_sql('', 'pooled')}
+SELECT 'present' AS policy, 'macro' AS scope, avg(auc) AS auc FROM ca
+UNION ALL SELECT 'all', 'macro', CASE WHEN count(*) = count(auc) THEN avg(auc) END FROM ca
+UNION ALL SELECT 'fitted', 'macro', avg(auc) FROM ca WHERE cls <> {K[-1]}
+UNION ALL SELECT 'fitted', 'micro', auc FROM mi
+""")
+def q_auroc_policies(spark, sf):
+    d = V.p_view(spark, sf).where(F.col("label") != K[-1])
+    out = None
+    for policy, labels, probs in (("present", "label", PROBS), ("all", "label", PROBS),
+                                  ("fitted", "name", {k: PROBS[k] for k in K[:-1]})):
+        r = M.auroc_ovr(d.withColumn("name", F.col("label") * 10), labels, probs, policy)
+        r = r.where("scope = 'macro'" if policy != "fitted" else "scope <> 'class'")
+        r = r.select(F.lit(policy).alias("policy"), "scope", "auc")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 @register("f1_accuracy", dbl=["accuracy", "macro_f1", "micro_f1", "macro_precision", "macro_recall"], sql=f"""
 WITH c AS (SELECT label, pred, count(*) AS c FROM {P} WHERE label IS NOT NULL AND pred IS NOT NULL GROUP BY label, pred),
 t AS (SELECT label AS k, sum(c) AS nt FROM c GROUP BY label), pp AS (SELECT pred AS k, sum(c) AS np FROM c GROUP BY pred),

@@ -31,20 +31,27 @@ def q_train_test_load(spark, sf):
     return df.select("o_orderkey", F.lit(target).alias("target"), "split")
 
 
-@register("write_csv_result")
+@register("write_csv_result", dbl=["mean_target", "mean_group"], sql=" UNION ALL ".join(
+    f"SELECT '{s}' AS segment, cast({s} AS varchar) AS level, count(*) AS n, avg(grade) AS mean_target, "
+    f"avg(l_extendedprice) AS mean_group FROM {W1} GROUP BY {s}" for s in V.SEGMENTS))
 def q_write_csv(spark, sf):
     kpi = agg.segment_kpi(V.w1(spark, sf), V.SEGMENTS, "grade", ["l_extendedprice"])
     path = io.write_csv_result(kpi, io.output_root(spark, "csv"))
-    return io.read_table(spark, path, fmt="csv")
+    return io.read_table(spark, path, fmt="csv", schema=kpi.schema)
 
 
-@register("write_multi_result")
+# the index without its paths, which are new ones in every run
+@register("write_multi_result", sql=f"""
+SELECT 'class_distribution' AS name, count(DISTINCT grade) AS rows FROM {W1} WHERE grade IS NOT NULL
+UNION ALL SELECT 'segment_kpi', {" + ".join(f"(SELECT count(*) FROM (SELECT DISTINCT {s} FROM {W1}) d)" for s in V.SEGMENTS)}
+UNION ALL SELECT 'class_profile', count(*) FROM (SELECT DISTINCT grade FROM {W1}) g
+""")
 def q_write_multi(spark, sf):
     w = V.w1(spark, sf)
     tables = {"class_distribution": agg.class_distribution(w, "grade"),
               "segment_kpi": agg.segment_kpi(w, V.SEGMENTS, "grade", ["l_extendedprice"]),
               "class_profile": agg.class_profile(w, "grade", V.FEATURES)}
-    return io.write_multi_result(tables, io.output_root(spark, "multi"))
+    return io.write_multi_result(tables, io.output_root(spark, "multi")).select("name", "rows")
 
 
 @register("json_payload", sql=f"""

@@ -287,3 +287,17 @@ def test_rank_statistics_of_one_plan(spark):
         t = d[f].value_counts()
         h /= 1 - (t ** 3 - t).sum() / (m ** 3 - m)
         assert kw[f]["h"] == pytest.approx(h, rel=1e-10) and kw[f]["n"] == m and kw[f]["k"] == d["g"].nunique()
+
+
+def test_auroc_with_classes_fitted_on_the_labels(spark):
+    df = spark.createDataFrame([("lo", 0.9, 0.1), ("hi", 0.8, 0.2), ("lo", 0.3, 0.7), (None, 0.1, 0.9), ("hi", 0.4, 0.6)],
+                               "y string, p0 double, p1 double")
+    res = {(r["scope"], r["cls"]): r["auc"] for r in
+           metrics.auroc_ovr(df, "y", {0: "p0", 1: "p1"}, "fitted").collect()}
+    # classes in order: hi takes p0, lo takes p1
+    assert res[("class", "hi")] == pytest.approx(_brute_auc(np.array([0, 1, 0, 1]), np.array([0.9, 0.8, 0.3, 0.4])))
+    assert res[("class", "lo")] == pytest.approx(_brute_auc(np.array([1, 0, 1, 0]), np.array([0.1, 0.2, 0.7, 0.6])))
+    with pytest.raises(ValueError):
+        metrics.auroc_ovr(df, "y", {0: "p0"}, "fitted")
+    with pytest.raises(ValueError):
+        metrics.auroc_ovr(df.where("y = 'lo'"), "y", {0: "p0", 1: "p1"}, "fitted")
