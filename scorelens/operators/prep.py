@@ -3,18 +3,20 @@
 Fitted statistics (means, medians, levels, class sizes) are one aggregate
 whose size is bounded by the number of columns / levels / classes, joined back
 by broadcast. Splits are exact (a global order by a seeded md5 of the key, cut
-at a computed count) and use the distributed running count, never a window
-over all rows.
+at a computed count): the cut is selected from counts by hash interval, then
+filtered by, so that rows are not sorted.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.operators import stats
 from scorelens.plans.helpers import to_long
-from scorelens.plans.rank import row_position
+from scorelens.plans.rank import nth_rows, row_position
 
 
 # ---------------------------------------------------------------- imputation
@@ -123,24 +125,46 @@ def _hash_key(key_cols: list[str], seed: int):
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key_cols]))
 
 
+def _first_by_hash(df: DataFrame, key_cols: list[str], seed: int, take: DataFrame, groups: list[str], out: str) -> DataFrame:
+    """Rows up to the ``__k``-th of their group in (md5, key) order are 'test'. ``take`` is
+    (groups, ``__k``), one row per class.
+
+    One aggregation counts the rows of each of 4,096 hash intervals; only the rows of the
+    interval that holds the cut (n / 4,096 of a class) are ranked. The rest is a filter:
+    the rows themselves are neither sorted nor shuffled."""
+    h = df.withColumn("__h", _hash_key(key_cols, seed)).withColumn("__b", F.substring("__h", 1, 3))
+    n = h.groupBy(*groups, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    n = n.join(F.broadcast(take), groups) if groups else n.crossJoin(F.broadcast(take))
+    w = Window.partitionBy(*(groups or [F.lit(1)])).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    n = n.withColumn("__to", F.sum("__n").over(w))                       # at most 4,096 rows a class
+    at = n.where((F.col("__to") >= F.col("__k")) & (F.col("__to") - F.col("__n") < F.col("__k"))).select(
+        *groups, F.col("__b").alias("__cb"), (F.col("__k") - F.col("__to") + F.col("__n")).alias("__nth"))
+    narrow = h.select(*groups, *[k for k in key_cols if k not in groups], "__h", "__b")
+    near = narrow.join(F.broadcast(at), groups) if groups else narrow.crossJoin(F.broadcast(at))
+    order = ["__h", *key_cols]
+    cut = nth_rows(near.where("__b = __cb").drop("__b", "__cb"), order, groups, "__nth")
+    # a class that takes no row has no cut: all its rows are 'train'
+    j = h.join(F.broadcast(cut), groups, "left") if groups else h.join(F.broadcast(cut), F.lit(True), "left")
+    upto = F.struct(*[F.col(o).alias(f"c{i}") for i, o in enumerate(order)]) <= F.struct(
+        *[F.col(f"__c{i}").alias(f"c{i}") for i in range(len(order))])
+    return j.withColumn(out, F.when(F.col("__c0").isNotNull() & upto, "test").otherwise("train")).drop(
+        "__h", "__b", *[f"__c{i}" for i in range(len(order))])
+
+
 def split_random(df: DataFrame, key_cols: list[str], test_frac: float = 0.2, seed: int = 42,
                  out: str = "split") -> DataFrame:
     """P-09: exact-share random split: the ceil(t * n) rows first in md5(seed|key)
-    order are 'test'. The key must identify rows."""
-    h = df.withColumn("__h", _hash_key(key_cols, seed))
-    p = row_position(h, ["__h", *key_cols], out="__pos")
-    cut = F.ceil(F.col("__pos_n") * F.lit(float(test_frac)))
-    return p.withColumn(out, F.when(F.col("__pos") < cut, "test").otherwise("train")).drop("__h", "__pos", "__pos_n")
+    order are 'test'. The key must identify rows (rows that share one stay together)."""
+    take = df.agg(F.ceil(F.count(F.lit(1)) * F.lit(float(test_frac))).alias("__k"))
+    return _first_by_hash(df, key_cols, seed, take, [], out)
 
 
 def split_stratified(df: DataFrame, key_cols: list[str], target: str, test_frac: float = 0.2, seed: int = 42,
                      out: str = "split") -> DataFrame:
     """P-10: exact stratified split. n_test = ceil(t * n) is spread over the
     classes by largest remainder (ties: class order), then every class takes its
-    first rows in md5 order. The per-class positions come from the
-    range-partitioned running count, so a class holding most rows still spreads
-    over many tasks."""
-    h = df.withColumn("__h", _hash_key(key_cols, seed))
+    first rows in md5 order. Rows without a class are left out."""
+    h = df.where(F.col(target).isNotNull())
     cc = h.groupBy(target).agg(F.count(F.lit(1)).alias("__nc"))
     wall = Window.partitionBy(F.lit(1))
     n = F.sum("__nc").over(wall)
@@ -152,18 +176,33 @@ def split_stratified(df: DataFrame, key_cols: list[str], target: str, test_frac:
                          F.row_number().over(wall.orderBy(F.col("__rem").desc(), F.col(target))).alias("__rr"))
     alloc = alloc.select(target, (F.col("__base") + F.when(F.col("__rr") <= F.col("__left"), 1).otherwise(0))
                          .alias("__k"))                                  # one row per class
-    p = row_position(h, ["__h", *key_cols], groups=[target], out="__pos")
-    return (p.join(F.broadcast(alloc), target)
-             .withColumn(out, F.when(F.col("__pos") < F.col("__k"), "test").otherwise("train"))
-             .drop("__h", "__pos", "__pos_n", "__k"))
+    return _first_by_hash(h, key_cols, seed, alloc, [target], out)
 
 
 def split_time(df: DataFrame, time_col: str, key_cols: list[str], test_frac: float = 0.2,
                out: str = "split") -> DataFrame:
     """P-11: sort by (time, key); the first int(n * (1 - t)) rows are 'train'."""
-    p = row_position(df, [time_col, *key_cols], out="__pos")
-    cut = F.floor(F.col("__pos_n") * F.lit(1.0 - float(test_frac)))
-    return p.withColumn(out, F.when(F.col("__pos") < cut, "train").otherwise("test")).drop("__pos", "__pos_n")
+    share = 1.0 - float(test_frac)
+    marks = [min(max(share + d, 0.0), 1.0) for d in (-2e-4, 2e-4)]
+    order = [time_col, *key_cols]
+    narrow = df.select(*order)
+    t = F.col(time_col)
+    near = F.broadcast(narrow.agg(F.percentile_approx(time_col, marks, 10000).alias("__near")))   # one row
+    x = narrow.crossJoin(near)
+    before = t.isNull() | (t < F.col("__near")[0])
+    inside = t.between(F.col("__near")[0], F.col("__near")[1])
+    n, below, held = x.agg(F.count(F.lit(1)), F.coalesce(F.sum(before.cast("long")), F.lit(0)),
+                           F.coalesce(F.sum(inside.cast("long")), F.lit(0))).first()
+    k = math.floor(n * share)
+    if not k:
+        return df.withColumn(out, F.lit("test"))
+    # the sketch names the times near the cut; where it errs all rows are ranked
+    near_rows, nth = (x.where(inside), k - below) if below < k <= below + held else (narrow, k)
+    cut = nth_rows(near_rows.withColumn("__nth", F.lit(nth)), order, [], "__nth")
+    upto = F.struct(*[F.col(o).alias(f"c{i}") for i, o in enumerate(order)]) <= F.struct(
+        *[F.col(f"__c{i}").alias(f"c{i}") for i in range(len(order))])
+    return df.crossJoin(F.broadcast(cut)).withColumn(out, F.when(upto, "train").otherwise("test")).drop(
+        *[f"__c{i}" for i in range(len(order))])
 
 
 # ----------------------------------------------------------------- selection

@@ -2,9 +2,8 @@
 
 Per-column statistics run on the long form ``(feature, value)`` with one
 ``groupBy(feature)``: partial aggregation keeps the shuffle at
-features x partitions rows. Exact quantiles (``percentile``, linear
-interpolation like pandas) keep a value -> count map per column; pass
-``approx=True`` to switch to ``percentile_approx`` for very large tables.
+features x partitions rows. Exact quantiles (linear interpolation like
+pandas) are selected in two aggregations; ``approx=True`` returns the sketch's.
 """
 
 from __future__ import annotations
@@ -15,27 +14,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.plans.helpers import to_long
-
-
-def _q(col, ps, approx: bool):
-    if approx:
-        return F.percentile_approx(col, ps, 10000)
-    return F.percentile(col, ps)
+from scorelens.plans.rank import quantile_arrays
 
 
 def quantile_table(d: DataFrame, groups: list[str], value: str, ps: list[float], approx: bool = False) -> DataFrame:
     """(groups..., ``_q`` array of the quantiles in ``ps`` order).
 
-    Exact by default through the distributed running count (no group is held
-    in one task); ``approx=True`` uses ``percentile_approx`` sketches."""
+    Exact by default by distributed selection (no group is held in one task, no
+    row sorted); ``approx=True`` uses ``percentile_approx`` sketches."""
     d = d.where(F.col(value).isNotNull())
     if approx:
         g = d.groupBy(*groups) if groups else d.groupBy()
         return g.agg(F.percentile_approx(F.col(value), ps, 10000).alias("_q"))
-    from scorelens.plans.rank import exact_quantiles
-    q = exact_quantiles(d, groups, value, ps)
-    g = q.groupBy(*groups) if groups else q.groupBy()
-    return g.agg(F.array(*[F.max(F.when(F.col("p") == float(p), F.col("q"))) for p in ps]).alias("_q"))
+    return quantile_arrays(d, groups, value, ps)
 
 
 def profile_columns(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:

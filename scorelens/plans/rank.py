@@ -96,26 +96,90 @@ def ranked_with_classes(df: DataFrame, groups: list[str], value: str, cls: str,
                     (before + (F.col("w") + 1) / 2.0).alias("avg_rank"), F.col("total_w").cast("long").alias("group_n"))
 
 
+# (sampled rows of a group, half width of an interval as a share of the group's rows): five
+# standard errors of a sampled median and more; smaller groups keep all their values
+_MARGINS = [(10_000, 0.025), (1_000_000, 0.003), (100_000_000, 0.0004)]
+
+
+def _selected(df: DataFrame, groups: list[str], value: str, probs: list[float], fraction: float,
+              margins: list[tuple[int, float]]) -> DataFrame:
+    """(groups, vmin, vmax, w, before_w, total_w) with a row per distinct value near a wanted
+    position and one row per stretch of values between them."""
+    marks = [min(max(p + d, 0.0), 1.0) for _, m in margins for p in probs for d in (-m, m)]
+    s = df.sample(fraction, seed=7)
+    near = (s.groupBy(*groups) if groups else s.groupBy()).agg(
+        F.count(F.lit(1)).alias("__m"), F.percentile_approx(value, marks, 20_000).alias("__all"))
+    width = 2 * len(probs)
+    pick = F.lit(None)
+    for t, (rows, _) in enumerate(margins):
+        pick = F.when(F.col("__m") >= rows, F.slice("__all", t * width + 1, width)).otherwise(pick)
+    near = near.select(*groups, pick.alias("__near")).select(                     # one row per group
+        *groups, *[F.col("__near")[k].alias(f"__b{k}") for k in range(width)])
+    x = df.join(near, groups, "left") if groups else df.crossJoin(F.broadcast(near))
+    v = F.col(value)
+    inside, above = F.col("__b0").isNull(), F.lit(0)      # no interval: every value is kept
+    for k in range(len(probs)):
+        inside = inside | v.between(F.col(f"__b{2 * k}"), F.col(f"__b{2 * k + 1}"))
+        above = above + (v > F.col(f"__b{2 * k + 1}")).cast("int")
+    kept = x.select(*groups, v.alias("__v"), inside.alias("__in"), above.alias("__above"))
+    c = kept.groupBy(*groups, F.when(F.col("__in"), F.col("__v")).alias("__same"),
+                     F.when(~F.col("__in"), F.col("__above")).alias("__stretch")).agg(
+        F.min("__v").alias("vmin"), F.max("__v").alias("vmax"), F.count(F.lit(1)).alias("w"))
+    return distributed_cumsum(c.drop("__same", "__stretch"), groups, ["vmin"], ["w"])
+
+
+def quantile_arrays(df: DataFrame, groups: list[str], value: str, probs: list[float], fraction: float = 0.02,
+                    margins: list[tuple[int, float]] = _MARGINS) -> DataFrame:
+    """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) per group, by
+    selection: groups..., ``_q`` (an array in the order of ``probs``).
+
+    Sampled rows name an interval around each wanted position; one aggregation over all rows
+    then counts every distinct value inside the intervals and, as one row each, the
+    stretches between them. No row is sorted; what is ranked is twice the margin of the
+    values per probability. The sample never decides: a position that falls inside a
+    stretch (only its ends are known) sends its group through a further selection from all
+    its distinct values. NULL values and groups are left out."""
+    d = df.where(F.col(value).isNotNull()).select(*groups, value)
+    order = sorted(set(float(p) for p in probs))
+    wanted = [(p, end) for p in order for end in (F.floor, F.ceil)]
+
+    def read(r: DataFrame) -> DataFrame:
+        cols, lost = [], F.lit(False)
+        b, w = F.col("before_w"), F.col("w")
+        for k, (p, end) in enumerate(wanted):
+            pos = end((F.col("total_w") - 1) * F.lit(p))
+            here = (b <= pos) & (pos < b + w)
+            cols.append(F.max(F.when(here, F.when(pos == b, F.col("vmin")).otherwise(F.col("vmax")))).alias(f"__x{k}"))
+            lost = lost | (here & (pos != b) & (pos != b + w - 1) & (F.col("vmin") != F.col("vmax")))
+        g = r.groupBy(*groups) if groups else r.groupBy()
+        return g.agg(F.first("total_w").alias("__n"), F.max(lost).alias("__lost"), *cols)
+
+    picked = read(_selected(d, groups, value, order, fraction, margins))
+    if not picked.where("__lost").isEmpty():
+        again = picked.where("__lost").select(*groups)
+        rest = d.join(again, groups, "left_semi") if groups else d
+        c = collapse(rest, groups, value).select(*groups, F.col(value).alias("vmin"), F.col(value).alias("vmax"), "w")
+        picked = picked.where("NOT __lost").unionByName(read(distributed_cumsum(c, groups, ["vmin"], ["w"])))
+    out = {}
+    for k, p in enumerate(order):
+        h = (F.col("__n") - 1) * F.lit(p)
+        lo, hi = F.col(f"__x{2 * k}"), F.col(f"__x{2 * k + 1}")
+        out[p] = lo + (h - F.floor(h)) * (hi - lo)
+    return picked.where("__n IS NOT NULL").select(*groups, F.array(*[out[float(p)] for p in probs]).alias("_q"))
+
+
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles (pandas / ``quantile_cont``) per group.
+    """``quantile_arrays`` as rows: groups..., ``p``, ``q``."""
+    q = quantile_arrays(df, groups, value, probs)
+    return q.select(*groups, F.inline(F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
+                                                   F.col("_q").alias("q"))).alias("p", "q"))
 
-    ``percentile`` keeps a value -> count map of a whole group in one task; here
-    the collapsed (group, value, count) table gets running counts, and for each
-    p the two order statistics around ``h = (n - 1) p`` are picked by a filter.
-    Output: groups..., ``p``, ``q`` (one row per group and probability)."""
-    c = collapse(df, groups, value)
-    r = distributed_cumsum(c, groups, [value], ["w"])
-    ps = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
-    x = r.select(*groups, value, "w", "before_w", "total_w", ps)
-    h = (F.col("total_w") - 1) * F.col("p")
-    lo, hi = F.floor(h), F.ceil(h)
-    inside = lambda pos: (F.col("before_w") <= pos) & (pos < F.col("before_w") + F.col("w"))
-    x = x.select("*", h.alias("h"), lo.alias("lo"), hi.alias("hi"))
-    a = x.where(inside(F.col("lo"))).select(*groups, "p", "h", "lo", F.col(value).alias("v_lo"))
-    b = x.where(inside(F.col("hi"))).select(*groups, "p", F.col(value).alias("v_hi"))
-    j = a.join(b, [*groups, "p"])
-    q = F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo"))
-    return j.select(*groups, "p", q.alias("q"))
+
+def nth_rows(rows: DataFrame, order: list[str], groups: list[str], n: str) -> DataFrame:
+    """The ``n``-th row (from 1, a column of ``rows`` constant in a group) of every group:
+    groups..., order columns as ``__c0``, ``__c1``, ..."""
+    p = row_position(rows.select(*groups, *order, n), order, groups, out="__at")
+    return p.where(F.col("__at") == F.col(n) - 1).select(*groups, *[F.col(o).alias(f"__c{i}") for i, o in enumerate(order)])
 
 
 def average_rank_rows(df: DataFrame, value: str, groups: list[str] | None = None,
