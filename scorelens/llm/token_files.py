@@ -4,8 +4,8 @@
 and cuts each task's stream of ids into shards. In a shard frequent pairs of ids are
 replaced by new symbols (rules), round by round: the most frequent pairs that do not
 overlap with a more frequent one are replaced together, and their symbols can be
-parts of later pairs, until no pair is frequent or the rounds are used up. Pairs
-never reach over the end of a document, so a document is a run of symbols.
+parts of later pairs, until no pair is frequent. Pairs never reach over the end of a
+document, so a document is a run of symbols.
 
 A shard is one binary value (layout below) in a row of a Parquet table in the
 cluster's file system: Spark's commit protocol makes a lost task's shard come again
@@ -40,19 +40,17 @@ from scorelens.llm import common as C
 from scorelens.llm.tokens import encoder
 
 SHARD_IDS = 1 << 20
-ROUNDS = 5
 MIN_COUNT = 24
-PAIRS_A_ROUND = 4096
 END_ID = 0
 _HEAD = struct.Struct("<4s6I")
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _choose(pairs: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
+def _choose(pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Of pairs (left << 32 | right) the most frequent ones such that no symbol is
     the left part of one and the right part of another: no two occurrences overlap
-    (but those of a pair of equal parts)."""
-    order = np.argsort(-counts, kind="stable")[:most]
+    (but those of a pair of equal parts). Ascending."""
+    order = np.argsort(-counts, kind="stable")
     lefts, rights, chosen = set(), set(), []
     for p in pairs[order].tolist():
         a, b = p >> 32, p & 0xFFFFFFFF
@@ -67,48 +65,82 @@ def _choose(pairs: np.ndarray, counts: np.ndarray, most: int) -> np.ndarray:
     return np.array(sorted(chosen), np.int64)
 
 
-def re_pair(ids: np.ndarray, end_id: int, first_rule: int, rounds: int = ROUNDS, min_count: int = MIN_COUNT,
-            pairs_a_round: int = PAIRS_A_ROUND) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules [n, 2]); rule k is symbol ``first_rule + k``."""
+def _frequent(key: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys that occur min_count times or more, and their counts."""
+    s = np.sort(key)
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.empty(0, np.int64)
+    n = np.diff(np.append(first, len(s)))
+    often = n >= min_count
+    return s[first[often]], n[often]
+
+
+def _index_in(key: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Place of every key in an ascending table, -1 where it has none: most keys without a
+    place are told by a table of hash bits."""
+    bucket = lambda x: (x.view(np.uint64) * _MULTIPLIER >> np.uint64(44)).astype(np.int32)
+    seen = np.zeros(1 << 20, bool)
+    seen[bucket(table)] = True
+    maybe = np.flatnonzero(seen[bucket(key)])
+    at = np.minimum(np.searchsorted(table, key[maybe]), len(table) - 1)
+    hit = table[at] == key[maybe]
+    out = np.full(len(key), -1, np.int32)
+    out[maybe[hit]] = at[hit]
+    return out
+
+
+def re_pair(ids: np.ndarray, end_id: int, first_rule: int,
+            min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules [n, 2]); rule k is symbol ``first_rule + k``. Ends when no pair occurs
+    ``min_count`` times (occurrences of a pair of equal parts counted with overlaps).
+
+    Symbols keep their places and are linked past those that went. A pair that is not
+    frequent can never become so (its occurrences only go away), unless it holds a new
+    symbol: a round looks at ``live`` places only, those of frequent pairs and those beside
+    a replacement, so late rounds are small."""
     s = ids.astype(np.int32)
+    n = len(s)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)   # n: the stream's end
+    s = np.append(s, np.int32(end_id))
+    alive = np.ones(n + 1, bool)
+    live = np.arange(n, dtype=np.int32)
     rules: list[np.ndarray] = []
     made = 0
-    for turn in range(rounds):
-        if len(s) < 2:
-            break
-        a, b = s[:-1], s[1:]
-        key = (a.astype(np.int64) << 32) | b
-        # one pair per bucket is counted, exactly; a pair that shares its bucket with
-        # another one has its turn in a later round, under another multiplier
-        bucket = ((key.view(np.uint64) * _MULTIPLIERS[turn % len(_MULTIPLIERS)]) >> np.uint64(44)).astype(np.int32)
+    while True:
+        a, b = s[live], s[after[live]]
         inside = (a != end_id) & (b != end_id)
-        owner = np.full(1 << 20, -1, np.int64)
-        owner[bucket[inside]] = key[inside]
-        counted = inside & (owner[bucket] == key)
-        counts = np.bincount(bucket[counted], minlength=1 << 20)
-        often = np.flatnonzero(counts >= min_count)
-        if not len(often):
+        live, key = live[inside], (a[inside].astype(np.int64) << 32) | b[inside]
+        pairs, counts = _frequent(key, min_count)
+        if not len(pairs):
             break
-        chosen = _choose(owner[often], counts[often], pairs_a_round)
-        symbol = np.full(1 << 20, -1, np.int32)
-        symbol[((chosen.view(np.uint64) * _MULTIPLIERS[turn % len(_MULTIPLIERS)]) >> np.uint64(44)).astype(np.int32)] = (
-            first_rule + made + np.arange(len(chosen)))
-        new = symbol[bucket]
-        at = np.flatnonzero(counted & (new >= 0))
+        place = _index_in(key, pairs)
+        live, place = live[place >= 0], place[place >= 0]
+        chosen = _choose(pairs, counts)
+        symbol = np.full(len(pairs), -1, np.int32)
+        symbol[np.searchsorted(pairs, chosen)] = first_rule + made + np.arange(len(chosen))
+        new = symbol[place]
+        at, new = live[new >= 0], new[new >= 0]
         # runs of one symbol: every second occurrence, counted from the run's start
-        twin = a[at] == b[at]
+        twin = s[at] == s[after[at]]
         if twin.any():
-            follows = np.append(False, twin[1:] & twin[:-1] & (at[1:] == at[:-1] + 1))
+            follows = np.append(False, twin[1:] & twin[:-1] & (at[1:] == after[at[:-1]]))
             start = np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
-            at = at[~twin | ((np.arange(len(at)) - start) % 2 == 0)]
-        s = s.copy()
-        s[at] = new[at]
-        gone = np.ones(len(s), bool)
-        gone[at + 1] = False
-        s = s[gone]
+            use = ~twin | ((np.arange(len(at)) - start) % 2 == 0)
+            at, new = at[use], new[use]
+        gone = after[at]
+        s[at] = new
+        alive[gone] = False
+        after[at] = after[gone]
+        before[after[at]] = at
+        # a round's places stay in order: occurrences of a run are told by their neighbours
+        mark = np.zeros(n + 1, bool)
+        mark[live] = True
+        mark[at] = True
+        left = before[at]
+        mark[left[left >= 0]] = True
+        live = np.flatnonzero(mark[:n] & alive[:n]).astype(np.int32)
         rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1))
         made += len(chosen)
-    return s, np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
+    return s[:n][alive[:n]], np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
 
 
 def expansion_lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
@@ -201,8 +233,7 @@ FILE_SCHEMA = T.StructType([T.StructField("task", T.LongType()), T.StructField("
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text: str = "text",
-                      end_id: int = END_ID, shard_ids: int = SHARD_IDS, rounds: int = ROUNDS,
-                      min_count: int = MIN_COUNT) -> None:
+                      end_id: int = END_ID, shard_ids: int = SHARD_IDS, min_count: int = MIN_COUNT) -> None:
     """Write the shards of all documents, in ascending order of ``id_col``, to ``path``."""
     spark = docs.sparkSession
     C.prepare(spark)
@@ -217,7 +248,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
             nonlocal shard, written, held
             ids, counts = np.concatenate(held_ids), np.concatenate(held_counts)
             names = pa.concat_arrays(held_docs)
-            data = pack_shard(ids, counts, end_id, first_rule, rounds=rounds, min_count=min_count)
+            data = pack_shard(ids, counts, end_id, first_rule, min_count=min_count)
             out = pa.RecordBatch.from_arrays(
                 [pa.array([task], pa.int64()), pa.array([shard], pa.int32()), pa.array([written], pa.int64()),
                  pa.array([len(ids)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names),

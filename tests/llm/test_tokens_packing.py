@@ -120,7 +120,7 @@ def test_re_pair_round_trip_and_random_access():
     rng = np.random.default_rng(5)
     docs = [np.append(rng.choice([3, 4, 5, 5, 5, 9], rng.integers(0, 400)), 0) for _ in range(60)] + [np.array([0]), np.array([0])]
     ids = np.concatenate(docs).astype(np.int32)
-    shard = token_files.Shard(token_files.pack_shard(ids, np.array([len(d) for d in docs]), 0, 10, rounds=8, min_count=4))
+    shard = token_files.Shard(token_files.pack_shard(ids, np.array([len(d) for d in docs]), 0, 10, min_count=4))
     assert len(shard.rules) > 3 and len(shard.symbols) < len(ids) / 2
     assert (shard.all_ids() == ids).all()
     for k, d in enumerate(docs):
@@ -132,6 +132,29 @@ def test_re_pair_round_trip_and_random_access():
         assert shard.lengths[k] == part(a) + part(b)
 
 
+@pytest.mark.parametrize("least,alphabet", [(2, 3), (4, 6), (24, 40)])
+def test_re_pair_leaves_no_frequent_pair(least, alphabet):
+    """Long copies become few symbols, runs of one id shrink, nothing frequent is left."""
+    rng = np.random.default_rng(least)
+    copy = np.append(rng.integers(1, alphabet, 700), 0)
+    docs = [copy] * 40 + [np.append(np.full(k, 2), 0) for k in range(1, 80)]
+    docs += [np.append(rng.integers(1, alphabet, k), 0) for k in rng.integers(0, 300, 40)]
+    ids = np.concatenate([docs[i] for i in rng.permutation(len(docs))]).astype(np.int32)
+    symbols, rules = token_files.re_pair(ids, 0, 50, least)
+    assert (token_files.expand(symbols, rules, 50) == ids).all()
+    inside = (symbols[:-1] != 0) & (symbols[1:] != 0)
+    _, counts = np.unique(symbols[:-1][inside].astype(np.int64) << 32 | symbols[1:][inside], return_counts=True)
+    assert not len(counts) or counts.max() < least
+    assert len(np.unique(rules, axis=0)) == len(rules) and not (rules == 0).any()
+    assert token_files.expansion_lengths(rules, 50).max() >= 64
+
+
+@pytest.mark.parametrize("ids", [[], [0], [0, 0], [5], [5, 0, 5, 0], [7] * 9])
+def test_re_pair_of_small_streams(ids):
+    symbols, rules = token_files.re_pair(np.array(ids, np.int32), 0, 50, 2)
+    assert token_files.expand(symbols, rules, 50).tolist() == ids
+
+
 def check_files(rows, docs, tok):
     """docs in the order of the files; equal ids in any order of their texts."""
     at = 0
