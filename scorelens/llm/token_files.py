@@ -75,16 +75,22 @@ def _frequent(key: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _index_in(key: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Place of every key in an ascending table, -1 where it has none: most keys without a
-    place are told by a table of hash bits."""
+    """Place of every key in an ascending table, -1 where it has none. A hash slot names one
+    entry; entries that lost their slot to another one are searched for."""
     bucket = lambda x: (x.view(np.uint64) * _MULTIPLIER >> np.uint64(44)).astype(np.int32)
-    seen = np.zeros(1 << 20, bool)
-    seen[bucket(table)] = True
-    maybe = np.flatnonzero(seen[bucket(key)])
-    at = np.minimum(np.searchsorted(table, key[maybe]), len(table) - 1)
-    hit = table[at] == key[maybe]
-    out = np.full(len(key), -1, np.int32)
-    out[maybe[hit]] = at[hit]
+    slots = bucket(table)
+    slot = np.full(1 << 20, -1, np.int32)
+    slot[slots] = np.arange(len(table), dtype=np.int32)
+    named = slot[bucket(key)]
+    out = np.where(table[named] == key, named, np.int32(-1))     # slot -1: the last entry, which differs
+    lost = np.flatnonzero(slot[slots] != np.arange(len(table)))
+    if len(lost):
+        shared = np.zeros(len(table), bool)
+        shared[slot[slots[lost]]] = True
+        at = np.flatnonzero((named >= 0) & (out < 0))
+        at = at[shared[named[at]]]
+        found = np.minimum(np.searchsorted(table, key[at]), len(table) - 1)
+        out[at] = np.where(table[found] == key[at], found, -1)
     return out
 
 
