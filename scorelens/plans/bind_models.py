@@ -12,11 +12,12 @@ from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from scorelens.operators import explain as X
 from scorelens.operators import importance as I
 from scorelens.operators import models as MD
 from scorelens.operators import paths as PT
 from scorelens.operators import permute as PM
-from scorelens.operators import prep
+from scorelens.operators import prep, stats
 from scorelens.plans import views as V
 from scorelens.plans.registry import register
 from scorelens.sources import io
@@ -192,6 +193,31 @@ def q_permutation_importance(spark, sf):
     return I.permutation_importance(model, te, DIMS, "label_index", "id", repeats=15)
 
 
+SCORES = ["logistic_native", "logistic_perm", "gbt_native", "gbt_perm", "forest_native", "forest_perm", "eta2"]
+
+
+def seven_scores(df, cols, specs, repeats, seed=42):
+    """Native and permutation importance of three models and eta2, one row per feature.
+    Models learn from the training rows, permutations are over the test rows, eta2 is of
+    all rows. The logistic model sees scaled columns."""
+    raw = df.drop("features")
+    tr, te = split(raw, seed)
+    linear = _lr_pipeline(cols).fit(tr)
+    models = {"logistic": (linear, linear)}
+    x = MD.sized(MD.assemble(tr, cols))
+    for name in ("gbt", "forest"):
+        m = MD.build_estimator(specs[name], "features", "label_index", None, float(x.count()), seed).fit(x)
+        models[name] = (m, I.OnColumns(m, cols))
+    eta = stats.kruskal_wallis(df, cols, "label").select("feature", "eta2")
+    return I.model_scores(models, te, cols, "label_index", "id", repeats, seed).join(eta, "feature")
+
+
+@register("ensemble_rank_models")
+def q_ensemble_rank_models(spark, sf):
+    """I-05 with its seven scores."""
+    return X.ensemble_rank(seven_scores(data(spark, sf), DIMS, SPECS, 15), SCORES)
+
+
 # A given model over the order lines: the price band of a line from its quantity, the
 # part's price, discount and tax (the other columns must come out with no drop).
 _GIVEN = ["l_quantity", "l_discount", "l_tax", "p_retailprice", "p_size", "c_acctbal", "o_totalprice"]
