@@ -115,7 +115,9 @@ def _selected(df: DataFrame, groups: list[str], value: str, probs: list[float],
         pick = F.when(F.col("__m") >= rows, F.slice("__all", t * width + 1, width)).otherwise(pick)
     near = near.select(*groups, pick.alias("__near")).select(                     # one row per group
         *groups, *[F.col("__near")[k].alias(f"__b{k}") for k in range(width)])
-    x = df.join(near, groups, "left") if groups else df.crossJoin(F.broadcast(near))
+    # broadcast by name: by size the planner may shuffle all rows by group, a feature to a task
+    near = F.broadcast(near)
+    x = df.join(near, groups, "left") if groups else df.crossJoin(near)
     v = F.col(value)
     inside, above = F.col("__b0").isNull(), F.lit(0)      # no interval: every value is kept
     for k in range(len(probs)):

@@ -66,3 +66,16 @@ def test_time_split_with_ties_and_nulls(spark, frac):
     order = sorted(rows, key=lambda r: (-1 if r[1] is None else r[1], r[0]))
     k = math.floor(400 * (1.0 - frac))
     assert {r["k"] for r in got if r["split"] == "train"} == {r[0] for r in order[:k]} and len(got) == 400
+
+
+def test_intervals_go_to_the_rows(spark, table, monkeypatch):
+    """Whatever the sizes, rows are not shuffled by group to meet their group's intervals."""
+    seen = []
+    monkeypatch.setattr(rank, "distributed_cumsum", lambda c, *_: seen.append(c) or c)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rank._selected(spark.createDataFrame(table), ["g"], "v", [0.5], 0.1, [(50, 0.1)])
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
