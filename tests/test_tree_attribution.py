@@ -73,3 +73,37 @@ def test_a_single_leaf_and_repeated_keys(spark, table):
     two = table.where("id < 2").unionByName(table.where("id < 2"))
     out = PT.tree_attribution(model, two, COLS, "id").collect()
     assert len(out) == 4 * 4 * 3 and all(r["phi"] == 0 for r in out)
+
+
+def test_missing_values_go_right_and_both_ways_agree(spark, monkeypatch):
+    """Leaves as arrays in the tasks, or joined with the rows: the same cells; NULL and NaN go right."""
+    nodes = spark.createDataFrame([(0, 0, 0, 4.0, 1, 2, 10.0, []), (0, 1, 1, 2.0, 3, 4, 6.0, []), (0, 2, -1, None, -1, -1, 4.0, [0.0, 1.0]),
+                                   (0, 3, 0, 1.0, 5, 6, 4.0, []), (0, 4, -1, None, -1, -1, 2.0, [0.5, 0.5]),
+                                   (0, 5, -1, None, -1, -1, 3.0, [1.0, 0.0]), (0, 6, -1, None, -1, -1, 1.0, [0.25, 0.75])],
+                                  "tree int, node int, feature int, threshold double, left int, right int, cover double, value array<double>")
+    leaves = PT.leaf_paths(nodes)
+    nan = float("nan")
+    values = [(1.0, 2.0), (None, 1.0), (nan, 1.0), (3.0, None), (0.0, nan), (9.0, 9.0), (1.0, 2.0)]
+    df = spark.createDataFrame([("k", *v) for v in values], "k string, a double, b double")
+
+    def cells():
+        out = PT.path_attribution(leaves, df, ["a", "b"], "k")
+        assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString() or PT.MAX_LEAVES == 0
+        return sorted((r["cls"], r["feature"], round(r["phi"], 12), str(r["x"]), round(r["base_value"], 12)) for r in out.collect())
+
+    got = cells()
+    assert len(got) == len(values) * 2 * 2
+    right = next(p for c, f, p, x, _ in got if (c, f, x) == (1, "a", "9.0"))
+    assert all(p > 0 for c, f, p, x, _ in got if (c, f) == (1, "a") and x in ("None", "nan")) and right > 0
+    monkeypatch.setattr(PT, "MAX_LEAVES", 0)
+    assert cells() == got
+
+
+def test_many_leaves_in_small_blocks(monkeypatch):
+    """Blocks of rows and leaves do not change what is paid."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(50, 3))
+    group = (rng.integers(0, 3, (40, 1)) + np.arange(2)) % 3, rng.normal(-1, 1, (40, 2)), rng.normal(1, 1, (40, 2)), rng.random((40, 2)) + 0.1, rng.normal(size=(40, 2))
+    want = PT._paid(x, [group], 2)
+    monkeypatch.setattr(PT, "BLOCK", 7)
+    np.testing.assert_allclose(PT._paid(x, [group], 2), want, atol=1e-12)
