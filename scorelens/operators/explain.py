@@ -163,12 +163,13 @@ def attribution_summary(attr: DataFrame) -> DataFrame:
 
 
 def attribution_class_matrix(attr: DataFrame, top: int = 12) -> DataFrame:
-    """I-12: class x top features mean phi (long form); top by mean |phi|."""
-    s = attribution_summary(attr)
-    t = s.select("feature", F.row_number().over(_wall().orderBy(F.col("mean_abs_phi").desc(), "feature")).alias("_r")) \
-         .where(F.col("_r") <= top).select("feature")
-    return (attr.join(F.broadcast(t), "feature", "left_semi")        # <= top rows
-                .groupBy("cls", "feature").agg(F.avg("phi").alias("mean_phi")))
+    """I-12: class x top features mean phi (long form); top by mean |phi|. The cells are
+    added up once, by class and feature; what follows is over that small table."""
+    c = attr.groupBy("cls", "feature").agg(F.avg("phi").alias("mean_phi"), F.sum(F.abs("phi")).alias("_a"), F.count("phi").alias("_n"))
+    w = Window.partitionBy("feature")
+    c = c.withColumn("_m", F.try_divide(F.sum("_a").over(w), F.sum("_n").over(w)))
+    r = c.withColumn("_r", F.dense_rank().over(_wall().orderBy(F.col("_m").desc(), "feature")))
+    return r.where((F.col("_r") <= top) & F.col("feature").isNotNull()).select("cls", "feature", "mean_phi")
 
 
 def attribution_direction(attr: DataFrame, target_class, weak_frac: float = 0.05, top: int = 35) -> DataFrame:
