@@ -121,6 +121,11 @@ class OrdinalLogistic:
                                 regParam=self.reg, standardization=False, maxIter=200)
         if self.weight:
             lr.setWeightCol(self.weight)
+        # a row is stacked k - 1 times and wider: partitions follow the stacked size
+        n, p = df.agg(F.count(F.lit(1)), F.max(F.size(vector_to_array(self.features)))).first()
+        parts = math.ceil(n * (self.k - 1) * 8 * ((p or 1) + self.k - 1) / PART_BYTES)
+        if parts > 1:
+            df = df.repartition(parts)
         d = self._stack(df).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             w = lr.fit(d).coefficients.toArray()
