@@ -77,12 +77,12 @@ def _frequent(key: np.ndarray, min_count: int) -> tuple[np.ndarray, np.ndarray]:
 def _index_in(key: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Place of every key in an ascending table, -1 where it has none. A hash slot names one
     entry; entries that lost their slot to another one are searched for."""
-    bucket = lambda x: (x.view(np.uint64) * _MULTIPLIER >> np.uint64(44)).astype(np.int32)
+    bucket = lambda x: (x.view(np.uint64) * _MULTIPLIER >> np.uint64(44)).view(np.int64)
     slots = bucket(table)
     slot = np.full(1 << 20, -1, np.int32)
     slot[slots] = np.arange(len(table), dtype=np.int32)
-    named = slot[bucket(key)]
-    out = np.where(table[named] == key, named, np.int32(-1))     # slot -1: the last entry, which differs
+    named = slot.take(bucket(key))
+    out = np.where(table.take(named, mode="wrap") == key, named, np.int32(-1))     # slot -1: the last entry, which differs
     lost = np.flatnonzero(slot[slots] != np.arange(len(table)))
     if len(lost):
         shared = np.zeros(len(table), bool)
@@ -105,45 +105,49 @@ def re_pair(ids: np.ndarray, end_id: int, first_rule: int,
     a replacement, so late rounds are small."""
     s = ids.astype(np.int32)
     n = len(s)
-    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)   # n: the stream's end
+    after, before = np.arange(1, n + 1), np.arange(-1, n)     # n: the stream's end; places are of numpy's own index type
     s = np.append(s, np.int32(end_id))
     alive = np.ones(n + 1, bool)
-    live = np.arange(n, dtype=np.int32)
+    live = None                     # first all places: neighbours are read without a link
     rules: list[np.ndarray] = []
     made = 0
     while True:
-        a, b = s[live], s[after[live]]
-        inside = (a != end_id) & (b != end_id)
-        live, key = live[inside], (a[inside].astype(np.int64) << 32) | b[inside]
+        a, b = (s[:-1], s[1:]) if live is None else (s.take(live), s.take(after.take(live)))
+        inside = np.flatnonzero((a != end_id) & (b != end_id))
+        live = inside if live is None else live.take(inside)
+        key = (a.take(inside).astype(np.int64) << 32) | b.take(inside)
         pairs, counts = _frequent(key, min_count)
         if not len(pairs):
             break
         place = _index_in(key, pairs)
-        live, place = live[place >= 0], place[place >= 0]
+        some = np.flatnonzero(place >= 0)
+        live, place = live.take(some), place.take(some)
         chosen = _choose(pairs, counts)
         symbol = np.full(len(pairs), -1, np.int32)
         symbol[np.searchsorted(pairs, chosen)] = first_rule + made + np.arange(len(chosen))
-        new = symbol[place]
-        at, new = live[new >= 0], new[new >= 0]
+        new = symbol.take(place)
+        some = np.flatnonzero(new >= 0)
+        at, new = live.take(some), new.take(some)
         # runs of one symbol: every second occurrence, counted from the run's start
-        twin = s[at] == s[after[at]]
+        gone = after.take(at)
+        twin = s.take(at) == s.take(gone)
         if twin.any():
             follows = np.append(False, twin[1:] & twin[:-1] & (at[1:] == after[at[:-1]]))
             start = np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
             use = ~twin | ((np.arange(len(at)) - start) % 2 == 0)
-            at, new = at[use], new[use]
-        gone = after[at]
+            at, new, gone = at[use], new[use], gone[use]
         s[at] = new
         alive[gone] = False
-        after[at] = after[gone]
-        before[after[at]] = at
+        next_ = after.take(gone)
+        after[at] = next_
+        before[next_] = at
         # a round's places stay in order: occurrences of a run are told by their neighbours
         mark = np.zeros(n + 1, bool)
         mark[live] = True
         mark[at] = True
-        left = before[at]
-        mark[left[left >= 0]] = True
-        live = np.flatnonzero(mark[:n] & alive[:n]).astype(np.int32)
+        mark[before.take(at)] = True      # -1, before the stream, marks its end, which is no place
+        mark &= alive
+        live = np.flatnonzero(mark[:n])
         rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1))
         made += len(chosen)
     return s[:n][alive[:n]], np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
@@ -267,12 +271,17 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
 
         for batch in C.slices(batches, text):
             ids, off = enc.encode(C.texts(batch, text), end_id)
-            held_ids.append(ids)
-            held_counts.append(np.diff(off))
-            held_docs.append(C.column(batch, id_col).cast(pa.int64()))
-            held += len(ids)
-            if held >= shard_ids:
-                yield flush()
+            names, a = C.column(batch, id_col).cast(pa.int64()), 0
+            # a batch may fill several shards: each ends with the document that fills it
+            while a < batch.num_rows:
+                b = min(int(np.searchsorted(off, off[a] + shard_ids - held)), batch.num_rows)
+                held_ids.append(ids[off[a]:off[b]])
+                held_counts.append(np.diff(off[a:b + 1]))
+                held_docs.append(names[a:b])
+                held += int(off[b] - off[a])
+                a = b
+                if held >= shard_ids:
+                    yield flush()
         if held:
             yield flush()
 

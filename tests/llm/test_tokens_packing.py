@@ -181,6 +181,15 @@ def test_token_files_query(spark, byte_bpe):
     check_files(rows, order(docs), Tokenizer.from_file(byte_bpe))
 
 
+def test_a_shard_ends_with_the_document_that_fills_it(spark, byte_bpe, tmp_path):
+    """A batch of many texts is not one shard: Re-Pair works on about as many ids as it was asked to."""
+    docs = spark.range(0, 300, numPartitions=1).selectExpr("id AS doc_id", "repeat(concat('word', id, ' and '), 20) AS text")
+    token_files.write_token_files(docs, byte_bpe, str(tmp_path / "ids"), shard_ids=1000)
+    longest = max(r["n_tokens"] for r in token_files.read_token_files(spark, str(tmp_path / "ids")).collect())
+    sizes = [r["n_ids"] for r in spark.read.parquet(str(tmp_path / "ids")).collect()]
+    assert len(sizes) > 5 and max(sizes) < 1000 + longest
+
+
 def test_token_files_of_nothing(spark, empty, byte_bpe, tmp_path):
     token_files.write_token_files(empty, byte_bpe, str(tmp_path / "ids"))
     assert token_files.read_token_files(spark, str(tmp_path / "ids")).count() == 0
