@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelens.operators.boosting import BoostedModel
+from scorelens.operators.forest import ForestModel
 from scorelens.plans.helpers import checkpoint
 from scorelens.session import tables_root
 
@@ -44,6 +45,8 @@ def node_table(model, spark) -> DataFrame:
             F.when(inner, 2 * F.col("node") + 1).otherwise(-1).cast("int").alias("left"),
             F.when(inner, 2 * F.col("node") + 2).otherwise(-1).cast("int").alias("right"),
             F.col("rows").cast("double").alias("cover"), value.alias("value"))
+    if isinstance(m, ForestModel):
+        return m.node_table(spark)
     import uuid
     path = f"{tables_root(spark)}/model-{uuid.uuid4().hex}"
     m.write().overwrite().save(path)
